@@ -51,3 +51,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def env_cpus() -> str:
     return os.environ.get("BENCH_CPUS", "8")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where the scan has fewer partitions than the cluster has cores (a single small file);
+    a scan with enough splits, as over large tables, stays as it is and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df written out, with a broadcast hint only if it has been counted to be within max_rows; else a shuffle join decides."""
+    from pyspark.sql import functions as F
+
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
