@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repolith.llm import bpe
+from repolith.llm import bpe, leakage
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,21 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Words in a row that give a held-out answer away.
+LEAKED_WORDS = 25
+
+
+def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a case with a seed in common, with its exact run and its tolerant overlap."""
+    return leakage.overlaps(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_cases"), "case_id", "reference_answer").distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_overlaps(spark, sf_dir).where(F.col("run_words") >= LEAKED_WORDS).select("doc_id", "case_id").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
