@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, leakage
+from repolith.llm import bpe, leakage, neardup
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _near_duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "knowledge_docs").select(F.lit("knowledge_doc").alias("kind"), F.col("doc_id").alias("key"), F.col("content").alias("text"))
+    readmes = table(spark, sf_dir, "repos").select(F.lit("repo_readme").alias("kind"), F.col("full_name").alias("key"), F.col("readme").alias("text"))
+    return docs.union(readmes).where("key is not null")
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.class_links(_near_duplicate_texts(spark, sf_dir), width=3, percent=70, min_words=20)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one kind that share at least 70 % of their runs of three words."""
+    return neardup.linked_keys(*_near_duplicates(spark, sf_dir)).withColumnRenamed("kind", "item_kind")
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its class of equal shingle sets and the number of records it is similar to."""
+    return neardup.linked_members(*_near_duplicates(spark, sf_dir)).toDF("item_kind", "item_key", "class_id", "links")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -31,7 +51,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
