@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, leakage, neardup
+from repolith.llm import bpe, leakage, neardup, splitting
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,30 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked_members(*_near_duplicates(spark, sf_dir)).toDF("item_kind", "item_key", "class_id", "links")
 
 
+def _code_and_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "key_files").select(F.lit("key_file").alias("item_kind"), F.concat_ws("::", "repo_id", "path").alias("item_key"), "content")
+    docs = table(spark, sf_dir, "knowledge_docs").select(F.lit("knowledge_doc").alias("item_kind"), F.col("doc_id").alias("item_key"), "content")
+    return files.union(docs)
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every key file and knowledge document."""
+    return splitting.split(_code_and_documents(spark, sf_dir).dropDuplicates(), ["item_kind", "item_key"], "content")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that come out in more than one piece."""
+    made = splitting.split(_code_and_documents(spark, sf_dir), ["item_kind", "item_key"], "content")
+    return made.where("piece_no = 2 and length(piece) > overlap").select("item_kind", "item_key").distinct()
+
+
+P2_SQL = """
+SELECT DISTINCT item_kind, item_key FROM (
+  SELECT 'key_file' AS item_kind, repo_id || '::' || path AS item_key, content FROM key_files
+  UNION ALL SELECT 'knowledge_doc', doc_id, content FROM knowledge_docs) WHERE length(content) > 1800
+"""
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -51,8 +75,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL}
