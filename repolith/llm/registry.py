@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, leakage, neardup, splitting
+from repolith.llm import bpe, leakage, neardup, sentences, splitting
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_overlaps(spark, sf_dir).where(F.col("run_words") >= LEAKED_WORDS).select("doc_id", "case_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of every sentence unit of every document."""
+    return sentences.sentence_ends(table(spark, sf_dir, "documents"), "doc_id", "text").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
