@@ -3,7 +3,7 @@
 Two texts are near duplicates if the sets of their word shingles have a Jaccard similarity of at least a threshold. Shingles are
 put in one global order, rare ones first; two similar texts then share a shingle among the first n - ceil(t n) + 1 of
 each. Texts with equal shingle sets are one class, classes with equal prefix and size are one group. Only groups are
-joined on prefix shingles, filtered by size and by the positions of the shared shingle; the surviving pairs of groups are
+joined on prefix shingles, filtered by size and by the number of shared prefix shingles; the surviving pairs of groups are
 expanded to pairs of classes, these are verified on the whole sets, and members come in at the end.
 
 The order comes from a table of BUCKETS counters over all texts (a fixed size, whatever the corpus); any order gives the
@@ -15,7 +15,7 @@ several texts has the links of each of them; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,11 @@ from repolith.session import cut, spread
 BUCKETS = 1 << 20
 #: The counters travel in so many pieces, so that their sum is spread over tasks.
 PIECES = 64
+#: Bits of the table that spares texts without any candidate from being read a third time.
+KEY_BITS = 26
 UNIT_CHARS = 2_000_000
+#: Groups that a task remembers, to pass on the prefix of copies only once; results don't depend on it.
+KEPT_GROUPS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,36 +86,63 @@ def _bucket(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def shingle_counts(texts: DataFrame, width: int, min_words: int) -> np.ndarray:
-    """How many texts hold a shingle of each bucket: BUCKETS counters, summed in pieces by the executors."""
+def _gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], cells: int, kind: type, merge: np.ufunc) -> np.ndarray:
+    """A table of a fixed number of cells that every task fills from its rows; the tasks' tables are merged by executors, in pieces."""
+    width = cells // PIECES
+
+    def rows(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(tables), type=pa.int32()), pa.array([t.tobytes() for t in tables.values()], type=pa.binary())], names=["piece", "cells"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        table = np.zeros(cells, dtype=kind)
         for batch in batches:
-            for _, lists in _units(batch, min_words):
-                _, value = _distinct_sorted(*shingles(lists, width))
-                total += np.bincount(_bucket(value), minlength=BUCKETS)
-        parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(PIECES, -1)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), type=pa.int32()), pa.array([p.tobytes() for p in parts], type=pa.binary())], names=["piece", "counts"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+            fill(table, batch)
+        parts = {k: p for k, p in enumerate(table.reshape(PIECES, -1)) if p.any()}
+        if parts:
+            yield rows(parts)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = totals.setdefault(piece, np.zeros(BUCKETS // PIECES, dtype=np.int64))
-                own += np.frombuffer(counts, dtype=np.int32)
-        for piece, own in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], type=pa.int32()), pa.array([np.minimum(own, 2**31 - 1).astype(np.int32).tobytes()], type=pa.binary())], names=["piece", "counts"])
-
-    kind = "piece int, counts binary"
-    whole = np.zeros((PIECES, BUCKETS // PIECES), dtype=np.int32)
-    # PIECES rows of a fixed size, however many texts there are
-    for row in texts.select("text").mapInArrow(local, kind).repartition("piece").mapInArrow(summed, kind).collect():
-        whole[row.piece] = np.frombuffer(row.counts, dtype=np.int32)
+            for piece, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(held, dtype=kind)
+                tables[piece] = merge(tables[piece], part) if piece in tables else part
+        if tables:
+            yield rows(tables)
+
+    schema = "piece int, cells binary"
+    whole = np.zeros((PIECES, width), dtype=kind)
+    # at most PIECES rows of a fixed size, however many texts there are
+    for row in df.mapInArrow(local, schema).repartition("piece").mapInArrow(merged, schema).collect():
+        whole[row.piece] = np.frombuffer(row.cells, dtype=kind)
     return whole.reshape(-1)
 
 
+def shingle_counts(texts: DataFrame, width: int, min_words: int) -> np.ndarray:
+    """How many texts hold a shingle of each bucket."""
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, lists in _units(batch, min_words):
+            _, value = _distinct_sorted(*shingles(lists, width))
+            table += np.bincount(_bucket(value), minlength=BUCKETS).astype(np.uint32)
+
+    return _gathered(texts.select("text"), fill, BUCKETS, np.uint32, np.add)
+
+
+def _key_bits(kinds: list[str], keys: list[str]) -> np.ndarray:
+    return np.fromiter((word_hash(f"{a}/{b}") >> (64 - KEY_BITS) for a, b in zip(kinds, keys, strict=True)), dtype=np.int64, count=len(keys))
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit table of 2 ** KEY_BITS bits with the hashes of (kind, key); a fixed size, so a filter of rows and no more."""
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        at = _key_bits(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    return _gathered(keys.select("kind", "key"), fill, (1 << KEY_BITS) // 8, np.uint8, np.bitwise_or)
+
+
 def _list_column(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
@@ -123,6 +154,7 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
+        seen: set[int] = set()
         for batch in batches:
             for rows, lists in _units(batch, min_words):
                 owner, value = shingles(lists, width)
@@ -136,18 +168,30 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int,
                 in_front = _mixed(value ^ np.uint64(0x5851F42D4C957F2D))
                 in_front[~first] = 0
                 group = _mixed(np.add.reduceat(in_front, begin) ^ kinds + sizes.astype(np.uint64))
+                # copies within a task pass their prefix on once
+                repeated = np.array([g in seen or seen.add(g) is not None for g in group.tolist()])
+                if len(seen) > KEPT_GROUPS:
+                    seen.clear()
+                length = np.where(repeated, 0, length)
+                first &= ~repeated[owner]
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(of_set.view(np.int64)), pa.array(group.view(np.int64)), pa.array(sizes.astype(np.int32)), _list_column(value[first], length)],
+                    [taken.column(0), taken.column(1), pa.array(of_set.view(np.int64)), pa.array(group.view(np.int64)), pa.array(sizes.astype(np.int32)), _list_column((value ^ kinds[owner])[first], length)],
                     names=["kind", "key", "class", "group", "size", "prefix"],
                 )
 
     return texts.mapInArrow(run, "kind string, key string, class bigint, group bigint, size int, prefix array<bigint>")
 
 
-def _sets(texts: DataFrame, width: int, min_words: int) -> DataFrame:
+def _sets(texts: DataFrame, wanted: np.ndarray, width: int, min_words: int) -> DataFrame:
+    """(class, shingles) of the texts whose key may be among the wanted ones."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches:
+            at = _key_bits(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            batch = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for rows, lists in _units(batch, min_words):
                 owner, value = _distinct_sorted(*shingles(lists, width))
                 sizes = np.bincount(owner, minlength=len(lists))
@@ -171,27 +215,30 @@ def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words:
     made = cut(_prefixes(texts, counts, width, min_words, percent))
     members = made.select("kind", "key", "class").distinct()
     classes = made.groupBy("class").agg(F.min("kind").alias("kind"), F.min("key").alias("key"), F.min("group").alias("group"))
-    groups = made.select("group", "kind", "size", "prefix").dropDuplicates(["group"])
 
-    posting = groups.select("group", "kind", "size", F.posexplode("prefix").alias("place", "shingle"))
-    a, b = (posting.select("kind", "shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "size", "place"))) for s in "ab")
-    least = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
-    most = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+    # Partitioned by shingle, copies from different tasks are dropped where they are and the join needs no other exchange.
+    posting = made.select("group", "size", F.explode("prefix").alias("shingle")).repartition("shingle").dropDuplicates(["shingle", "group"])
+    a, b = (posting.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "size"))) for s in "ab")
     group_pairs = (
-        a.join(b, ["kind", "shingle"])
+        a.join(b, "shingle")
         .where("group_a < group_b")
-        .where((F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent) & (most >= least))
-        .select("group_a", "group_b")
-        .distinct()
+        .where((F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent))
+        .groupBy("group_a", "group_b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     )
+    # Of the two prefixes, all common shingles up to the end of the one that ends first have been counted; behind it there are at
+    # most ceil(t n) - 1 more.
+    least = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
+    behind = F.ceil(F.greatest("size_a", "size_b") * F.lit(percent) / F.lit(100) - 1e-9) - 1
+    group_pairs = group_pairs.where(F.col("shared") + behind >= least).select("group_a", "group_b")
     one, other = (classes.select(F.col("group").alias(f"group_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
     across = group_pairs.join(one, "group_a").join(other, "group_b").select("class_a", "class_b")
     within = one.join(other, one["group_a"] == other["group_b"]).where("class_a < class_b").select("class_a", "class_b")
     pairs = cut(across.union(within).select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct())
 
     needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    chosen = classes.join(needed, "class", "left_semi").select("kind", "key").distinct()
-    sets = _sets(texts.join(chosen, ["kind", "key"], "left_semi").select("kind", "key", "text"), width, min_words).dropDuplicates(["class"])
+    wanted = key_filter(classes.join(needed, "class", "left_semi"))
+    sets = _sets(texts, wanted, width, min_words).dropDuplicates(["class"])
     one, other = (sets.select(F.col("class").alias(f"class_{s}"), F.col("shingles").alias(f"shingles_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     links = (
