@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, leakage, neardup, sentences, splitting
+from repolith.llm import bpe, leakage, neardup, secrets, sentences, splitting
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,26 @@ SELECT DISTINCT item_kind, item_key FROM (
 """
 
 
+def _searched_for_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing, text = F.lit(None).cast("int"), "text"
+    key = lambda path: F.concat_ws("::", "repo_id", path).alias("key")
+    extension = F.regexp_extract(F.lower("path"), r"\.(\w+)$", 1).alias("extension")
+    files = table(spark, sf_dir, "key_files").select(F.lit("key_file").alias("kind"), key("path"), nothing.alias("part"), extension, F.col("content").alias(text))
+    docs = table(spark, sf_dir, "knowledge_docs").select(F.lit("knowledge_doc").alias("kind"), F.col("doc_id").alias("key"), nothing.alias("part"), F.lit("").alias("extension"), F.col("content").alias(text))
+    entries = table(spark, sf_dir, "config_summaries").select(F.lit("config").alias("kind"), key("source_path"), F.posexplode("env_vars").alias("part", text))
+    return files.union(docs).union(entries.select("kind", "key", F.col("part") + 1, F.lit("").alias("extension"), text))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines and entries on which a usable secret value starts."""
+    return secrets.secret_lines(_searched_for_secrets(spark, sf_dir)).toDF("item_kind", "item_key", "line_no")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and entry with its secret values overwritten."""
+    return secrets.redacted(_searched_for_secrets(spark, sf_dir).dropDuplicates()).toDF("item_kind", "item_key", "entry_no", "secrets", "text")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -80,7 +100,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
