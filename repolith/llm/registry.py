@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, leakage, neardup, secrets, sentences, splitting
+from repolith.llm import bpe, leakage, neardup, provenance, secrets, sentences, splitting
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,17 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(_searched_for_secrets(spark, sf_dir).dropDuplicates()).toDF("item_kind", "item_key", "entry_no", "secrets", "text")
 
 
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source file with its notice, the forest's probability and the verdict."""
+    sources = provenance.source_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "key_files"))
+    return provenance.scored(sources, provenance.fit(sources))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are generated, minified, vendored or data."""
+    return p5_files(spark, sf_dir).where("found").select("repo_id", "path")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -100,7 +111,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_files": p5_files, "p5_found": p5_found, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
