@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, leakage, neardup, provenance, secrets, sentences, splitting
+from repolith.llm import bpe, leakage, neardup, provenance, secrets, sentences, splitting, syntax
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,21 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(_searched_for_secrets(spark, sf_dir).dropDuplicates()).toDF("item_kind", "item_key", "entry_no", "secrets", "text")
 
 
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key file of a checked language, with the furthest failure and its cause where it isn't valid."""
+    return syntax.failures(table(spark, sf_dir, "key_files")).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key files with a syntax error in the language that their path names."""
+    return syntax.failures(table(spark, sf_dir, "key_files")).where("position is not null").select("repo_id", "path").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of invalid files per repository and language, per each alone and over all."""
+    return syntax.rates(syntax.failures(table(spark, sf_dir, "key_files")))
+
+
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source file with its notice, the forest's probability and the verdict."""
     sources = provenance.source_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "key_files"))
@@ -111,7 +126,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_files": p5_files, "p5_found": p5_found, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p5_files": p5_files, "p5_found": p5_found, "p6_ids": p6_ids, "p7_overlaps": p7_overlaps, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
