@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CATALOGS = ["catalog_scan"]
+CATALOGS = ["catalog_scan", "catalog_text"]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
