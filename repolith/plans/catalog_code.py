@@ -9,6 +9,7 @@ from repolith.operators import answers, assets, codeindex, documents, graph, pro
 from repolith.operators import search as S
 from repolith.plans import catalog_text as texts
 from repolith.sources import tables
+from repolith.streaming import ingest
 
 with_ = tables.sql_with
 
@@ -204,6 +205,10 @@ def report_name_to_repo(spark, d):
     return names.select("full_name", assets.report_name_to_repo(F.col("report")).alias("repo"))
 
 
+def status_windows(spark, d):
+    return ingest.status_windows(tables.table(spark, d, "events"))
+
+
 #: Order in which hits are read for an overview.
 PRIORITIES = {"readme_summary": 0, "entrypoint_summary": 1, "config_summary": 2, "function_summary": 3}
 
@@ -386,5 +391,6 @@ QUERIES = {
         f"{_C}, e AS (SELECT repo_id, subproject_root, source_path, unnest(range(0, len(scripts_or_commands))) AS k, trim(unnest(scripts_or_commands)) AS command FROM configs_once), f AS (SELECT repo_id, subproject_root, command, min((source_path, k)) AS place FROM e WHERE command IS NOT NULL GROUP BY 1, 2, 3), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, subproject_root ORDER BY place) AS n FROM f WHERE command <> '') SELECT repo_id, subproject_root, string_agg(command, '|' ORDER BY place) AS commands FROM r WHERE n <= 5 GROUP BY 1, 2",
     ),
+    "stage_trace_windows": (status_windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2"),
     "agent_status": (status_by_hour, "SELECT date_trunc('hour', ts) AS hour, user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'success' END AS status FROM events GROUP BY 1, 2"),
 }
