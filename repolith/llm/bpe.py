@@ -114,7 +114,7 @@ class PairIndexEncoder:
         at = np.nonzero(first >= 0)[0]
         order = np.argsort(first[at], kind="stable")
         ranks, starts = np.unique(first[at][order], return_index=True)
-        places = dict(zip(ranks.tolist(), (x.tolist() for x in np.split(at[order], starts[1:])), strict=True))
+        places = dict(zip(ranks.tolist(), (x.tolist() for x in np.split(at[order], starts[1:])), strict=True)) if len(at) else {}
 
         n = len(raw)
         symbol = self.symbol_of_byte[raw].tolist()

@@ -96,32 +96,36 @@ end <- ';' / !any
 """
     if typed:
         rules += """
-plain <- '8'* ('u' ident ('.' word)* / 'v' / 's' / '-'? 'd' / ident ('.' word)* / 'B' / 'Y' / 'O' / 'A')
-t_a <- plain 'B'* ([|] plain 'B'*)*
-t_b <- plain ('<' t_a (',' t_a)* 'g')? 'B'*
-t_c <- t_b ([|] t_b)*
-t_d <- plain ('<' t_c ('x' t_c)? ('=' t_c)? (',' t_c ('x' t_c)? ('=' t_c)?)* 'g')? 'B'*
-single <- 'N'? 'M' '>' t_d ([|] t_d)* / t_d ('i' t_d)?
-type <- [|]? single ([|] single)* ('x' single ([|] single)* '?' single ([|] single)* ':' single ([|] single)*)?
+plain <- '8'* ('u' ident ('.' word)* / [uvs] / '-'? 'd' / ident ('.' word)* / [BYOA])
+targ <- '8'? ('c' ident)? @type ('x' @type)? ('=' @type)?
+generic <- ('<' targ (',' targ)* ','? 'g')?
+single <- 'N'? generic 'M' '>' @type / plain generic 'B'*
+type <- [|o]? single ([|o] single)* ('i' single)? ('x' @type '?' @type ':' @type)?
 anno <- (':' type)?
-generic <- ('<' t_c ('x' t_c)? ('=' t_c)? (',' t_c ('x' t_c)? ('=' t_c)?)* 'g')?
 implements <- ('6' type (',' type)*)?
 cast <- ('2' type)*
 soft <- [?!]?
 modifier <- '3'*
 call <- generic 'A'
+tuple <- '~'? ident '?'? ':' type
+B <- ','* (('~'? @value) (','+ '~'? @value)* ','*)? !any / tuple (',' tuple)* ','? / ident 'i' type
+A <- ('~'? @value (',' '~'? @value)* ','?)? !any / type
 typed_statement <- '4' ident generic ('x' type (',' type)*)? 'Y' / 'T' ident generic '=' type end / 'V'? '5' ident 'Y' / '7' (ident / 's') ('.' ident)* 'K'
+declared <- '3'+ (@declaration end / @function / typed_statement)
 """
     else:
         rules += """
-anno <- ''
 generic <- ''
+anno <- ''
 implements <- ''
 cast <- ''
 soft <- ''
 modifier <- '3'?
 call <- 'A'
+B <- ','* (('~'? @value) (','+ '~'? @value)* ','*)?
+A <- ('~'? @value (',' '~'? @value)* ','?)?
 typed_statement <- !any any
+declared <- !any any
 """
     rules += """
 binding <- ident / 'B' / 'O'
@@ -131,14 +135,10 @@ primary <- callable / 'N' ident ('.' word)* generic 'A'? / 'm' ('A' / '.' word)
 postfix <- primary ('.' '#'? word / '?' '.' ('#'? word / 'A' / 'B') / 'B' / call / 's' / '!' !'=')* 'k'?
 unary <- [-!uwk~]* postfix cast
 binary <- unary (('o' / [-*i|] / 'g' 'g'? 'g'? '='? / '<') unary)*
-operand <- head+ ('K' / binary) / binary
-middle <- operand ('?' operand ':' operand)*
-value <- operand ('?' middle ':' operand)* ([=a] operand ('?' middle ':' operand)*)*
+operand <- head+ ('K' / @value) / binary
+value <- operand ('?' @value ':' @value)? ([=a] @value)?
 expr <- value (',' value)*
-arg <- '~'? value
-A <- (arg (',' arg)* ','?)?
 P <- expr anno
-B <- ','* (arg (','+ arg)* ','*)?
 param <- modifier '~'? binding soft anno ('=' value)?
 M <- (param (',' param)* ','?)?
 key <- word / 's' / 'd' / 'B' / '#' ident
@@ -150,20 +150,20 @@ declarator <- binding soft anno ('=' value)?
 declaration <- 'V' declarator (',' declarator)*
 Q <- 'V' binding anno ('q' / 'i') expr / postfix ('q' / 'i') expr / (declaration / expr)? ';' expr? ';' expr?
 simple <- declaration end / 'R' expr? end / 'h' expr end / 'b' ident? end / 'K' / ';' / expr end
-loop_a <- 'I' 'P' simple ('E' 'I' 'P' simple)* ('E' simple)? / 'W' 'P' simple / 'L' 'w'? 'Q' simple / simple
-loop_b <- 'I' 'P' loop_a ('E' 'I' 'P' loop_a)* ('E' loop_a)? / 'W' 'P' loop_a / 'L' 'w'? 'Q' loop_a / 'D' loop_a 'W' 'P' end / simple
+loop <- 'I' 'P' @statement ('E' @statement)? / 'W' 'P' @statement / 'L' 'w'? 'Q' @statement / 'D' @statement 'W' 'P' ';'? / ident ':' @statement
 trial <- 't' 'K' ('H' 'P'? 'K' ('Z' 'K')? / 'Z' 'K')
 function <- 'y'? 'F' '*'? ident generic 'M' anno ('K' / end) / '3'* 'C' (!'6' ident) generic ('x' ident ('.' word)* 'A'? generic)? implements 'J'
 source <- '1' 's'
 import <- 'm' 's' end / 'm' 'T'? (ident (',' ('X' / '*' '2' ident))? / 'X' / '*' '2' ident) source end
-export <- 'e' ('f' (function / value end) / '*' ('2' word)? source end / 'T'? 'X' source? end / function / declaration end / '3'* typed_statement)
-statement <- import / export / function / typed_statement / trial / 'S' 'P' 'U' / ident ':' loop_b / loop_b
+export <- 'e' ('f' (function / value end) / '*' ('2' word)? source end / 'T'? 'X' source? end / function / declaration end / typed_statement / declared)
+statement <- import / export / function / typed_statement / declared / trial / 'S' 'P' 'U' / loop / simple
 K <- statement*
 U <- (('c' expr ':' / 'f' ':') statement*)*
 member <- modifier ';' / ('3' !([=:;(MA?!]))* modifier 'y'? '*'? key generic soft ('M' anno ('K' / end) / anno ('=' value)? end) / '3' 'K'
 J <- (';' / member)*
 sign <- '8'? '3'* (key soft (generic 'M')? / generic 'M' / 'N' 'M') anno
-Y <- ';'? ((sign / word ('=' value)? / 's') ([;,]+ (sign / word ('=' value)? / 's'))* [;,]*)?
+entry <- word '=' value / sign / 's' ('=' value)?
+Y <- ';'? (entry ([;,]+ entry)* [;,]*)?
 file <- statement*
 """
     return Grammar(rules)
@@ -185,7 +185,7 @@ unary <- [-!*&>]* postfix
 expr <- unary (([-o*&] / '!') unary)*
 exprs <- expr (',' expr)*
 item <- 'n' '~'? type / '~' type / expr '~'? / type
-A <- (item (',' item)* ','? ';'?)?
+A <- 'T' !any / (item (',' item)* ','? ';'?)?
 index <- expr? ':' expr? (':' expr)? / (item (',' item)* ','?)
 B <- ('~' / index)?
 element <- expr (':' expr)?
@@ -195,9 +195,9 @@ varspec <- names (type ('=' exprs)? / '=' exprs)
 constspec <- names (type? '=' exprs)?
 importspec <- ('n' / '.')? 's'
 typespec <- 'n' 'B'? '='? type
-spec <- varspec / constspec / importspec / typespec
+spec <- importspec / varspec / typespec / constspec
 D <- (spec (';'+ spec)* ';'*)?
-field <- names type 's'? / '*'? qual 'B'? 's'? / 'n' 'A' result
+field <- 'n' 'A' result / names type 's'? / '*'? qual 'B'? 's'?
 Y <- ';'* (field (';'+ field)* ';'*)?
 assigned <- exprs ('w' / '=' / 'a') ('g' expr / exprs)
 small <- assigned / expr '>' expr / expr 'k' / expr
@@ -220,11 +220,10 @@ RUST = Grammar("""
 attr <- '#' '!'? 'B'
 refs <- ('&' 'l'? 'y'? / '*' [yc] / 'x' / 'i')*
 name <- '2'? 'n' ('2' 'n')*
-t_a <- refs (name ('<' 'g')? / 'A' / 'B' / '!' / 'l' / 'd')
-t_b <- refs (name ('2'? '<' ('n' '=')? t_a (',' ('n' '=')? t_a)* ','? 'g')? / 'A' / 'B' / '!' / 'l' / 'd')
-t_c <- refs (name ('2'? '<' ('n' '=')? t_b (',' ('n' '=')? t_b)* ','? 'g' ('2' 'n')*)? / 'A' / 'B' / '!' / 'l' / 'd')
-t_d <- refs ('<' t_c ('a' t_c)? 'g' '2' 'n' / name ('2'? '<' ('n' '=')? t_c (',' ('n' '=')? t_c)* ','? 'g' ('2' 'n')*)? / 'A' / 'B' / '!' / 'l' / 'd')
-type <- refs ('F' 'A' ('>' t_d)? / name 'A' ('>' t_d)? / t_d) ('P' '?'? t_d)*
+targ <- ('n' '=' / 'n' ':')? @type
+targs <- '2'? '<' (targ (',' targ)* ','?)? 'g'
+base <- '<' @type ('a' @type)? 'g' '2' 'n' / 'F' 'A' ('>' @type)? / name ('A' ('>' @type)? / targs ('2' 'n')*)? / 'A' / 'B' / '!' / 'l' / 'd' / 'K'
+type <- refs base ('P' '?'? refs base)*
 param <- ('l' / 'c'? 'n') (':' '?'? type)? ('=' type)?
 generic <- ('<' (param (',' param)* ','?)? 'g')?
 where <- ('w' (type ':' type (',' type ':' type)* ','?)?)?
@@ -252,7 +251,7 @@ init <- attr* ('n' / 'd') (':' expr)? / 'r' expr?
 O <- (init (',' init)* ','?)?
 arm <- attr* pattern ('I' cond)? 'f' ('K' ','? / expr (',' / !any))
 U <- arm*
-member <- attr* ('p' 'A'?)? 'n' (':' type / ('A' / 'Y')? ('=' expr)?)
+member <- attr* ('p' 'A'?)? 'n' (':' type / ('A' / 'Y' / 'O')? ('=' expr)?) / attr* 'p' 'A'? type
 Y <- (member (',' member)* ','?)?
 used <- '2'? ('n' / '*' / 'X') ('2' ('n' / '*' / 'X'))* ('a' 'n')?
 X <- (used (',' used)* ','?)?

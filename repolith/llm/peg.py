@@ -1,7 +1,7 @@
 """Parsing-expression grammars over token strings, with a packrat table.
 
-A grammar is text: rules `name <- expression`, with ordered choice `/`, `*`, `+`, `?`, `&`, `!`, quoted token characters and classes
-`[...]`. Every token is one character, a bracketed group that has been parsed is one character too (its role), so that a rule never
+A grammar is text: rules `name <- expression`, with ordered choice `/`, `*`, `+`, `?`, `&`, `!`, quoted token characters, classes
+`[...]`, names of rules given before, and `@name` for any rule, the rule itself included. Every token is one character, a bracketed group that has been parsed is one character too (its role), so that a rule never
 recurses through brackets: a group's content is looked up in the packrat table by (role, content), which files share. Ordered choice
 and repetition are compiled to atomic patterns, which is what makes them parsing expressions: no way back into a choice once taken.
 """
@@ -17,7 +17,7 @@ KEPT_GROUPS = 200_000
 #: Rules with longer patterns are called instead of being written out where they are used.
 INLINED = 400
 
-_piece = re.compile(r"\s*(?:(?P<lit>'[^']*')|(?P<cls>\[[^\]]+\])|(?P<name>[a-z_]\w*)|(?P<op>[/*+?&!()]))")
+_piece = re.compile(r"\s*(?:(?P<lit>'[^']*')|(?P<cls>\[[^\]]+\])|(?P<call>@[a-z_]\w*)|(?P<name>[a-z_]\w*)|(?P<op>[/*+?&!()]))")
 
 
 class Grammar:
@@ -63,6 +63,8 @@ class Grammar:
         if kind == "op" and text == "(":
             inner = self._choice(tokens, at)
             at[0] += 1
+        elif kind == "call":
+            inner = f"(?&{text[1:]})"
         elif kind == "lit":
             inner = "(?:" + re.escape(text[1:-1]) + ")" if len(text) > 3 else re.escape(text[1:-1])
         elif kind == "cls":

@@ -484,10 +484,10 @@ def _read_python(text: str) -> None:
 
 _SCRIPT_ENDS = set("nyqT12345678vsdrkABOKJXUYbRw")
 _SCRIPT_OPERAND = set("nyqT12345678vsdrkABOKJ")
-_SCRIPT_GOES_ON = set(".,;:?=a>o*-|gi)]EHZ6x") - set("-")
+_SCRIPT_GOES_ON = set(".,;:?=a>o*|gi)]HZ6x")
 _class_head = re.compile(r"C[nyqT1234578]?(?:<[^;]*)?(?:x[^;{}]*|6[^;{}]*)*\Z")
 _function_head = re.compile(r"F\*?[nyqT12345678]?(?:<[^;()]*g)?\Z")
-_type_open = re.compile(r"(?:4[nyqT12345678](?:[^;{}=]*)|T[nyqT12345678](?:<[^;{}]*g)?=(?:[^;{}]*[|i])?|5[nyqT12345678])\Z")
+_type_open = re.compile(r"(?:4[nyqT12345678][^;{}KY]*|T[nyqT12345678](?:<[^;{}]*g)?=(?:[^;{}]*[|i])?|5[nyqT12345678])\Z")
 _returns = re.compile(r"M:[^;{}=]*[nvsdBgY]\Z")
 
 
@@ -527,11 +527,11 @@ def _read_script(text: str, typed: bool) -> None:
             break
         else:
             token = ""
-        if line_end and token not in _SCRIPT_GOES_ON and not (kind == "mark" and token in "-" and False) and kind != "close":
-            if not (kind == "open" and text[start] in "([") and not (kind == "s" and text[start] == "`") and not (token == "-" or token == "<"):
-                tokens.append(";")
-                top.places.append(start)
-                last = ";"
+        continues = token in _SCRIPT_GOES_ON and token or token in ("-", "<") or token == "E" and last == "K" or kind == "close" or m.group(kind)[:1] in ("(", "[", "`")
+        if line_end and not continues:
+            tokens.append(";")
+            top.places.append(start)
+            last = ";"
         if token:
             top.add(token, start)
             continue
@@ -582,13 +582,14 @@ def _read_script(text: str, typed: bool) -> None:
             ahead = match(text, at)
             mark = ahead.group("mark") if ahead and ahead.lastgroup == "mark" else ahead.group("open") if ahead and ahead.lastgroup == "open" else ""
             before = outer.tokens[-1] if outer.tokens else ""
+            segment = re.split("[;KJ]", "".join(outer.tokens[-40:]))[-1]
             if mark == "=>":
                 role = "M"
-            elif outer.role in ("J", "Y") and before != "=" and "=" not in outer.tokens[-8:]:
+            elif outer.role in ("J", "Y") and "=" not in segment:
                 role = "M"
             elif outer.role == "O" and mark == "{" and (before in "nyqT12345678sdB*g"):
                 role = "M"
-            elif typed and mark == ":" and (before in ("=", "(", ",", "y", "") or outer.role == "O" and before in "nyqT12345678") and "?" not in outer.tokens[-6:]:
+            elif typed and mark == ":" and (before in ("=", "(", ",", "y", "g", "") or outer.role == "O" and before in "nyqT12345678") and "?" not in outer.tokens[-6:]:
                 role = "M"
         _finish(grammar, top, role, start)
         outer.add(role, top.begin)
@@ -597,6 +598,10 @@ def _read_script(text: str, typed: bool) -> None:
     _finish(grammar, stack[0], "file", length)
 
 
+#: A map, slice or array type, behind which braces hold a value even in a header.
+_go_literal_type = re.compile(r"(?:\A|[^nABdsO.])(?:MB|B)[MB*]*[n.]*\Z")
+
+
 def _read_go(text: str) -> None:
     grammar, match, words, marks = grammars.GO, _go.match, _GO_WORDS, _GO_MARKS
     stack = [_Group("", "file", 0)]
@@ -632,6 +637,8 @@ def _read_go(text: str) -> None:
                     lead = lead[1:]
                 if last == "r":
                     role = "Y"
+                elif _go_literal_type.search("".join(tokens[-16:])):
+                    role = "O"
                 elif top.role in ("file", "K", "U") and lead[:1] in ("S", "W"):
                     role = "U" if "K" not in lead else "O"
                 elif top.role in ("file", "K", "U") and (lead[:1] in ("I", "L") or last == "E" or re.search(r"E?I[^K]*\Z", lead) and "I" in lead):
