@@ -164,6 +164,7 @@ J <- (';' / member)*
 sign <- '8'? '3'* (key soft (generic 'M')? / generic 'M' / 'N' 'M') anno
 entry <- word '=' value / sign / 's' ('=' value)?
 Y <- ';'? (entry ([;,]+ entry)* [;,]*)?
+list <- statement*
 file <- statement*
 """
     return Grammar(rules)
@@ -261,6 +262,7 @@ item <- attr* ('p' 'A'?)? (fn / 'u' used ';' / 'm' 'n' (';' / 'K') / 'S' 'n' gen
 let <- attr* 'V' pattern (':' type)? ('=' expr ('E' 'K')?)? ';'
 statement <- ';' / let / item / attr* flow ![.?] / 'K' / attr* expr (';' / !any)
 K <- ('#' '!' 'B')* statement*
+list <- (item / macro ';'? / ';')*
 file <- ('#' '!' 'B')* (item / macro ';'? / ';')*
 """)
 

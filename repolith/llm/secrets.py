@@ -53,6 +53,7 @@ _assign = re.compile(
 _apart = re.compile(r"""`?\s+(?=\S)""")
 _quoted = re.compile(r"""(?:[rbfuRBFU]{0,2})(\"\"\"|'''|["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 _parts = re.compile(r"""(["'])(?:[ \t]*\+[ \t]*|[ \t]+)\1""")
+_plus = re.compile(r"[ \t]*(?:\+[ \t]*)?")
 _bare = re.compile(r"""[^\s"'`,;|（）()\[\]{}<>]+""")
 
 _forms = re.compile(
@@ -159,7 +160,7 @@ def _literal(text: str, at: int, sep: str, code: bool, limit: int) -> tuple[str,
     m = _quoted.match(text, at)
     if m:
         value, spans = m.group(2), [m.span(2)]
-        while (p := re.compile(r"[ \t]*(?:\+[ \t]*)?").match(text, m.end())) and text[p.end() : p.end() + 1] in ('"', "'") and text[p.end() : p.end() + 1] == m.group(1):
+        while (p := _plus.match(text, m.end())) and text[p.end() : p.end() + 1] in ('"', "'") and text[p.end() : p.end() + 1] == m.group(1):
             n = _quoted.match(text, p.end())
             if n is None or n.group(1) != m.group(1):
                 break

@@ -274,8 +274,31 @@ class _Group:
         self.places.append(place)
 
 
+#: Pieces of a list of statements that end where a statement can end.
+_statements = re.compile(r"[^;]*;|[^;]+\Z")
+_items = re.compile(r"[^;K]*[;K]|[^;K]+\Z")
+
+
+def _all_accepted(grammar: grammars.Grammar, rule: str, content: str, piece: re.Pattern[str]) -> bool:
+    """Whether a list is made of shorter lists that the rule accepts; those recur in other files, so that the table knows them."""
+    held, joined = "", 0
+    for part in piece.findall(content):
+        held += part
+        if grammar.accepts(rule, held):
+            held, joined = "", 0
+        elif joined == 3:
+            return False
+        else:
+            joined += 1
+    return not held
+
+
 def _finish(grammar: grammars.Grammar, group: _Group, rule: str, end: int) -> None:
     content = "".join(group.tokens)
+    if rule == "K" and len(content) > 12 and _all_accepted(grammar, rule, content, _statements):
+        return
+    if rule == "file" and len(content) > 12 and "list" in grammar.patterns and _all_accepted(grammar, "list", content, _items):
+        return
     if not grammar.accepts(rule, content):
         k = grammar.furthest(rule, content)
         raise _Invalid(group.places[k] if k < len(group.places) else end)
@@ -367,6 +390,7 @@ def _read_toml(text: str) -> None:
     _finish(grammar, stack[0], "file", length)
 
 
+_line_start = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*([ \t\f]*)")
 _fstring = re.compile(r"(?i)\A(?:f|fr|rf)(\"\"\"|'''|\"|')")
 _hole = re.compile(r"\{\{|\}\}|\{((?:[^{}!:'\"]|!=|'[^']*'|\"[^\"]*\"|\{[^{}]*\})*)(?:![rsa])?(?::(?:[^{}]|\{[^{}]*\})*)?\}|[{}]")
 
@@ -413,7 +437,7 @@ def _read_python(text: str) -> None:
 
     while True:
         if fresh:
-            m = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*([ \t\f]*)").match(text, at)
+            m = _line_start.match(text, at)
             at = m.end()
             if at < length and text[at] not in "#\r\n" or at >= length:
                 width = len(m.group(1).replace("\f", "").expandtabs(8))
@@ -451,7 +475,7 @@ def _read_python(text: str) -> None:
                 end_line(start)
                 fresh = True
         elif kind in ("s", "d"):
-            if kind == "s" and text[start] in "fFrR" and _fstring.match(text, start, at) is not None or kind == "s" and _fstring.match(m.group(kind)):
+            if kind == "s" and text[start] in "fFrR" and _fstring.match(m.group(kind)):
                 _check_fstring(m.group(kind), start)
             top.add(kind, start)
         elif kind == "open":
@@ -631,7 +655,9 @@ def _read_go(text: str) -> None:
             elif bracket == "[":
                 role = "B"
             else:
-                begin = max((k for k in range(len(tokens) - 1, -1, -1) if tokens[k] == ";" and not (tokens[k - 1 : k] and _in_header(tokens, k))), default=-1) + 1
+                begin = len(tokens)
+                while begin and not (tokens[begin - 1] == ";" and not _in_header(tokens, begin - 1)):
+                    begin -= 1
                 lead = "".join(tokens[begin:])
                 while lead.startswith("K") and len(lead) > 1:
                     lead = lead[1:]
