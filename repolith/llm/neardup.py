@@ -29,6 +29,8 @@ from repolith.session import cut, spread
 BUCKETS = 1 << 20
 #: The counters travel in so many pieces, so that their sum is spread over tasks.
 PIECES = 64
+#: Bytes of a shingle's hash that are kept in the join and in the verified sets; two of a pair's shingles clash once in 10 ** 14 cases.
+PACKED = 6
 #: Bits of the table that spares texts without any candidate from being read a third time.
 KEY_BITS = 26
 UNIT_CHARS = 2_000_000
@@ -176,7 +178,7 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int,
                 first &= ~repeated[owner]
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(of_set.view(np.int64)), pa.array(group.view(np.int64)), pa.array(sizes.astype(np.int32)), _list_column((value ^ kinds[owner])[first], length)],
+                    [taken.column(0), taken.column(1), pa.array(of_set.view(np.int64)), pa.array(group.view(np.int64)), pa.array(sizes.astype(np.int32)), _list_column(((value ^ kinds[owner]) >> np.uint64(16))[first], length)],
                     names=["kind", "key", "class", "group", "size", "prefix"],
                 )
 
@@ -184,7 +186,7 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int,
 
 
 def _sets(texts: DataFrame, wanted: np.ndarray, width: int, min_words: int) -> DataFrame:
-    """(class, shingles) of the texts whose key may be among the wanted ones."""
+    """(class, shingles) of the texts whose key may be among the wanted ones; PACKED bytes of each shingle hash, in order."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +200,34 @@ def _sets(texts: DataFrame, wanted: np.ndarray, width: int, min_words: int) -> D
                 begin = np.cumsum(sizes) - sizes
                 kinds = np.fromiter((word_hash(k or "") for k in batch.column(0).take(pa.array(rows)).to_pylist()), dtype=np.uint64, count=len(rows))
                 of_set = np.add.reduceat(_mixed(value + np.uint64(1)), begin) ^ kinds
-                yield pa.RecordBatch.from_arrays([pa.array(of_set.view(np.int64)), _list_column(value, sizes)], names=["class", "shingles"])
+                packed = value.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+                ends = np.cumsum(sizes) * PACKED
+                held = [packed[a:b] for a, b in zip((ends - sizes * PACKED).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(of_set.view(np.int64)), pa.array(held, type=pa.binary())], names=["class", "shingles"])
 
-    return texts.mapInArrow(run, "class bigint, shingles array<bigint>")
+    return texts.mapInArrow(run, "class bigint, shingles binary")
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    raw = np.frombuffer(held, dtype=np.uint8).reshape(-1, PACKED)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :PACKED] = raw
+    return wide.view(">u8").reshape(-1)
+
+
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (class_a, class_b) whose sets shingles_a and shingles_b are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[bool] = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = _unpacked(a), _unpacked(b)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * 100 >= (len(x) + len(y) - shared) * percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["class_a", "class_b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return pairs.select("class_a", "class_b", "shingles_a", "shingles_b").mapInArrow(run, "class_a bigint, class_b bigint")
 
 
 def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -240,14 +267,7 @@ def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words:
     wanted = key_filter(classes.join(needed, "class", "left_semi"))
     sets = _sets(texts, wanted, width, min_words).dropDuplicates(["class"])
     one, other = (sets.select(F.col("class").alias(f"class_{s}"), F.col("shingles").alias(f"shingles_{s}")) for s in "ab")
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    links = (
-        pairs.join(one, "class_a")
-        .join(other, "class_b")
-        .withColumn("shared", shared)
-        .where(F.col("shared") * 100 >= (F.size("shingles_a") + F.size("shingles_b") - F.col("shared")) * percent)
-        .select("class_a", "class_b")
-    )
+    links = _verified(pairs.join(one, "class_a").join(other, "class_b"), percent)
     return members, cut(links)
 
 
