@@ -77,10 +77,14 @@ def flatten_metadata(metadata: Column) -> Column:
     return text(F.array_join(F.flatten(F.map_values(metadata)), " "))
 
 
+def cleaned(values: Column) -> Column:
+    """Stripped non-empty values, lower-cased; an empty array for null."""
+    return F.coalesce(F.filter(F.transform(values, lambda v: F.lower(strip(v))), lambda v: F.length(v) > 0), F.array().cast("array<string>"))
+
+
 def metadata_values(metadata: Column, field: str) -> Column:
     """Stripped non-empty values of a field, lower-cased; an empty array where there is none."""
-    values = F.try_element_at(metadata, F.lit(field))
-    return F.coalesce(F.filter(F.transform(values, lambda v: F.lower(strip(v))), lambda v: F.length(v) > 0), F.array().cast("array<string>"))
+    return cleaned(F.try_element_at(metadata, F.lit(field)))
 
 
 def ordered_distinct(values: Column) -> Column:
