@@ -39,7 +39,7 @@ _split_words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Where a line deserves a closer look.
 _hint = re.compile(
-    r"pass|pwd|secret|api_?key|credential|token|_pw|pw_|-pw|pw-|AdminPw|adminPw|Pw[A-Z]|pw[A-Z]|_key|-key|Key|key_|key-|://|AKIA|gh[pousr]_|xox[abprs]-|[sr]k_live_|eyJ|Basic |Bearer |PRIVATE KEY|AIza|glpat-"
+    r"pass|pwd|secret|[Aa]pi_?[Kk]ey|credential|token|_pw|pw_|-pw|pw-|AdminPw|adminPw|Pw[A-Z]|pw[A-Z]|_key|-key|Key|key_|key-|://|AKIA|gh[pousr]_|xox[abprs]-|[sr]k_live_|eyJ|Basic |Bearer |PRIVATE KEY|AIza|glpat-"
     r"|PASS|PWD|SECRET|API_?KEY|CREDENTIAL|TOKEN|_PW|PW_|-PW|PW-|_KEY|KEY_|Pass|Secret|Credential|Token|Pwd"
 )
 _name = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_-]+[A-Za-z0-9]+)*")
