@@ -147,7 +147,8 @@ def _ends(body: str, start: int, mark: str, at: int, end: int, span: str) -> boo
         opened = _junk.sub("", body[start : end - len(span)]).rstrip()
         if span[0] in "(（":
             if wide:
-                return not opened.strip()
+                # a bracket inside a sentence follows its word without a space
+                return not opened or body[end - len(span) - 1].isspace()
         elif wide:
             return opened.endswith((":", "："))
     if dots and last in ".…‥":
