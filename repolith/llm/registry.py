@@ -122,7 +122,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of every sentence unit of every document."""
-    return sentences.sentence_ends(table(spark, sf_dir, "documents"), "doc_id", "text").distinct()
+    return sentences.sentence_ends(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").distinct()
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,7 @@
 
 A text is first cut into blocks by its layout: blank lines, headings, list items, quote blocks and fenced code. Inside a block the
 standard sentence-break properties of Unicode (STerm, ATerm, Close, Lower, OLetter ...) decide, with three additions: abbreviations
-of the languages don't end a sentence, quotations and brackets are crossed as a whole, and a script without sentence marks (Thai)
+of the paragraph's language don't end a sentence, quotations and brackets are crossed as a whole, and a script without sentence marks (Thai)
 is cut at its spaces. Offsets count code points. Work is row by row inside the scan's partitions, without a shuffle.
 
 Results: null, empty and blank texts have no units; a paragraph's rest without a mark is a unit; repeated rows count once.
@@ -29,28 +29,91 @@ def _property(*names: str) -> str:
     return "".join(re.escape(m.group()[0]) + ("-" + re.escape(m.group()[-1]) if len(m.group()) > 1 else "") for m in runs)
 
 
-# Abbreviations that never end a sentence, by language.
+# Abbreviations that never end a sentence, by language; "" has those that texts of all languages borrow.
 NEVER_LAST = {
-    "en": "dr prof mr mrs ms mt st rev gen hon sec secs fig figs eq eqs no nos vs cf e.g i.e eg ie al approx resp pp p max min ch vol ed eds ref refs tab est dept v viz",
-    "de": "nr abs art kap bd bzw ca d z b s h ggü vgl evtl ggf inkl exkl max min mind sog u o hr fr str tel",
-    "fr": "m mm mme mlle env av apr p pp chap art vol éd n° c.-à-d ex",
-    "es": "sr sra srta dr dra d dña pág págs núm núms n.º art cap aprox ej p vol ed ud uds",
-    "ru": "см разд рис табл стр гл ст т п г ул пр им тыс напр е ср",
+    "": "dr prof mr mrs vs cf e.g i.e al pp",
+    "en": "ms mt st rev gen hon fig figs eq eqs nos eg ie approx resp p ch vol ed eds dept v viz",
+    "de": "st nr abs kap bd bzw ca d z b s h ggü vgl evtl ggf inkl exkl sog u o hr fr str tel abb",
+    "fr": "st m mm mme mlle env av apr p chap vol éd n° c.-à-d fig",
+    "es": "sr sra srta dra d dña pág págs núm núms n.º aprox ej p vol fig",
+    "ru": "см разд табл стр гл ст т п г ул пр тыс напр е ср",
     "hi": "डॉ प्रो श्री सुश्री पं",
 }
 # Abbreviations that may also be a sentence's last word; what follows decides.
 MAYBE_LAST = {
-    "en": "etc a.m p.m u.s u.k u.s.a e.u inc ltd co corp llc jr sr ff ph.d",
-    "de": "usw etc u.a v.chr n.chr",
-    "fr": "etc",
-    "es": "etc ee.uu",
+    "": "etc a.m p.m u.s u.k u.s.a e.u inc ltd co corp llc jr ph.d",
+    "en": "sr ff",
+    "de": "usw u.a v.chr n.chr ff",
+    "es": "ee.uu",
     "ru": "д др пр",
 }
+# Abbreviations that are common words too. They don't end a sentence before a number, and do before another word that begins one.
+WORD_TOO = {
+    "en": "no max min tab est ref refs sec secs art cap ed",
+    "de": "art tab",
+    "fr": "art max min cap no tab réf",
+    "es": "art cap max min máx mín ed ud uds tab",
+    "ru": "рис",
+}
+# As before, but names or capital nouns follow these, so that only a frequent word behind them begins a sentence.
+BEFORE_NAMES = {"de": "max min mind", "fr": "ex", "ru": "им"}
+# Titles that are abbreviations only with a capital letter.
+TITLES = {"en": "gen hon rev ms"}
+# Units, which can end a sentence behind a number.
+UNITS = frozenset("ms s min h d m mm g sec secs st г тыс".split())
 # Month names after which a German ordinal stands.
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
+# Frequent words by which the language of a paragraph is told.
+FREQUENT = {
+    "en": "the of and to in is that it for was on are as with they be at this have from or had by but what all were we when your can there an which their if will each how them then these some her would make him into has two more no not keep run you do does why its new old after before only i he she a an so plus me or",
+    "de": "der die das und ist nicht mit ein eine einen einem einer zu von den dem des im auf für sich auch es an als er wie bei aus nach wird sind war werden noch nur oder aber wenn was wir ich sie am zum zur durch über vor dann danach diese dieser dieses warum wurde falls so hier bis kein keine alle jede in an man hat haben wurden will siehe",
+    "fr": "le la les de des du un une et est en que qui dans pour pas ne sur au aux avec ce cette il elle se sont par plus ou mais nous vous ils son sa ses être ont été pourquoi si puis alors à l d c'est on tout toutes après avant aucun a on me or",
+    "es": "el la los las de del un una y es en que no se por con para su al lo como más pero sus le ya o este esta son fue ha muy sin sobre también cuando si entre desde porque qué después luego antes todo todos cada a me he",
+    "ru": "и в не на я что он с это а по но они мы она из за к у то для от так его же затем потом если как все этот эта почему после перед мне вы когда",
+}
+LATIN = ("en", "de", "fr", "es")
+
+
+def _by_language(lists: dict[str, str]) -> dict[str, frozenset[str]]:
+    return {k: frozenset((lists.get("", "") + " " + lists.get(k, "")).split()) for k in ("en", "de", "fr", "es", "ru", "hi")}
+
+
+_never, _maybe, _word_too, _before_names, _titles, _frequent = map(_by_language, (NEVER_LAST, MAYBE_LAST, WORD_TOO, BEFORE_NAMES, TITLES, FREQUENT))
+_any_listed = frozenset().union(*(ws for lists in (_never, _maybe, _word_too, _before_names) for ws in lists.values()))
+_letters = re.compile(r"[^\W\d_]+")
+_cyrillic, _devanagari = re.compile("[\u0400-\u052f]"), re.compile("[\u0900-\u097f]")
+#: A number, also behind a stray word of another script.
+_number_ahead = re.compile(r"(?:[^\x00-\u024f\s]+\s+)?[#§]?\d|(?=[IVXLC]{2}|[VX]\b)[IVXLC]+\b")
+_number_behind = re.compile(r"\d\s*\Z")
+
+
+def _told(text: str, label: str) -> list[str]:
+    """The languages in Latin script whose frequent words stand most often in text; all of them where there is none. label decides ties."""
+    words = [w.lower() for w in _letters.findall(text)]
+    counts = [sum(w in _frequent[k] for w in words) + (k == label) / 2 for k in LATIN]
+    return [k for k, n in zip(LATIN, counts, strict=True) if n == max(counts)]
+
+
+class _Speech:
+    """The language of each paragraph of a text: by the script of the word in question, then by its frequent words and the label, then by those of the text."""
+
+    def __init__(self, text: str, label: str | None):
+        self.text = text
+        self.label = re.split("[-_ ]", (label or "").strip().lower())[0]
+        self.told: dict[str, str] = {}
+
+    def of(self, body: str, word: str) -> str:
+        if _cyrillic.match(word):
+            return "ru"
+        if _devanagari.match(word):
+            return "hi"
+        if body not in self.told:
+            left = _told(body, self.label)
+            if len(left) > 1 and self.label not in left:
+                left = [k for k in _told(self.text, self.label) if k in left] or left
+            self.told = {body: self.label if self.label in left else left[0]}
+        return self.told[body]
 
-_never = frozenset(w for ws in NEVER_LAST.values() for w in ws.split())
-_maybe = frozenset(w for ws in MAYBE_LAST.values() for w in ws.split())
 
 _ATERM, _STERM, _LOWER = _property("ATerm"), _property("STerm"), _property("Lower")
 #: Marks that end a sentence without white space behind them.
@@ -135,7 +198,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str | None]]:
         yield begin, len(text), "\n".join(parts)
 
 
-def _ends(body: str, start: int, mark: str, at: int, end: int, span: str) -> bool:
+def _ends(body: str, start: int, mark: str, at: int, end: int, span: str, speech: _Speech) -> bool:
     """Whether the sentence that began at `start` ends with `mark` at `at`, closed until `end`. span: the quotation closed here, or ''."""
     follow = _next.match(body, end)
     spaced = end < len(body) and body[end].isspace()
@@ -168,10 +231,19 @@ def _ends(body: str, start: int, mark: str, at: int, end: int, span: str) -> boo
         before = _before.search(body, max(start, at - 24), at).group()
         plain = before.rstrip(".").lower()
         tail = plain.rsplit("-", 1)[-1]
-        if plain in _maybe:
-            return starts or follow["dots"] is not None
-        if plain in _never or tail in _never or (len(plain) == 1 and plain.isalpha()):
-            return False
+        single = len(plain) == 1 and plain.isalpha()
+        if single or plain in _any_listed or tail in _any_listed:
+            language = speech.of(body, plain)
+            if plain in UNITS and before[:1].islower() and _number_behind.search(body, max(start, at - 40), at - len(before)):
+                return (starts and not _number_ahead.match(body, follow.start("word"))) or follow["dots"] is not None
+            if plain in _maybe[language]:
+                return starts or follow["dots"] is not None
+            if plain in _word_too[language] or plain in _titles[language] and before[:1].islower():
+                return (starts and not _number_ahead.match(body, follow.start("word"))) or follow["dots"] is not None
+            if plain in _before_names[language]:
+                return (starts and "".join(_letters.findall(word)[:1]).lower() in _frequent[language]) or follow["dots"] is not None
+            if plain in _never[language] or tail in _never[language] or single:
+                return False
         if before.isdigit() and len(before) <= 2 and word.rstrip(".,;:") in MONTHS.split():
             return False
     if follow["dots"] is not None:
@@ -179,9 +251,10 @@ def _ends(body: str, start: int, mark: str, at: int, end: int, span: str) -> boo
     return starts
 
 
-def unit_ends(text: str) -> list[int]:
-    """End of each unit: the number of characters up to and including its last non-blank one."""
+def unit_ends(text: str, label: str | None = None) -> list[int]:
+    """End of each unit: the number of characters up to and including its last non-blank one. label: the text's language, where known."""
     found: list[int] = []
+    speech = _Speech(text, label)
     for begin, end, body in blocks(text):
         if body is None:
             found.append(begin + len(text[begin:end].rstrip()))
@@ -209,7 +282,7 @@ def unit_ends(text: str) -> list[int]:
                     span = body[m.start() : stop]
                 else:
                     mark, at, stop, span = m["term"], m.start(), m.end(), ""
-                if not _ends(body, start, mark, at, stop, span):
+                if not _ends(body, start, mark, at, stop, span, speech):
                     continue
             if _rest_is_junk.match(body, stop):
                 break
@@ -222,14 +295,15 @@ def unit_ends(text: str) -> list[int]:
     return found
 
 
-def sentence_ends(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, end_pos), a row for each unit of each text."""
+def sentence_ends(df: DataFrame, key: str, text: str, label: str | None = None) -> DataFrame:
+    """(key, end_pos), a row for each unit of each text. label: the column of the texts' languages, if there is one."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = [unit_ends(t) for t in batch.column(1).to_pylist()]
+            ends = [unit_ends(t, k) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             owners = pa.array([k for k, e in enumerate(ends) for _ in e], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owners), pa.array([e for es in ends for e in es], type=pa.int64())], names=[key, "end_pos"])
 
-    return spread(df.select(key, text).where(F.col(text).isNotNull())).mapInArrow(run, f"`{key}` {kind}, end_pos bigint")
+    language = F.col(label) if label else F.lit(None)
+    return spread(df.select(key, text, language.cast("string").alias("language")).where(F.col(text).isNotNull())).mapInArrow(run, f"`{key}` {kind}, end_pos bigint")

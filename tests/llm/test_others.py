@@ -162,6 +162,32 @@ def test_units(text, want):
     assert units(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "label", "want"),
+    [
+        ("Keep that in mind. The next run is slow.", "EN", ["Keep that in mind.", "The next run is slow."]),
+        ("The answer is no. Restart it. See No. 3 and Art. 5 of the list.", None, ["The answer is no.", "Restart it.", "See No. 3 and Art. 5 of the list."]),
+        ("This is the state of the art. We press tab. Then it stops at the max. Next is str. Last is ex. Done", None, ["This is the state of the art.", "We press tab.", "Then it stops at the max.", "Next is str.", "Last is ex.", "Done"]),
+        ("Voici ce qu'il en est. Le reste suit dans la fig. A du texte.", "fr", ["Voici ce qu'il en est.", "Le reste suit dans la fig. A du texte."]),
+        ("Es sind mind. Drei oder max. Zehn nach Art. 5. Das ist so.", "de-DE", ["Es sind mind. Drei oder max. Zehn nach Art. 5.", "Das ist so."]),
+        ("Das ist eine neue Art. Der Rest dauert 20 ms. Danach ist er da.", None, ["Das ist eine neue Art.", "Der Rest dauert 20 ms.", "Danach ist er da."]),
+        ("El Sr. García no está. La lista es la del cap. 3 y sigue.", "es", ["El Sr. García no está.", "La lista es la del cap. 3 y sigue."]),
+        ("Keep it in mind. The end of the text is here.\n\nVgl. Abs. 3 und Kap. 4 für den Rest.", "de", ["Keep it in mind.", "The end of the text is here.", "Vgl. Abs. 3 und Kap. 4 für den Rest."]),
+    ],
+)
+def test_abbreviations_are_those_of_the_language(text, label, want):
+    at, out = 0, []
+    for end in sentences.unit_ends(text, label):
+        out.append(" ".join(text[at:end].split()))
+        at = end
+    assert out == want
+
+
+def test_sentence_table_takes_a_column_of_languages(spark):
+    df = spark.createDataFrame([(1, "Kanal 5 mind. Drei", "de"), (2, "Kanal 5 mind. Drei", "en")], "doc_id bigint, text string, lang string")
+    assert sorted(map(tuple, sentences.sentence_ends(df, "doc_id", "text", "lang").collect())) == [(1, 18), (2, 13), (2, 18)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="aB.!?。\n \r`\"“”（）1字…ก", max_size=200))
 def test_units_cover_all_but_blanks(text):
