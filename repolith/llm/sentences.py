@@ -21,10 +21,10 @@ from repolith.session import spread
 
 
 def _property(*names: str) -> str:
-    """Members of sentence-break properties in the basic plane, as the inside of a character class."""
+    """Members of sentence-break properties in all planes, as the inside of a character class."""
     import regex
 
-    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     runs = regex.finditer("[" + "".join(rf"\p{{Sentence_Break={n}}}" for n in names) + "]+", every)
     return "".join(re.escape(m.group()[0]) + ("-" + re.escape(m.group()[-1]) if len(m.group()) > 1 else "") for m in runs)
 
@@ -118,7 +118,7 @@ class _Speech:
 _ATERM, _STERM, _LOWER = _property("ATerm"), _property("STerm"), _property("Lower")
 #: Marks that end a sentence without white space behind them.
 _WIDE = "。｡！？．"
-_CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _TERM = f"[{_ATERM}{_STERM}…‥]+"
 _OPEN = "\"'“‘„«‹「『（(\\[{¿¡`*_"
 _SHUT = "”’»›」』）)\\]}"

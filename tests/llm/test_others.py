@@ -183,6 +183,15 @@ def test_abbreviations_are_those_of_the_language(text, label, want):
     assert out == want
 
 
+@pytest.mark.parametrize("mark", ["\U00011047", "\U000110be", "\U00011141", "\U000111c5", "\U000115c2", "\U00016af5", "\U0001bc9f"])
+def test_terminators_beyond_the_basic_plane(mark):
+    assert units(f"\U00011013\U00011014{mark} \U00011015{mark}") == [f"\U00011013\U00011014{mark}", f"\U00011015{mark}"]
+
+
+def test_lower_case_beyond_the_basic_plane_goes_on():
+    assert units("Bar approved. \U00010428\U00010429 rest. \U00010400\U00010429 next") == ["Bar approved. \U00010428\U00010429 rest.", "\U00010400\U00010429 next"]
+
+
 def test_sentence_table_takes_a_column_of_languages(spark):
     df = spark.createDataFrame([(1, "Kanal 5 mind. Drei", "de"), (2, "Kanal 5 mind. Drei", "en")], "doc_id bigint, text string, lang string")
     assert sorted(map(tuple, sentences.sentence_ends(df, "doc_id", "text", "lang").collect())) == [(1, 18), (2, 13), (2, 18)]
