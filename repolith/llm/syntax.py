@@ -262,17 +262,36 @@ o: == != <= >= << / % ^
 
 
 class _Group:
-    __slots__ = ("bracket", "role", "tokens", "places", "begin")
+    __slots__ = ("bracket", "role", "tokens", "places", "begin", "latest", "seen")
 
     def __init__(self, bracket: str, role: str, begin: int):
         self.bracket, self.role, self.begin = bracket, role, begin
         self.tokens: list[str] = []
         self.places: list[int] = []
+        self.latest: dict[str, int] = {}
+        self.seen = 0
 
     def add(self, token: str, place: int) -> None:
         self.tokens.append(token)
         self.places.append(place)
 
+    def last_of(self, letters: str) -> int:
+        """Index of the last token that is one of letters, -1 if there is none. Each token is looked at once in all calls."""
+        latest, tokens = self.latest, self.tokens
+        for k in range(self.seen, len(tokens)):
+            token = tokens[k]
+            latest[token] = k
+            if token == ":" and k and tokens[k - 1] == "M":
+                latest["M:"] = k - 1
+        self.seen = len(tokens)
+        return max((latest.get(c, -1) for c in letters), default=-1)
+
+    def head(self, keyword: str, bounds: str) -> str:
+        """The tokens from the last keyword on, or '' if one of bounds stands behind it."""
+        self.last_of("")
+        at = self.latest.get(keyword, -1)
+        return "".join(self.tokens[at:]) if at >= 0 and at > self.last_of(bounds) else ""
+
 
 #: Pieces of a list of statements that end where a statement can end.
 _statements = re.compile(r"[^;]*;|[^;]+\Z")
@@ -508,11 +527,23 @@ def _read_python(text: str) -> None:
 
 _SCRIPT_ENDS = set("nyqT12345678vsdrkABOKJXUYbRw")
 _SCRIPT_OPERAND = set("nyqT12345678vsdrkABOKJ")
+_RETURNED = set("nvsdBgY")
+_SCRIPT_IDENT = set("nyqT12345678")
 _SCRIPT_GOES_ON = set(".,;:?=a>o*|gi)]HZ6x")
-_class_head = re.compile(r"C[nyqT1234578]?(?:<[^;]*)?(?:x[^;{}]*|6[^;{}]*)*\Z")
-_function_head = re.compile(r"F\*?[nyqT12345678]?(?:<[^;()]*g)?\Z")
-_type_open = re.compile(r"(?:4[nyqT12345678][^;{}KY]*|T[nyqT12345678](?:<[^;{}]*g)?=(?:[^;{}]*[|i])?|5[nyqT12345678])\Z")
-_returns = re.compile(r"M:[^;{}=]*[nvsdBgY]\Z")
+_class_head = re.compile(r"C[nyqT1234578]?(?:<.*)?(?:[x6].*)?\Z")
+_function_head = re.compile(r"F\*?[nyqT12345678]?(?:<.*g)?\Z")
+_type_heads = {"4": (";KY", re.compile(r"4[nyqT12345678].*\Z")), "T": (";", re.compile(r"T[nyqT12345678](?:<.*g)?=(?:.*[|i])?\Z")), "5": (";", re.compile(r"5[nyqT12345678]\Z"))}
+_returns = re.compile(r"M:.*[nvsdBgY]\Z")
+
+
+def _opens_type(group: _Group) -> bool:
+    """Whether braces behind the group's tokens hold the members of a type."""
+    for keyword, (bounds, pattern) in _type_heads.items():
+        group.last_of("")
+        at = group.latest.get(keyword, -1)
+        if at >= 0 and "".join(group.tokens[at + 1 : at + 2]) in _SCRIPT_IDENT and pattern.match(group.head(keyword, bounds)):
+            return True
+    return False
 
 
 def _read_script(text: str, typed: bool) -> None:
@@ -562,28 +593,27 @@ def _read_script(text: str, typed: bool) -> None:
         if kind == "open":
             bracket = text[start]
             if bracket == "(":
-                near = "".join(tokens[-12:])
                 if last in ("I", "W", "S", "H"):
                     role = "P"
-                elif last == "L" or near.endswith("Lw"):
+                elif last == "L" or tokens[-2:] == ["L", "w"]:
                     role = "Q"
-                elif _function_head.search(near):
+                elif _function_head.match(top.head("F", ";K")):
                     role = "M"
                 else:
                     role = "A"
             elif bracket == "[":
                 role = "B"
             else:
-                near = "".join(tokens[-40:])
-                if _class_head.search(near):
+                near = "".join(tokens[-4:])
+                if _class_head.match(top.head("C", ";J")):
                     role = "J"
                 elif last == "P" and near.endswith("SP"):
                     role = "U"
                 elif last in ("m", "e") or near.endswith(("mn,", "mT", "eT")):
                     role = "X"
-                elif typed and _type_open.search(near):
+                elif typed and _opens_type(top):
                     role = "Y"
-                elif last in ("P", "Q", "M", "E", "t", "Z", "D", ">", "H") or typed and _returns.search(near):
+                elif last in ("P", "Q", "M", "E", "t", "Z", "D", ">", "H") or typed and last in _RETURNED and _returns.match(top.head("M:", ";=")):
                     role = "K"
                     if last == ">" and typed and top.role in ("M", "Y"):
                         role = "Y"
@@ -606,14 +636,13 @@ def _read_script(text: str, typed: bool) -> None:
             ahead = match(text, at)
             mark = ahead.group("mark") if ahead and ahead.lastgroup == "mark" else ahead.group("open") if ahead and ahead.lastgroup == "open" else ""
             before = outer.tokens[-1] if outer.tokens else ""
-            segment = re.split("[;KJ]", "".join(outer.tokens[-40:]))[-1]
             if mark == "=>":
                 role = "M"
-            elif outer.role in ("J", "Y") and "=" not in segment:
+            elif outer.role in ("J", "Y") and outer.last_of("=") <= outer.last_of(";KJ"):
                 role = "M"
             elif outer.role == "O" and mark == "{" and (before in "nyqT12345678sdB*g"):
                 role = "M"
-            elif typed and mark == ":" and (before in ("=", "(", ",", "y", "g", "") or outer.role == "O" and before in "nyqT12345678") and "?" not in outer.tokens[-6:]:
+            elif typed and mark == ":" and (before in ("=", "(", ",", "y", "g", "") or outer.role == "O" and before in "nyqT12345678") and outer.last_of("?") <= outer.last_of(",;K"):
                 role = "M"
         _finish(grammar, top, role, start)
         outer.add(role, top.begin)
@@ -663,7 +692,7 @@ def _read_go(text: str) -> None:
                     lead = lead[1:]
                 if last == "r":
                     role = "Y"
-                elif _go_literal_type.search("".join(tokens[-16:])):
+                elif _go_literal_type.search("".join(tokens[max(0, _run_start(tokens, _run_start(tokens, len(tokens), "n."), "MB*") - 1) :])):
                     role = "O"
                 elif top.role in ("file", "K", "U") and lead[:1] in ("S", "W"):
                     role = "U" if "K" not in lead else "O"
@@ -671,7 +700,7 @@ def _read_go(text: str) -> None:
                     role = "K"
                 elif top.role == "file" and lead[:1] == "F":
                     role = "K"
-                elif re.search(r"FA(?:A|[*.nBM]*)\Z", "".join(tokens[-12:])):
+                elif tokens[-3:] == ["F", "A", "A"] or tokens[max(0, (begin := _run_start(tokens, len(tokens), "*.nBM")) - 2) : begin] == ["F", "A"]:
                     role = "K"
                 elif top.role in ("file", "K", "U") and last in ("", ";", ":", "K"):
                     role = "K"
@@ -693,6 +722,13 @@ def _read_go(text: str) -> None:
     _finish(grammar, stack[0], "file", length)
 
 
+def _run_start(tokens: list[str], end: int, letters: str) -> int:
+    """Where the run of letters begins that ends before `end`."""
+    while end and tokens[end - 1] in letters:
+        end -= 1
+    return end
+
+
 def _in_header(tokens: list[str], at: int) -> bool:
     """Whether the ; at `at` separates the parts of a for, if or switch header."""
     for k in range(at - 1, -1, -1):
@@ -727,24 +763,28 @@ def _read_rust(text: str) -> None:
             top.add(kind, start)
         elif kind == "open":
             bracket = text[start]
-            near = "".join(tokens[-60:])
-            if top.role == "Z" or re.search(r"n!n?\Z", near):
+            if top.role == "Z" or re.search(r"n!n?\Z", "".join(tokens[-3:])):
                 role = "Z"
             elif bracket == "(":
                 role = "A"
             elif bracket == "[":
                 role = "B"
             else:
-                head = re.split(r"[;KUY]", near)[-1]
-                if near.endswith("2") and "u" in head or top.role == "X" or last == "u":
+                begin = top.last_of(";KUY") + 1
+                choice, test = top.last_of("M"), top.last_of("IWL")
+                lead = begin
+                while tokens[lead : lead + 2] == ["#", "B"]:
+                    lead += 2
+                lead_text = "".join(tokens[lead : lead + 12])
+                if last == "2" and top.last_of("u") >= begin or top.role == "X" or last == "u":
                     role = "X"
-                elif re.match(r"(?:#B)*(?:pA?)?[Se]n", head):
+                elif re.match(r"(?:pA?)?[Se]n", lead_text):
                     role = "Y"
-                elif re.search(r"M[^MKU]*\Z", head) and "f" not in head[head.rfind("M") :]:
+                elif choice >= begin and top.last_of("f") < choice:
                     role = "U"
-                elif re.search(r"(?:\A|[^.])(?:I|W|L)[^IWLK]*\Z", head) and "f" not in head[max(head.rfind(c) for c in "IWL") :]:
+                elif test >= begin and (test == begin or tokens[test - 1] != ".") and top.last_of("f") < test:
                     role = "K"
-                elif last in ("", ";", "K", "U", "E", "D", "q", "f", "|", "h", "=") and last != "=" or re.match(r"(?:#B)*(?:pA?)?[qc]*s?(?:F|i|t|m)", head):
+                elif last in ("", ";", "K", "U", "E", "D", "q", "f", "|", "h", "=") and last != "=" or re.match(r"(?:pA?)?[qc]*s?(?:F|i|t|m)", lead_text):
                     role = "K"
                 elif last == "n" and top.role not in ("file",):
                     role = "O"

@@ -178,3 +178,26 @@ def test_table_and_rates(spark):
     rates = {(r.repo_id, r.language): (r.files, r.invalid) for r in syntax.rates(found).collect()}
     assert rates[("r", "python")] == (2, 1) and rates[(None, None)] == (4, 2)
     assert syntax.failures(df.limit(0)).count() == 0
+
+
+_UNION = " | ".join(f"{{ kind: 'k{i}'; size: number; }}" for i in range(40))
+_BOUNDS = ", ".join(f"T{i} extends Base<T{i}>" for i in range(30))
+_STEPS = ".".join(f"step{i}" for i in range(80))
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("typescript", "function pick<T extends object, K extends keyof T, V>(o: T) { return o; }\n"),
+        ("typescript", f"export type Event = {_UNION};\n"),
+        ("typescript", f"export class Store<{_BOUNDS}> extends Base<T1> {{\n  take(key: string): T1 {{ return this.all[key]; }}\n}}\n"),
+        ("typescript", f"function all<{_BOUNDS}>(first: T1, rest: T2): T1 {{ return first; }}\n"),
+        ("typescript", f"function made(first: number): Pair<{', '.join(f'A{i}' for i in range(40))}> {{ return first; }}\n"),
+        ("rust", f"fn go(x: A) -> u8 {{ match x.{_STEPS} {{ 1 => 2, _ => 3, }} }}\n"),
+        ("rust", f"fn go(x: A) {{ if x.{_STEPS} {{ run(); }} }}\n"),
+        ("go", f"package a\n\nfunc f() {{\n\tg(func(x int) {'[]' * 14}*b.C {{\n\t\treturn nil\n\t}})\n}}\n"),
+    ],
+)
+def test_long_heads_keep_their_role(language, text):
+    assert syntax.check(language, text) is None
+    assert syntax.check(language, text.rstrip()[:-1] + "}}") is not None
