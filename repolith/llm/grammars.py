@@ -167,6 +167,7 @@ Y <- ';'? (entry ([;,]+ entry)* [;,]*)?
 list <- statement*
 file <- statement*
 """
+    rules += "hole <- expr !any / type\n" if typed else "hole <- expr\n"
     return Grammar(rules)
 
 
@@ -213,12 +214,13 @@ top <- 'F' 'A'? 'n' 'B'? 'A' result 'K'? / 'V' ('D' / varspec) / 'c' ('D' / cons
 file <- ';'* 'p' 'n' end (';' / 'i' ('D' / importspec) end)* (';' / top end)*
 """)
 
-# Groups: A parentheses, B brackets, K block, O struct literal, U match body, Y fields or variants, X use list, Z contents of a macro (any tokens).
+# Groups: A parentheses, B brackets, Q attribute, K block, O struct literal, U match body, Y fields or variants, X use list, Z contents of a macro (any tokens).
 # Keywords: F fn, V let, c const static, T type, u use, m mod, S struct union, e enum, i impl, t trait, I if, E else, M match, W while, L for, N in,
 # D loop, R return, b break continue, p pub, q unsafe async extern move, w where, a as, y mut ref, x dyn. Marks: 2 ::, > ->, < and g angle
 # brackets, f =>, = =, + augmented, P plus, & && or &, * *, - -, ! !, ? ?, o other binary, | |, h ||, r range, l lifetime, # attribute, @ @.
 RUST = Grammar("""
-attr <- '#' '!'? 'B'
+attr <- '#' '!'? 'Q'
+Q <- any*
 refs <- ('&' 'l'? 'y'? / '*' [yc] / 'x' / 'i')*
 name <- '2'? 'n' ('2' 'n')*
 targ <- ('n' '=' / 'n' ':')? @type
@@ -247,7 +249,8 @@ expr <- closure* jump ([=+] jump)*
 after <- &',' / !any
 arg <- attr* (('&' 'l'? 'y'? 'n') after / expr after / pattern ':' type after / 'p' 'A'? type after / type after / pattern after)
 A <- (arg (',' arg)* ','?)?
-B <- (expr (',' expr)* ','? / expr ';' expr / type ';' expr / type) !any / any*
+slot <- ('y'* 'n' '@')? pattern
+B <- (attr* expr (',' attr* expr)* ','?)? !any / expr ';' expr !any / type ';' expr !any / type !any / slot (',' slot)* ','?
 init <- attr* ('n' / 'd') (':' expr)? / 'r' expr?
 O <- (init (',' init)* ','?)?
 arm <- attr* pattern ('I' cond)? 'f' ('K' ','? / expr (',' / !any))
@@ -261,9 +264,9 @@ fn <- [cq]* 's'? 'F' 'n' generic 'A' ('>' type)? where ('K' / ';')
 item <- attr* ('p' 'A'?)? (fn / 'u' used ';' / 'm' 'n' (';' / 'K') / 'S' 'n' generic ('A' where ';' / where 'Y' / ';') / 'e' 'n' generic where 'Y' / 'q'? 'i' generic '!'? type ('L' type)? where 'K' / 'q'? 't' 'n' generic (':' type)? where 'K' / 'T' 'n' generic (':' type)? ('=' type)? ';' / 'c' 'y'? 'n' ':' type ('=' expr)? ';' / 'q' 's'? 'K')
 let <- attr* 'V' pattern (':' type)? ('=' expr ('E' 'K')?)? ';'
 statement <- ';' / let / item / attr* flow ![.?] / 'K' / attr* expr (';' / !any)
-K <- ('#' '!' 'B')* statement*
+K <- ('#' '!' 'Q')* statement*
 list <- (item / macro ';'? / ';')*
-file <- ('#' '!' 'B')* (item / macro ';'? / ';')*
+file <- ('#' '!' 'Q')* (item / macro ';'? / ';')*
 """)
 
 JAVASCRIPT = _script(typed=False)

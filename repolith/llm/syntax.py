@@ -159,9 +159,10 @@ T: type
 7: namespace module
 8: keyof infer unique asserts
 """)
-_template = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}]|\{[^{}]*\})*\}|`(?:[^`\\]|\\[\s\S])*`)*\})*+`"
+#: A template's text up to its end or its next hole.
+_template = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:`|\$\{)")
 _script = re.compile(
-    r"(?P<gap>(?:\s|\ufeff|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:(?P<name>" + _NAME + r")|(?P<s>" + r'"(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?:[^'\\\n]|\\[\s\S])*+'|" + _template + r")"
+    r"(?P<gap>(?:\s|\ufeff|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:(?P<name>" + _NAME + r")|(?P<s>" + r'"(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?:[^'\\\n]|\\[\s\S])*+')|(?P<tick>`)"
     r"|(?P<d>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
     r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|\?(?=\.\D)|[-+*/%&|^!~<>=?:.,;#@])|(?P<end>\Z))"
 )
@@ -410,14 +411,89 @@ def _read_toml(text: str) -> None:
 
 
 _line_start = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*([ \t\f]*)")
-_fstring = re.compile(r"(?i)\A(?:f|fr|rf)(\"\"\"|'''|\"|')")
-_hole = re.compile(r"\{\{|\}\}|\{((?:[^{}!:'\"]|!=|'[^']*'|\"[^\"]*\"|\{[^{}]*\})*)(?:![rsa])?(?::(?:[^{}]|\{[^{}]*\})*)?\}|[{}]")
+_fstring = re.compile(r"(?P<raw>[rR])?[fF](?(raw)|(?P<raw2>[rR])?)(?P<quote>\"\"\"|\'\'\'|\"|\')")
+_literal_run = re.compile(r"[^\\{}\"'\n]+")
+_gap = re.compile(r"\s*")
+_hole_end = re.compile(r"\s*(?:=(?!=)\s*)?(?:!\s*[rsa]\s*)?(?=[:}])")
 
 
-def _check_fstring(text: str, start: int) -> None:
-    for hole in _hole.finditer(text):
-        if hole.group() in ("{", "}") or hole.group(1) is not None and not hole.group(1).strip(" =\n\t"):
-            raise _Invalid(start + hole.start())
+def _read_fstring(text: str, m: re.Match[str]) -> int:
+    """End of the f-string that begins with m. Its holes are read as expressions."""
+    return _literal_part(text, m.end(), m["quote"], bool(m["raw"] or m["raw2"]), False) + len(m["quote"])
+
+
+def _literal_part(text: str, at: int, quote: str, raw: bool, in_format: bool) -> int:
+    """Where a part of an f-string ends: at its quotes, or at the brace behind a format."""
+    while at < len(text):
+        run = _literal_run.match(text, at)
+        if run:
+            at = run.end()
+            continue
+        c = text[at]
+        if text.startswith(quote, at):
+            if in_format:
+                raise _Invalid(at)
+            return at
+        if c == "\\":
+            if not raw and text.startswith("N{", at + 1):
+                at = text.find("}", at)
+                if at < 0:
+                    break
+                at += 1
+            else:
+                at += 1 if text[at + 1 : at + 2] in ("{", "}") else 2
+        elif c == "\n" and len(quote) == 1:
+            raise _Invalid(at)
+        elif c == "{":
+            if not in_format and text.startswith("{", at + 1):
+                at += 2
+            else:
+                at = _read_hole(text, at + 1, quote, raw) + 1
+        elif c == "}":
+            if in_format:
+                return at
+            if not text.startswith("}", at + 1):
+                raise _Invalid(at)
+            at += 2
+        else:
+            at += 1
+    raise _Invalid(len(text))
+
+
+def _read_hole(text: str, at: int, quote: str, raw: bool) -> int:
+    """Where the hole that begins at `at` is closed."""
+    grammar = grammars.PYTHON
+    stack = [_Group("{", "yielded", at)]
+    while True:
+        if len(stack) == 1 and (end := _hole_end.match(text, at)) and not (end.end() == at and not stack[0].tokens):
+            _finish(grammar, stack[0], "yielded", at)
+            at = end.end()
+            return at if text[at] == "}" else _literal_part(text, at + 1, quote, raw, True)
+        start = _gap.match(text, at).end()
+        inner = _fstring.match(text, start)
+        if inner:
+            stack[-1].add("s", start)
+            at = _read_fstring(text, inner)
+            continue
+        m = _python.match(text, at)
+        if m is None or m.lastgroup == "end":
+            raise _Invalid(start)
+        kind, top = m.lastgroup, stack[-1]
+        start, at = m.start(kind), m.end()
+        if kind == "name":
+            top.add(_PYTHON_WORDS.get(m.group(kind), "n"), start)
+        elif kind == "mark":
+            top.add(_PYTHON_MARKS[m.group(kind)], start)
+        elif kind in ("s", "d"):
+            top.add(kind, start)
+        elif kind == "open":
+            stack.append(_Group(text[start], {"(": "P", "[": "B", "{": "D"}[text[start]], start))
+        elif kind == "close":
+            if len(stack) == 1 or _pair.get(top.bracket) != text[start]:
+                raise _Invalid(start)
+            _finish(grammar, top, top.role, start)
+            stack.pop()
+            stack[-1].add(top.role, top.begin)
 
 
 def _read_python(text: str) -> None:
@@ -485,7 +561,10 @@ def _read_python(text: str) -> None:
             raise _Invalid(at)
         kind, top = m.lastgroup, stack[-1]
         start, at = m.start(kind), m.end()
-        if kind == "name":
+        if kind in ("s", "name") and text[start] in "fFrR" and (literal := _fstring.match(text, start)):
+            at = _read_fstring(text, literal)
+            top.add("s", start)
+        elif kind == "name":
             top.add(words.get(m.group(kind), "n"), start)
         elif kind == "mark":
             top.add(marks[m.group(kind)], start)
@@ -494,8 +573,6 @@ def _read_python(text: str) -> None:
                 end_line(start)
                 fresh = True
         elif kind in ("s", "d"):
-            if kind == "s" and text[start] in "fFrR" and _fstring.match(m.group(kind)):
-                _check_fstring(m.group(kind), start)
             top.add(kind, start)
         elif kind == "open":
             bracket = text[start]
@@ -590,6 +667,20 @@ def _read_script(text: str, typed: bool) -> None:
         if token:
             top.add(token, start)
             continue
+        if kind == "tick" or kind == "close" and text[start] == "}" and top.bracket == "`":
+            if kind == "close":
+                _finish(grammar, top, "hole", start)
+                stack.pop()
+                start = top.begin
+            part = _template.match(text, at)
+            if part is None:
+                raise _Invalid(length)
+            at = part.end()
+            if text[at - 1] == "`":
+                stack[-1].add("s", start)
+            else:
+                stack.append(_Group("`", "hole", start))
+            continue
         if kind == "open":
             bracket = text[start]
             if bracket == "(":
@@ -768,12 +859,12 @@ def _read_rust(text: str) -> None:
             elif bracket == "(":
                 role = "A"
             elif bracket == "[":
-                role = "B"
+                role = "Q" if last == "#" or tokens[-2:] == ["#", "!"] else "B"
             else:
                 begin = top.last_of(";KUY") + 1
                 choice, test = top.last_of("M"), top.last_of("IWL")
                 lead = begin
-                while tokens[lead : lead + 2] == ["#", "B"]:
+                while tokens[lead : lead + 2] == ["#", "Q"]:
                     lead += 2
                 lead_text = "".join(tokens[lead : lead + 12])
                 if last == "2" and top.last_of("u") >= begin or top.role == "X" or last == "u":

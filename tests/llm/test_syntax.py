@@ -201,3 +201,46 @@ _STEPS = ".".join(f"step{i}" for i in range(80))
 def test_long_heads_keep_their_role(language, text):
     assert syntax.check(language, text) is None
     assert syntax.check(language, text.rstrip()[:-1] + "}}") is not None
+
+
+FSTRINGS = """f"{a b}"|f"{x +}"|f"{foo(}"|f"{a}"|f"{}"|f"{ }"|f"{a!r}"|f"{a!x}"|f"{a=}"|f"{a = !s:>10}"|f"{a:{w}.{p}}"|f"{a:{w +}}"|f"{{a b}}"|f"}"|f"{"|f"{d["k"]}"|f"{', '.join(x for x in y)}"
+f"{a if b else c}"|f"{a if b}"|f"{(lambda x: 1)(2)}"|f"{lambda x: 1}"|f"{a != b}"|f"{a == b}"|f"{*a, b}"|f"{x:=5}"|f"{(x:=5)}"|rf"\\d{a}\\{b}"|f"\\N{EM DASH}{a}"|f"{f'{a b}'}"|f"{f'{a}'}"|f"a{b}c" "d" f'{e f}'
+f"{[1, 2,,]}"|f"{{1: 2}[1]}"|f"{ {1: 2}[1] }"|f"{a:%H:%M}"|f"{a,}"|f"{,}"|f"{yield}"|f"{x for x in y}"|f"{not}"|f"{a!r:^{w}}"|F"{a)}"|f"{a:}}"|f"{a]}"|f'{a["b"]:x}'|f"{a!r b}\"""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("literal", FSTRINGS)
+def test_holes_of_fstrings_like_the_standard_parser(literal):
+    for text in (f"def f(a):\n    return {literal}\n", f"x = [{literal}, 1]\n"):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                ast.parse(text)
+                want = True
+            except SyntaxError:
+                want = False
+        assert (syntax.check("python", text) is None) == want, text
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+@pytest.mark.parametrize(
+    ("hole", "valid"),
+    [("a b", False), ("f(", False), ("", False), ("a +", False), ("a", True), ("f({a: {b: {c: {d: 1}}}})", True), ("`x${y}z`", True), ("`x${y z}`", False), ("xs.map((x) => { return `<${x}>`; }).join('')", True), ("a ? '}' : \"`\"", True), ("f(]", False)],
+)
+def test_holes_of_templates(language, hole, valid):
+    assert (syntax.check(language, f"const s = `a${{{hole}}}b`;\nconst t = tag`${{1}}${{{hole}}}`;\n") is None) == valid
+
+
+def test_template_types_and_plain_templates():
+    assert syntax.check("typescript", "type A = `${Uppercase<B>}-${string}`;\nconst a = `$ {x} \\` $`;\n") is None
+    assert syntax.check("javascript", "const a = `${b;\n") is not None and syntax.check("javascript", "const a = `b\n") is not None
+
+
+@pytest.mark.parametrize("text", ["let a = [1 2 3,,];", "v[i +];", "let a = [,];", "let a = [1; 2; 3];", "let a = [x y];"])
+def test_rust_brackets_are_read(text):
+    assert syntax.check("rust", "fn f() { " + text + " }\n") is not None
+
+
+def test_rust_brackets_of_all_kinds():
+    lines = ["let a = [];", "let a = [1, 2, 3,];", "let a: [u8; 4] = [0; N];", "let b: &[&'static str] = &x[1..];", "let [x, .., y] = z;", "if let [first, rest @ ..] = v { f(); }", "let c: [Box<dyn Fn()>; 3] = d;", "match v { [Some(a), None] => 1, [1..=5, _] => 2, [] => 3, _ => 4, };", "let e = m[&k][i + 1];", "let g = [[0u8; 2]; 3];", "let h = [|x| x + 1, f];"]
+    text = '#![allow(dead_code)]\nuse a::b;\n#[derive(Debug, Clone)]\n#[cfg(any(unix, feature = "x"))]\nstruct A { #[serde(rename = "b")] b: Vec<[u8; 2]> }\nfn f() {\n' + "\n".join(lines) + "\n}\n"
+    assert syntax.check("rust", text) is None
