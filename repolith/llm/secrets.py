@@ -29,6 +29,8 @@ CREDENTIAL_PAIRS = frozenset(
     "api key, auth token, access token, refresh token, private token, session token, bearer token, bot token, secret key, signing key, encryption key, "
     "private key, access key, tls key, master key, license key, account key, db pass, smtp pass, user pass, root pass, admin pass, admin pw, db pw, root pw, user pw".split(", ")
 )
+# Words of a name whose value a person chose.
+PASSWORD_WORDS = frozenset("password passwd pwd passphrase passcode pass pw".split())
 # Words that make a name speak about a credential instead of holding one.
 ABOUT_WORDS = frozenset(
     "hint name names length len min max budget prefix suffix env id ids url uri path file dir policy pool count ttl expiry expires age rotation label field title "
@@ -37,13 +39,14 @@ ABOUT_WORDS = frozenset(
 
 _split_words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
-#: Where a line deserves a closer look.
-_hint = re.compile(
-    r"pass|pwd|secret|[Aa]pi_?[Kk]ey|credential|token|_pw|pw_|-pw|pw-|AdminPw|adminPw|Pw[A-Z]|pw[A-Z]|_key|-key|Key|key_|key-|://|AKIA|gh[pousr]_|xox[abprs]-|[sr]k_live_|eyJ|Basic |Bearer |PRIVATE KEY|AIza|glpat-"
-    r"|PASS|PWD|SECRET|API_?KEY|CREDENTIAL|TOKEN|_PW|PW_|-PW|PW-|_KEY|KEY_|Pass|Secret|Credential|Token|Pwd"
-)
+_last_words = {n.rsplit(" ", 1)[-1] for n in CREDENTIAL_WORDS | CREDENTIAL_PAIRS}
+#: What every credential's name has in it: the last words that hold no other one.
+_stems = "|".join(sorted(w for w in _last_words if not any(o != w and o in w for o in _last_words)))
+#: Where a line in small letters deserves a closer look: a stem, or what every telling form of a value has in it.
+_hint = re.compile(rf"{_stems}|://|akia|gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|eyj|basic\s|bearer\s|aiza|glpat-|\?sig|&sig")
+#: The same for names only: their words with any separator or none.
+_cred_hint = re.compile("|".join(sorted(n.replace(" ", "[_-]*") for n in CREDENTIAL_WORDS | CREDENTIAL_PAIRS)))
 _name = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_-]+[A-Za-z0-9]+)*")
-_cred_hint = re.compile(r"(?i)pass|pwd|secret|key|credential|token|pw")
 _annotation = r"""(?:\s*:\s*(?:&\s*)?(?:'\w+\s+)?(?:static\s+)?[A-Za-z_][\w.<>\[\]]*(?=[ \t]+=\s)|\s*:\s*\([^()]*\)(?=\s*=)|\s+(?:string|str|String)(?=\s*=))?"""
 _assign = re.compile(
     rf"""(?P<quote>["'`]?){_annotation}\s*(?P<sep>:=|=>|\|\||\?\?|=(?!=)|:(?!:)|\||,)[ \t]*"""
@@ -71,6 +74,8 @@ _masked = re.compile(r"^[xX*.•#_=+-]*$|x{5,}|\*{4,}|•{3,}|\.{3,}")
 _placeholder = re.compile(
     r"(?i)^(?:your|my|the|some|any)[-_ ]|change[-_ ]?(?:me|this|it)|replace[-_ ]?(?:me|this|with)|example|place[-_ ]?holder|dummy|redacted|todo|fixme|insert[-_ ]|^(?:none|null|nil|true|false|undefined|password|passwd|secret|token|test|string|str)$"
 )
+#: Labels, messages, commands and types that stand under a password's name.
+_speaks_about = re.compile(r"(?i)\b(?:passwords?|passwd|passphrases?|passcodes?|secrets?|credentials?)\b|\b(?:must|should|required|optional|invalid|missing|please|enter|confirm|forgot|at least)\b|(?:^|\s)--?[a-z]|^(?:text|hidden|boolean|varchar|char|number|object|any)$")
 _constant = re.compile(r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*$")
 _dotted = re.compile(r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
 
@@ -78,6 +83,12 @@ _dotted = re.compile(r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
 CODE = frozenset("py js mjs cjs jsx ts tsx go rs java c h cc cpp cs rb php".split())
 
 
+def _small(text: str) -> str:
+    """text in small letters, each at its place."""
+    small = text.lower()
+    return small if len(small) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def names_credential(name: str) -> bool:
     words = [w.lower() for w in _split_words.findall(name)]
     if ABOUT_WORDS.intersection(words):
@@ -85,12 +96,19 @@ def names_credential(name: str) -> bool:
     return bool(CREDENTIAL_WORDS.intersection(words)) or any(f"{a} {b}" in CREDENTIAL_PAIRS for a, b in zip(words, words[1:], strict=False))
 
 
+def names_password(name: str) -> bool:
+    """Whether a credential's name speaks of a word that a person chose, which can have any form."""
+    return bool(PASSWORD_WORDS.intersection(w.lower() for w in _split_words.findall(name)))
+
+
 def _mixed(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
 
 
-def is_usable(value: str, quoted: bool) -> bool:
-    """Whether a literal under a credential's name can be a real value."""
+def is_usable(value: str, quoted: bool, chosen: bool = False) -> bool:
+    """Whether a literal under a credential's name can be a real value. chosen: whether the name is one of a password."""
+    if quoted and chosen:
+        return bool(value.strip()) and not (_reference.search(value) or _masked.search(value) or _placeholder.search(value) or _constant.match(value) and "_" in value or _dotted.match(value) and not any(_mixed(p) or len(p) >= 20 for p in value.split(".")) or "://" in value or _speaks_about.search(value))
     if len(value) < 6 or " " in value or value.isdigit() or _reference.search(value) or _masked.search(value) or _placeholder.search(value):
         return False
     if _constant.match(value) and not (any(c.isdigit() for c in value) and "_" not in value and len(value) >= 16):
@@ -191,7 +209,8 @@ def find_secrets(text: str, extension: str = "") -> list[list[tuple[int, int]]]:
         taken.append(m.span())
     done = -1
     length = len(text)
-    for hint in _hint.finditer(text):
+    small = _small(text)
+    for hint in _hint.finditer(small):
         if hint.start() < done:
             continue
         begin = text.rfind("\n", 0, hint.start()) + 1
@@ -207,12 +226,12 @@ def find_secrets(text: str, extension: str = "") -> list[list[tuple[int, int]]]:
                 spans = [(begin + spot[0], begin + spot[1])] if not places else _runs(places[spot[0] : spot[1]])
                 found.setdefault(spans[0][0], spans)
         row = text[begin:end]
-        if not _cred_hint.search(row):
+        if not _cred_hint.search(small, begin, end):
             continue
         code_line = extension in CODE
         comment = re.match(r"\s*(?:L\d+:\s*)?(?:#|//|\*|/\*|--|;|<!--)", row)
         for name in _name.finditer(row):
-            if not _cred_hint.search(name.group()) or not names_credential(name.group()):
+            if not _cred_hint.search(small, begin + name.start(), begin + name.end()) or not names_credential(name.group()):
                 continue
             at = begin + name.end()
             before = row[max(0, name.start() - 2) : name.start()]
@@ -228,7 +247,7 @@ def find_secrets(text: str, extension: str = "") -> list[list[tuple[int, int]]]:
                     value = None
             else:
                 continue
-            if value and is_usable(value[0], value[2]) and not any(a <= value[1][0][0] < b for a, b in taken):
+            if value and is_usable(value[0], value[2], names_password(name.group())) and not any(a <= value[1][0][0] < b for a, b in taken):
                 if _forms.search(value[0]) or re.match(r"(?:Basic|Bearer)\b", value[0]) or "AKIA" in value[0][:4]:
                     continue
                 found.setdefault(value[1][0][0], value[1])

@@ -69,3 +69,33 @@ def test_table(spark):
     assert {tuple(r) for r in S.secret_lines(df).collect()} == {("f", "1", 1), ("c", "2", 3)}
     assert {r.key: r.secrets for r in S.redacted(df).collect()} == {"1": 1, "2": 1, "3": 0, "4": 0}
     assert S.secret_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["dbPw", "rootPw", "userPw", "X-API-KEY", "SIGNING-KEY", "TLS-KEY", "apiKEY", "MASTER__KEY", "Auth-Token", "adminPW"])
+def test_names_in_any_spelling(name):
+    assert lines(f'{name}: "{VALUE}"') == [1] and lines(f"{name}: {VALUE}") == [1]
+    assert lines(f'ß İ\n{name} = "{VALUE}"') == [2]
+
+
+def test_no_name_is_dropped_by_the_line_filter():
+    for name in S.CREDENTIAL_WORDS | S.CREDENTIAL_PAIRS:
+        first, *rest = name.split(" ")
+        for spelling in ("_".join([first, *rest]), "-".join([first, *rest]).upper(), first + "".join(w.title() for w in rest), first + "".join(w.upper() for w in rest)):
+            assert S.names_credential(spelling) and S._hint.search(spelling.lower()) and S._cred_hint.search(spelling.lower()), spelling
+
+
+PASSWORDS = ["correct horse battery staple", "90" + "2715", "a1" + "b", "Tr!cky" + "Pass", "letme" + "in!", "Summer" + "Rain"]
+
+
+@pytest.mark.parametrize("value", PASSWORDS)
+def test_passwords_of_any_form(value):
+    text = f'a = 1\ndb_password = "{value}"  # keep'
+    found = S.find_secrets(text, "py")
+    assert S.line_numbers(text, found) == [2]
+    clean = S.redact(text, found)
+    assert value not in clean and clean.endswith('"  # keep') and len(clean) == len(text)
+
+
+@pytest.mark.parametrize("value", ["", "   ", "your password here", "must be at least 8 characters", "Enter your password", "${DB_PASSWORD}", "DB_PASSWORD", "settings.db.password", "****", "changeme", "string", "tool --pass -q"])
+def test_quoted_labels_and_references_are_let_through(value):
+    assert S.find_secrets(f'db_password = "{value}"') == []
