@@ -7,6 +7,7 @@ Null and empty contents give no rows; contents that don't parse fall back to the
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -82,9 +83,26 @@ def _calls(node: ast.AST) -> list[str]:
     return list(names)
 
 
+#: Line rules of Python as the JVM reads them, for contents without a tree.
+_python_rules = [(kind, re.compile(pattern, re.ASCII)) for kind, pattern in SYMBOL_RULES["py"]]
+_line_end = re.compile(LINE_END)
+_listed = re.compile(r"\(([^)]*)\)")
+
+
+def _ruled_symbols(content: str) -> Iterator[tuple[str, str, int, list[str]]]:
+    """(symbol_type, name, line_number, parameters) by the line rules."""
+    for number, line in enumerate(_line_end.split(content), 1):
+        for kind, pattern in _python_rules:
+            if m := pattern.match(line):
+                listed = _listed.search(line, m.end()) if kind != "class" else None
+                names = [p.split(":")[0].split("=")[0].strip() for p in listed.group(1).split(",")] if listed else []
+                yield kind, m.group(1), number, [n for n in names if n.isidentifier()]
+                break
+
+
 def python_trees(files: DataFrame, max_calls: int = 12) -> DataFrame:
     """Functions, methods and classes of Python files from their syntax trees: (repo_id, path, symbol_type, qualified_name, line_start,
-    line_end, parameters, called_symbols). Files that don't parse give no rows here."""
+    line_end, parameters, called_symbols). Files that don't parse give a row for each line that the line rules find, without calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore")
@@ -95,6 +113,7 @@ def python_trees(files: DataFrame, max_calls: int = 12) -> DataFrame:
                 try:
                     tree = ast.parse(content)
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    rows += [(repo, path, kind, name, number, number, names, []) for kind, name, number, names in _ruled_symbols(content)]
                     continue
                 stack: list[tuple[ast.AST, str]] = [(n, "") for n in reversed(tree.body)]
                 while stack:
@@ -105,6 +124,8 @@ def python_trees(files: DataFrame, max_calls: int = 12) -> DataFrame:
                     elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                         args = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)]
                         rows.append((repo, path, "method" if owner else "function", owner + node.name, node.lineno, node.end_lineno, args, _calls(node)[:max_calls]))
+                    elif isinstance(node, (ast.stmt, ast.ExceptHandler, ast.match_case)):
+                        stack += [(n, owner) for n in reversed(list(ast.iter_child_nodes(node))) if isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case))]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 

@@ -104,6 +104,17 @@ def test_code_rows(spark):
     assert codeindex.symbols(files.limit(0), "js").count() == 0
 
 
+def test_python_rows_without_a_tree_and_under_statements(spark):
+    cut = "class Store:\n    def find(self, key: str = 1, *rest):\n        return 1\n\nasync def main(a, b):\n    x = (1,\n"
+    deep = "if x:\n    def a(): pass\nelse:\n    def b(): pass\ntry:\n    class C:\n        if y:\n            def d(self): pass\nexcept E:\n    def e(): pass\nfinally:\n    def f(): pass\nwith w:\n    for i in j:\n        async def g(): pass\nmatch m:\n    case 1:\n        def h():\n            def inner(): pass\n"
+    files = spark.createDataFrame([("r", "cut.py", cut), ("r", "deep.py", deep), ("r", "none.py", None), ("r", "empty.py", "x = 1\n")], "repo_id string, path string, content string")
+    got = codeindex.python_trees(files).collect()
+    assert [(r.symbol_type, r.qualified_name, r.line_start, r.line_end, r.parameters, r.called_symbols) for r in got if r.path == "cut.py"] == [("class", "Store", 1, 1, [], []), ("method", "find", 2, 2, ["self", "key"], []), ("function", "main", 5, 5, ["a", "b"], [])]
+    assert {(r.symbol_type, r.qualified_name) for r in got if r.path == "deep.py"} == {("function", n) for n in "abefgh"} | {("class", "C"), ("method", "C.d")}
+    ruled = codeindex.symbols(files.where("path = 'cut.py'"), "py").collect()
+    assert {(r.symbol_type, r.name, r.line_number) for r in ruled} == {(r.symbol_type, r.qualified_name, r.line_start) for r in got if r.path == "cut.py"}
+
+
 def test_profiles(spark):
     signals = spark.createDataFrame([("r", "language", "python", "weak", "x", 2), ("r", "language", "Python", "strong", "m", 0), ("r", "language", "Go", "weak", "x", 1)], "repo_id string, category string, name string, evidence_level string, evidence_source string, seq int")
     best = {r.name: r.evidence_level for r in profile.strongest(signals).collect()}
