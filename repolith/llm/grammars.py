@@ -1,273 +1,380 @@
 """Parsing-expression grammars of the languages whose files are checked; see peg for the notation.
 
-Lower-case n is a name, s a string, d a number, v another literal, ; the end of a statement, written or implied. The other characters
-are keywords, marks and the roles of groups, listed with each grammar.
+Letters stand for the tokens of syntax; brackets, marks and ends of lines are tokens as well. Rules of two kinds that differ in one point are
+written once, with a mark in their names that is filled in for each kind.
 """
 
 from __future__ import annotations
 
 from repolith.llm.peg import Grammar
 
-# O object, B array
+# s string, v number or constant
 JSON = Grammar("""
-value <- [svdOB]
-O <- ('s' ':' value (',' 's' ':' value)*)?
-B <- (value (',' value)*)?
-file <- value
+pair <- 's' ':' value
+value <- [sv] / '{' (pair (',' pair)*)? '}' / '[' (value (',' value)*)? ']'
+file <- value eof
 """)
 
-# k bare key, s string, m string of several lines, v other value, B array, O inline table, T table header
+# k bare key, s string, m string of several lines, v other value, ; line end; { and [ of values, < and > around a header, L and R around one of a list
 TOML = Grammar("""
-value <- [smvOB]
 key <- [ks] ('.' [ks])*
 pair <- key '=' value
-B <- ';'* (value ';'* (',' ';'* value ';'*)* (',' ';'*)?)?
-O <- (pair (',' pair)*)?
-T <- key
-line <- pair / 'T'
-file <- ';'* (line (';'+ line)* ';'*)?
+list <- '[' ';'* (value ';'* (',' ';'* value ';'*)* (',' ';'*)?)? ']'
+value <- [smv] / list / '{' (pair (',' pair)*)? '}'
+header <- '<' key '>' / 'L' key 'R'
+line <- pair / header
+file <- ';'* (line (';'+ line)* ';'*)? eof
 """)
 
-# Groups: P parentheses, M parameters, B brackets, D braces. Keywords: d def, C class, I if, g elif, E else, F for, K while, t try, V except,
-# U finally, h with, R return, T raise, f from, i import, Z del, G global nonlocal, H assert, Q pass break continue, L lambda, W yield,
-# J await, Y async, N in, O not, S is, l and or, A as; marks: w :=, = =, a augmented, x *, X **, / /, o other binary, - signs, ~ ~, c comparison,
-# p @, r ->, e ...; in block: a letter for each line, j for an indented block, ; for a simple line.
-PYTHON = Grammar("""
-strings <- 's'+
-primary <- (strings / [ndvPBDe]) ('.' 'n' / 'P' / 'B')*
-awaited <- 'J'? primary
-unary <- [-~]* awaited
-power <- unary ('X' [-~]* awaited)*
-arith <- power ([-ox/p] power)*
-comparison <- arith (('O' 'N' / 'N' / 'S' 'O'? / 'c') arith)*
-negated <- 'O'* comparison
-boolean <- negated ('l' negated)*
-lparam <- 'x' 'n' / 'X' 'n' / 'x' / '/' / 'n' ('=' boolean)?
-lhead <- 'L' (lparam (',' lparam)* ','?)? ':'
-simple <- lhead* boolean
-test <- simple ('I' boolean 'E' simple)*
-named <- 'n' 'w' test / test
-star <- 'x' arith / named
-tests <- star (',' star)* ','?
-yielded <- 'W' ('f' test / tests)? / tests
-target <- 'x'? arith
-targets <- target (',' target)* ','?
-clause <- 'Y'? 'F' targets 'N' lhead* boolean ('I' 'E'? simple)*
-argument <- 'n' '=' test / 'X' test / 'x' test / named clause*
-P <- (argument (',' argument)* ','?)? !any / yielded
+# n name, 1 match, 2 case, 3 type, s string, B bytes, v number or constant, e ...; $ line end, > and < around an indented block; b and u around a string with
+# holes, y and z around a hole, m before its format. Keywords: d def, C class, I if, g elif, E else, F for, K while, t try, V except, U finally, h with,
+# R return, T raise, f from, i import, Z del, G global nonlocal, H assert, Q pass break continue, L lambda, W yield, J await, Y async, N in, O not,
+# S is, l and or, A as. Marks: w :=, a augmented, x *, X **, /, o other binary, | |, - signs, ~, c comparison, p @, r ->.
+_PARAMETERS = """
+pa% <- name{annotation} !'='
+pd% <- name{annotation} '=' test
+va% <- 'x' name{packed}
+kw% <- 'X' name{annotation}
+ko% <- name{annotation} ('=' test)?
+tail% <- (va% (',' ko%)* / 'x' (',' ko%)+) (',' kw%)? / kw%
+lead% <- pa% (',' pa%)* (',' '/' (',' pa%)*)? (',' pd%)* (',' '/' (',' pd%)*)? / pd% (',' pd%)* (',' '/' (',' pd%)*)?
+params% <- ((lead% (',' tail%)? / tail%) ','?)?
+"""
+PYTHON = Grammar(
+    """
+name <- [n123]
+hole <- 'y' yielded ('m' hole*)? 'z'
+strings <- ('s' / 'b' hole* 'u')+ / 'B'+
+paren <- '(' (yield / named clause+ / star ',' stars? / named / '') ')'
+list <- '[' (named clause+ / stars)? ']'
+entry <- 'X' arith / test ':' test
+dict <- '{' (test ':' test clause+ / entry (',' entry)* ','? / named clause+ / stars)? '}'
+atom <- name / [ve] / strings / paren / list / dict
 slice <- test? ':' test? (':' test?)? / star
-B <- (star clause+ / slice (',' slice)* ','?)?
-entry <- 'X' arith / test ':' test / star
-D <- (test ':' test clause+ / star clause+ / entry (',' entry)* ','?)?
-typed <- 'x' 'n' (':' star)? / 'X' 'n' (':' test)? / 'x' / '/' / 'n' (':' test)? ('=' test)?
-M <- (typed (',' typed)* ','?)?
-dotted <- 'n' ('.' 'n')*
-alias <- 'n' ('A' 'n')?
-imported <- alias (',' alias)* ','?
-import <- 'i' dotted ('A' 'n')? (',' dotted ('A' 'n')?)*
-fromimport <- 'f' ([.e]* dotted / [.e]+) 'i' ('x' / 'P' / alias (',' alias)*)
-assign <- targets ':' test ('=' yielded)? / targets ('=' yielded)+ / targets 'a' yielded / yielded
-small <- import / fromimport / 'R' tests? / 'T' (test ('f' test)?)? / 'Q' / 'Z' targets / 'G' 'n' (',' 'n')* / 'H' test (',' test)? / assign
-line <- small (';' small)* ';'?
-suite <- ':' line?
-item <- test ('A' target)?
-compound <- 'Y'? 'd' 'n' 'B'? 'M' ('r' test)? suite / 'C' 'n' 'B'? 'P'? suite / 'I' named suite / 'g' named suite / 'E' suite / 'K' named suite / 'Y'? 'F' targets 'N' tests suite / 't' suite / 'V' 'x'? (tests ('A' 'n')?)? suite / 'U' suite / 'Y'? 'h' item (',' item)* suite / 'p' named
-logical <- compound / line
-tail <- 'j'
-block <- ('p'* ('I' tail ('g' tail)* ('E' tail)? / 'K' tail ('E' tail)? / 'F' tail ('E' tail)? / 't' tail (('V' tail)+ ('E' tail)? ('U' tail)? / 'U' tail) / 'h' tail / 'd' tail / 'C' tail / ';'))*
-""")
-
-
-def _script(typed: bool) -> Grammar:
-    """ECMAScript modules; typed: with annotations, interfaces, aliases and casts.
+slices <- '[' slice (',' slice)* ','? ']'
+passed <- 'x' test / named !'='
+pair <- name '=' test
+pairs <- (pair / 'x' test) (',' (pair / 'x' test))* (',' (pair / 'X' test))* / (pair / 'X' test) (',' (pair / 'X' test))*
+args <- '(' (named clause+ / passed (',' passed)* (',' pairs)? ','? / pairs ','?)? ')'
+access <- '.' name / slices
+primary <- 'J'? atom (access / args)*
+arith <- [-~]* primary ([-ox/p|X] [-~]* primary)*
+boolean <- 'O'* [-~]* primary (([-ox/p|Xc] / 'l' 'O'* / 'O' 'N' / 'N' / 'S' 'O'?) [-~]* primary)*
+lambda <- 'L' params_ ':' test
+test <- lambda / boolean ('I' boolean 'E' test)?
+named <- name 'w' test / test
+star <- 'x' arith / named
+stars <- star (',' star)* ','?
+value <- 'x' arith / test
+values <- value (',' value)* ','?
+yield <- 'W' ('f' test / values)?
+yielded <- yield / values
+single <- atom (args* access)+ !'(' / name ![.(\\[] / '(' single ')' ![.(\\[]
+target <- atom (args* access)+ !'(' / name ![.(\\[] / '(' targets? ')' ![.(\\[] / '[' targets? ']' ![.(\\[]
+targets <- 'x'? target (',' 'x'? target)* ','?
+gone <- target (',' target)* ','?
+clause <- 'Y'? 'F' targets 'N' boolean ('I' boolean)*
+dotted <- name ('.' name)*
+alias <- name ('A' name)?
+aliases <- alias (',' alias)*
+import <- 'i' dotted ('A' name)? (',' dotted ('A' name)?)* / 'f' ([.e]* dotted / [.e]+) 'i' ('x' / '(' aliases ','? ')' / aliases)
+assign <- (targets '=')+ yielded / single ('a' yielded / ':' test ('=' yielded)?) / yielded
+typed <- '3' name typeparams? '=' test
+small <- import / 'R' values? / 'T' (test ('f' test)?)? / 'Q' / 'Z' gone / 'G' name (',' name)* / 'H' test (',' test)? / typed / assign
+simple <- small (';' small)* ';'? '$'
+suite <- ':' ('$' '>' statement+ '<' / simple)
+"""
+    + _PARAMETERS.replace("%", "").format(annotation=" (':' test)?", packed=" (':' value)?")
+    + _PARAMETERS.replace("%", "_").format(annotation="", packed="")
+    + """
+typeparam <- [xX]? name (':' test)? ('=' value)?
+typeparams <- '[' typeparam (',' typeparam)* ','? ']'
+function <- 'Y'? 'd' name typeparams? '(' params ')' ('r' test)? suite
+class <- 'C' name typeparams? args? suite
+branch <- 'I' named suite ('g' named suite)* ('E' suite)?
+loop <- 'K' named suite ('E' suite)? / 'Y'? 'F' targets 'N' stars suite ('E' suite)?
+try <- 't' suite (('V' 'x'? (test ('A' name)?)? suite)+ ('E' suite)? ('U' suite)? / 'U' suite)
+item <- test ('A' 'x'? target)?
+with <- 'Y'? 'h' ('(' item (',' item)* ','? ')' &':' / item (',' item)*) suite
+literal <- '-'? 'v' ('-' 'v')? / strings
+patterns <- pattern (',' pattern)* ','?
+pattern <- closed ('|' closed)* ('A' name)?
+closed <- literal / name ('.' name)* ('(' ((name '=')? pattern (',' (name '=')? pattern)* ','?)? ')')? / '(' patterns? ')' / '[' patterns? ']' / 'x' name / '{' (held (',' held)* ','?)? '}'
+held <- 'X' name / (literal / name ('.' name)+) ':' pattern
+match <- '1' stars ':' '$' '>' ('2' patterns ('I' named)? suite)+ '<'
+statement <- ('p' named '$')* (function / class) / branch / loop / try / with / match / simple
+file <- statement* eof
+""",
+    lines={"simple": "$"},
+)
 
-    Groups: A arguments or parentheses, M parameters, P condition, Q head of for, B brackets, O object, K block, J class body, X module
-    specifiers, U switch body, Y type members. Keywords: F function, C class, V var let const, I if, E else, W while, D do, L for, R
-    return, h throw, t try, H catch, Z finally, S switch, c case, f default, b break continue debugger, N new, u typeof void delete, w
-    await yield, i in instanceof, x extends, e export, m import; words that may be names: y async, q of, T type, 1 from, 2 as satisfies,
-    3 modifiers, 4 interface, 5 enum, 6 implements, 7 namespace, 8 keyof readonly. Marks: > arrow, < and g angle brackets, - signs, ! !,
-    k ++ --, a augmented, * *, o other binary, | & |, ~ spread, # private.
-    """
-    ident = "[nyqT12345678]"
-    rules = f"""
-ident <- {ident}
-word <- [nyqT12345678FCVIEWDLRhtHZScfbNuwixemv]
-end <- ';' / !any
+# n name, s string, J plain template, A B K parts of a template with holes, d number, r pattern. Keywords: F function, C class, V var let, O const, I if, E else,
+# W while, D do, L for, R return, h throw, t try, H catch, Z finally, S switch, c case, f default, b break continue debugger, N new, u typeof
+# delete, z void, w await, Y yield, i in instanceof, x extends, e export, m import, v this super null true false; words that may be names: y async, q of, T
+# type, X is, 1 from, 2 as satisfies, 3 modifiers, 4 interface, 5 enum, 6 implements, 7 namespace module, 8 keyof infer unique asserts. Marks: > arrow, < and g
+# angle brackets, - signs, ! ! and ~, k ++ --, a augmented, * *, M **, Q ??, l && and ||, & &, | |, o other binary, ~ spread, # private.
+_SCRIPT = """
+ident <- [nyqTX12345678]
+word <- [nyqTX12345678FCVOIEWDLRhtHZScfbNuzwYixemv]
+end <- ';' / &'}' / ^ / eof
+init <- ('=' value)?
+name <- '#'? word / [sd] / '[' value ']'
+item <- '~'? binding init
+held <- '~' binding / name ':' binding init / ident init
+binding <- ident / '[' ','* (item (','+ item)* ','*)? ']' / '{' (held (',' held)* ','?)? '}'
+params <- '(' (param (',' param)* ','?)? ')'
+body <- '{' inner* '}'
+function <- ('y' !^)? 'F' '*'? ident? generic params returns body
+heritage <- ('x' operand targs)? implements
+class <- decorator* 'C' (!'6' ident)? generic heritage '{' (';' / member)* '}'
+decorator <- '@' ('(' expr ')' / ident ('.' word)* args?)
+modified <- '3' &(name / '*' / 'y') / 'y' !^ &(name / '*')
+member <- decorator* ('3' body / modified* '*'? name mark (generic params returns (body / bodyless) / annotation init end) / index)
+property <- '~' value / modified* '*'? name generic params returns body / name ':' value / ident init
+object <- '{' (property (',' property)* ','?)? '}'
+array <- '[' ','* ('~'? value (','+ '~'? value)* ','*)? ']'
+args <- '(' ('~'? value (',' '~'? value)* ','?)? ')'
+template <- 'J' / 'A' expr ('B' expr)* 'K'
+access <- '.' '#'? word / '[' expr ']'
+callee <- 'N' callee args? / (function / class / '(' expr ')' / 'v' / 'm' '.' word / ident) access*
+new <- 'N' ('.' word / callee targs args?)
+primary <- function / class / new / template / 'm' ('.' word / &'(') / [dvsr] / '(' expr ')' / object / array / '#' ident / ident
+call <- '?' '.' ('#'? word / args / '[' expr ']') / args / template / nonnull / typedcall
+operand <- primary (access / call)*
+place <- primary (call* access)+ / ident / object / array / '(' place ')'
+arrowhead <- (generic params returns / ident) !^ '>'
+plainhead <- (params / ident) !^ '>'
+arrow <- ('y' !^ arrowhead / arrowhead) (body / value)
+plain <- ('y' !^ plainhead / plainhead) (body / plainvalue) / conditional
+unary <- [-!uzwk]* (assertion / operand (!^ 'k')? cast)
+bits <- unary (([-*i|&oM<] / 'g' 'g'? 'g'? '='?) unary)*
+logic <- bits (('Q' bits)+ !'l' / ('l' bits)* !'Q')
+conditional <- logic ('?' value ':' value / '?' plainvalue ':' value)?
+yield <- 'Y' (!^ ('*' value / value))?
+value <- yield / (&[(<y] / &(ident '>')) arrow / conditional ![=a] / place [=a] value
+plainvalue <- yield / plain ![=a] / place [=a] value
+expr <- value (',' value)*
+declarator <- ident definite annotation init / binding annotation '=' value
+constant <- binding annotation '=' value
+declaration <- 'V' declarator (',' declarator)* / 'O' constant (',' constant)*
+loophead <- [VO] binding annotation ('q' / 'i') expr / place ('q' / 'i') expr / (declaration / expr)? ';' expr? ';' expr?
+named <- ('y' !^)? 'F' '*'? ident generic params returns (body / bodyless) / decorator* '3'* 'C' (!'6' ident) generic heritage '{' (';' / member)* '}'
+source <- '1' 's' (!^ 'n' object)?
+spec <- (word / 's') ('2' (word / 's'))? &[,}] / 'T' word ('2' word)?
+specs <- '{' (spec (',' spec)* ','?)? '}'
+imported <- ident (',' (specs / '*' '2' ident))? / specs / '*' '2' ident
+import <- 'm' ('s' (!^ 'n' object)? end / imported source end / typeimport)
+export <- decorator* 'e' ('f' (named / ('y' !^)? 'F' '*'? generic params returns body / interface / value end) / '*' ('2' (word / 's'))? source end / specs source? end / named / declaration end / typed / typeexport)
+file <- (import / export / statement)* eof
 """
-    if typed:
-        rules += """
-plain <- '8'* ('u' ident ('.' word)* / [uvs] / '-'? 'd' / ident ('.' word)* / [BYOA])
-targ <- '8'? ('c' ident)? @type ('x' @type)? ('=' @type)?
-generic <- ('<' targ (',' targ)* ','? 'g')?
-single <- 'N'? generic 'M' '>' @type / plain generic 'B'*
-type <- [|o]? single ([|o] single)* ('i' single)? ('x' @type '?' @type ':' @type)?
-anno <- (':' type)?
-implements <- ('6' type (',' type)*)?
-cast <- ('2' type)*
-soft <- [?!]?
-modifier <- '3'*
-call <- generic 'A'
-tuple <- '~'? ident '?'? ':' type
-B <- ','* (('~'? @value) (','+ '~'? @value)* ','*)? !any / tuple (',' tuple)* ','? / ident 'i' type
-A <- ('~'? @value (',' '~'? @value)* ','?)? !any / type
-typed_statement <- '4' ident generic ('x' type (',' type)*)? 'Y' / 'T' ident generic '=' type end / 'V'? '5' ident 'Y' / '7' (ident / 's') ('.' ident)* 'K'
-declared <- '3'+ (@declaration end / @function / typed_statement)
+# inner: the statements of functions, where return is allowed
+_STATEMENTS = """
+block% <- '{' {s}* '}'
+branch% <- 'I' '(' expr ')' {s} ('E' {s})?
+loop% <- 'W' '(' expr ')' {s} / 'L' 'w'? '(' loophead ')' {s} / 'D' {s} 'W' '(' expr ')' ';'? / ident ':' {s}
+try% <- 't' block% ('H' ('(' binding annotation ')')? block% ('Z' block%)? / 'Z' block%)
+switch% <- 'S' '(' expr ')' '{' (('c' expr ':' / 'f' ':') {s}*)* '}'
+{s} <- block% / ';' / branch% / loop% / try% / switch% / named / declaration end / typed / {returned}'h' !^ expr end / 'b' (!^ ident)? end / !([{FC] / 'y' !^ 'F') expr end
 """
-    else:
-        rules += """
+_UNTYPED = """
 generic <- ''
-anno <- ''
+annotation <- ''
+returns <- ''
 implements <- ''
 cast <- ''
-soft <- ''
-modifier <- '3'?
-call <- 'A'
-B <- ','* (('~'? @value) (','+ '~'? @value)* ','*)?
-A <- ('~'? @value (',' '~'? @value)* ','?)?
-typed_statement <- !any any
-declared <- !any any
+mark <- ''
+definite <- ''
+targs <- ''
+bodyless <- !any any
+nonnull <- !any any
+typedcall <- !any any
+index <- !any any
+interface <- !any any
+typed <- !any any
+typeimport <- !any any
+typeexport <- !any any
+assertion <- !any any
+param <- '~'? binding init
 """
-    rules += """
-binding <- ident / 'B' / 'O'
-callable <- 'y'? 'F' '*'? ident? generic 'M' anno 'K' / 'C' (!'6' ident)? generic ('x' ident ('.' word)* 'A'? generic)? implements 'J'
-head <- 'y'? (generic 'M' anno / ident) '>'
-primary <- callable / 'N' ident ('.' word)* generic 'A'? / 'm' ('A' / '.' word) / [dvsrBOA] / '#' ident / ident
-postfix <- primary ('.' '#'? word / '?' '.' ('#'? word / 'A' / 'B') / 'B' / call / 's' / '!' !'=')* 'k'?
-unary <- [-!uwk~]* postfix cast
-binary <- unary (('o' / [-*i|] / 'g' 'g'? 'g'? '='? / '<') unary)*
-operand <- head+ ('K' / @value) / binary
-value <- operand ('?' @value ':' @value)? ([=a] @value)?
-expr <- value (',' value)*
-P <- expr anno
-param <- modifier '~'? binding soft anno ('=' value)?
-M <- (param (',' param)* ','?)?
-key <- word / 's' / 'd' / 'B' / '#' ident
-prop <- '~' value / 'y'? '*'? key generic 'M' anno 'K' / '3' key 'M' anno 'K' / key ':' value / ident ('=' value)?
-O <- (prop (',' prop)* ','?)?
-spec <- 'T'? word ('2' word)?
-X <- (spec (',' spec)* ','?)?
-declarator <- binding soft anno ('=' value)?
-declaration <- 'V' declarator (',' declarator)*
-Q <- 'V' binding anno ('q' / 'i') expr / postfix ('q' / 'i') expr / (declaration / expr)? ';' expr? ';' expr?
-simple <- declaration end / 'R' expr? end / 'h' expr end / 'b' ident? end / 'K' / ';' / expr end
-loop <- 'I' 'P' @statement ('E' @statement)? / 'W' 'P' @statement / 'L' 'w'? 'Q' @statement / 'D' @statement 'W' 'P' ';'? / ident ':' @statement
-trial <- 't' 'K' ('H' 'P'? 'K' ('Z' 'K')? / 'Z' 'K')
-function <- 'y'? 'F' '*'? ident generic 'M' anno ('K' / end) / '3'* 'C' (!'6' ident) generic ('x' ident ('.' word)* 'A'? generic)? implements 'J'
-source <- '1' 's'
-import <- 'm' 's' end / 'm' 'T'? (ident (',' ('X' / '*' '2' ident))? / 'X' / '*' '2' ident) source end
-export <- 'e' ('f' (function / value end) / '*' ('2' word)? source end / 'T'? 'X' source? end / function / declaration end / typed_statement / declared)
-statement <- import / export / function / typed_statement / declared / trial / 'S' 'P' 'U' / loop / simple
-K <- statement*
-U <- (('c' expr ':' / 'f' ':') statement*)*
-member <- modifier ';' / ('3' !([=:;(MA?!]))* modifier 'y'? '*'? key generic soft ('M' anno ('K' / end) / anno ('=' value)? end) / '3' 'K'
-J <- (';' / member)*
-sign <- '8'? '3'* (key soft (generic 'M')? / generic 'M' / 'N' 'M') anno
-entry <- word '=' value / sign / 's' ('=' value)?
-Y <- ';'? (entry ([;,]+ entry)* [;,]*)?
-list <- statement*
-file <- statement*
+_TYPED = """
+qualified <- ident ('.' word)*
+typelist <- '<' type (',' type)* 'g'
+targs <- typelist?
+typeparam <- [3Oi]* ident ('x' type)? ('=' type)?
+generic <- ('<' typeparam (',' typeparam)* ','? 'g')?
+functype <- '3'? 'N'? generic params '>' (predicate / type)
+predicate <- '8' (ident / 'v') ('X' type)? ![\\[.|&] / (ident / 'v') !^ 'X' type
+tupleitem <- '~'? ident '?'? ':' type / '~'? type '?'?
+mapped <- '{' ('-'? '3')? '[' ident 'i' type ('2' type)? ']' ('-'? '?')? (':' type)? ';'? '}'
+signature <- '3'* '[' ident ':' type ']' annotation / ('3' &name)* name '?'? (generic params returns / annotation) / 'N'? generic params returns
+members <- '{' (signature ([;,] / ^ / &'}'))* '}'
+typebase <- functype / '8' typebase / '3' typebase / 'u' ('m' args ('.' word)* / ident ('.' '#'? word)* / 'v' ('.' '#'? word)*) targs / [vszdJ] / '-' 'd' / 'A' type ('B' type)* 'K' / 'm' args ('.' word)* targs / '[' (tupleitem (',' tupleitem)* ','?)? ']' / mapped / members / '(' type ')' / qualified (!^ targs)
+typeunit <- typebase (!^ '[' type? ']')*
+intersection <- '&'? typeunit ('&' typeunit)*
+union <- '|'? intersection ('|' intersection)*
+type <- union (!^ 'x' union '?' type ':' type)?
+annotation <- (':' type)?
+returns <- (':' (predicate / type))?
+implements <- ('6' type (',' type)*)?
+cast <- (!^ '2' ('O' / type))*
+mark <- [?!]?
+definite <- '!'?
+bodyless <- end
+nonnull <- !^ '!' !'='
+typedcall <- typelist (args / template)
+index <- ('3' &('3' / '['))* '[' ident ':' type ']' annotation end
+assertion <- '<' type 'g' [-!uzwk]* operand (!^ 'k')? cast
+param <- decorator* ('3' &(ident / [{\\[3]))* '~'? (binding / 'v') '?'? annotation init
+interface <- '4' !^ ident generic ('x' type (',' type)*)? members
+enumitem <- name init
+enum <- 'O'? '5' !^ ident '{' (enumitem (',' enumitem)* ','?)? '}'
+module <- '7' !^ (qualified / 's') (block / moduleblock / end) 
+ambientblock <- '{' ('e'? ambient / import / export / statement)* '}'
+moduleblock <- '{' (import / export / statement)* '}'
+alias <- 'T' !^ ident generic '=' type end
+ambient <- [VO] binding annotation (',' binding annotation)* end
+typed <- interface / alias / enum / module / '3' !^ ('7' !^ (qualified / 's') (ambientblock / end) / 'n' ambientblock) / '3' !^ ('3' !^)* (ambient / named / declaration end / typed)
+typeimport <- 'T' imported source end / 'T'? ident '=' (ident args / qualified) end
+typeexport <- 'T' ('*' ('2' word)? source end / specs source? end) / '=' value end / '2' '7' ident end / '3'+ (class / named) / typeimported
+typeimported <- 'm' ident '=' (ident args / qualified) end
 """
-    rules += "hole <- expr !any / type\n" if typed else "hole <- expr\n"
-    return Grammar(rules)
 
 
-# Groups: A parentheses, D declarations in parentheses, B brackets, O composite literal, K block, U switch body, Y struct or interface body.
-# Keywords: F func, V var, c const, T type, i import, p package, I if, E else, L for, g range, S switch, s string, C case, f default, R return, b break
-# continue goto fallthrough, G go defer, M map, h chan, r struct interface, W select. Marks: : : , w :=, = =, a augmented, k ++ --, * *, & &, - signs,
-# ! ! ^, o other binary, > <-, ~ ...
-GO = Grammar("""
-end <- ';' / !any
-qual <- 'n' ('.' 'n')*
-type <- ('*' / 'M' 'B' / 'B' / '>'? 'h' '>'? / '~')* (qual 'B'? / 'r' 'Y' / 'A' / 'F' 'A' ('A' / '*'* 'B'* 'n' ('.' 'n')*)?)
-result <- type?
-literal <- 'F' 'A' result 'K' / ('M' 'B' / 'B')+ '*'? (qual 'B'? / 'r' 'Y' / 'M' 'B' type) 'O' / ('M' 'B' type / ('B')+ type) / 'r' 'Y' 'O' / 'O'
-primary <- literal / [dsv] / 'n' / 'A' / 'h' type
-postfix <- primary ('.' 'n' / '.' 'A' / 'B' / 'A' / 'O')*
-unary <- [-!*&>]* postfix
-expr <- unary (([-o*&] / '!') unary)*
-exprs <- expr (',' expr)*
-item <- 'n' '~'? type / '~' type / expr '~'? / type
-A <- 'T' !any / (item (',' item)* ','? ';'?)?
-index <- expr? ':' expr? (':' expr)? / (item (',' item)* ','?)
-B <- ('~' / index)?
-element <- expr (':' expr)?
-O <- (element (',' element)* ','?)?
+def _statements() -> str:
+    plain = _STATEMENTS.replace("%", "").replace("{s}", "statement").replace("{returned}", "")
+    return plain + _STATEMENTS.replace("%", "_").replace("{s}", "inner").replace("{returned}", "'R' (!^ expr)? end / ")
+
+
+JAVASCRIPT = Grammar(_UNTYPED + _SCRIPT + _statements())
+# hole: what may stand in a template of a type as well
+TYPESCRIPT = Grammar(_TYPED + _SCRIPT + _statements())
+
+# n name, s string, d number, ; end of a statement, written or implied. Keywords: F func, V var, c const, T type, i import, p package, I if, E else, L for, g
+# range, S switch, W select, C case, f default, R return, b break continue goto fallthrough, G go defer, M map, h chan, r struct, j interface. Marks: w :=,
+# a augmented, k ++ --, * *, & &, - signs, ! ! ^, | |, o other binary, > <-, e ..., ~.
+# control: expressions in the head of a statement, where a brace behind a name begins the block
+_GO_EXPR = """
+operand% <- typelit braces / 'F' signature block / {named}typelit / [ds] / 'n' / '(' (expr / type) ')'
+trailer% <- '.' ('n' / '(' ('T' / type) ')') / index / args
+primary% <- operand% trailer%*
+expr% <- [-!*&>]* primary% ([-o*&|!] [-!*&>]* primary%)*
+exprs% <- expr% (',' expr%)*
+simple% <- names 'w' exprs% / exprs% (('=' / 'a') exprs% / 'k' / '>' expr%)?
+"""
+GO = Grammar(
+    """
+end <- ';' / &[)}] / eof
+qual <- 'n' ('.' 'n')?
 names <- 'n' (',' 'n')*
+targs <- '[' type (',' type)* ','? ']'
+typelit <- '[' 'e' ']' type / '[' expr? ']' type / 'M' '[' type ']' type / '>'? 'h' '>'? type / 'F' signature / 'r' '{' (';' / field end)* '}' / 'j' '{' (';' / element end)* '}'
+type <- '*' type / typelit / '(' type ')' / qual targs?
+field <- names type 's'? / '*'? qual targs? 's'?
+constraint <- '~'? type ('|' '~'? type)*
+element <- 'n' signature / constraint
+param <- 'n' 'e'? type / 'e'? type
+params <- '(' (param (',' param)* ','?)? ')'
+signature <- params (params / type)?
+tparam <- names constraint
+tparams <- '[' tparam (',' tparam)* ','? ']'
+item <- expr / braces
+pair <- item (':' item)?
+braces <- '{' (pair (',' pair)* ','?)? '}'
+index <- '[' (expr? ':' expr? (':' expr)? / (expr / type) (',' (expr / type))* ','?) ']'
+args <- '(' ((expr / type) 'e'? (',' (expr / type) 'e'?)* ','?)? ')'
+"""
+    + _GO_EXPR.replace("%", "").replace("{named}", "qual targs? braces / ")
+    + _GO_EXPR.replace("%", "_").replace("{named}", "")
+    + """
+statements <- (';' / statement end)*
+block <- '{' statements '}'
+branch <- 'I' (simple_? ';')? simple_ block ('E' (branch / block))?
+range <- (exprs_ ('w' / '='))? 'g' expr_
+loop <- 'L' (range / simple_? ';' simple_? ';' simple_? / simple_)? block
+cases <- ('C' (expr / type) (',' (expr / type))* / 'f') ':' statements
+switch <- 'S' (simple_? ';')? simple_? '{' cases* '}'
+select <- 'W' '{' (('C' simple / 'f') ':' statements)* '}'
 varspec <- names (type ('=' exprs)? / '=' exprs)
 constspec <- names (type? '=' exprs)?
+typespec <- 'n' tparams '='? type / 'n' '='? type
+declared <- 'V' ('(' (';' / varspec end)* ')' / varspec) / 'c' ('(' (';' / constspec end)* ')' / constspec) / 'T' ('(' (';' / typespec end)* ')' / typespec)
+statement <- 'n' ':' (statement / &';' / &'}') / branch / loop / switch / select / block / declared / 'R' exprs? / 'b' 'n'? / 'G' expr / simple
 importspec <- ('n' / '.')? 's'
-typespec <- 'n' 'B'? '='? type
-spec <- importspec / varspec / typespec / constspec
-D <- (spec (';'+ spec)* ';'*)?
-field <- 'n' 'A' result / names type 's'? / '*'? qual 'B'? 's'?
-Y <- ';'* (field (';'+ field)* ';'*)?
-assigned <- exprs ('w' / '=' / 'a') ('g' expr / exprs)
-small <- assigned / expr '>' expr / expr 'k' / expr
-header <- (small? ';')? small?
-clause <- 'g' expr / small? ';' small? ';' small? / small?
-single <- 'V' ('D' / varspec) / 'c' ('D' / constspec) / 'T' ('D' / typespec) / 'R' exprs? / 'b' 'n'? / 'G' expr / small
-branch <- 'I' (small ';')? small 'K' ('E' 'I' (small ';')? small 'K')* ('E' 'K')?
-statement <- ';' / 'n' ':' / (branch / 'L' clause 'K' / 'S' header 'U' / 'W' 'U' / 'K' / single) end
-K <- statement*
-U <- (('C' (small / exprs / type) (',' type)* ':' / 'f' ':') statement*)*
-top <- 'F' 'A'? 'n' 'B'? 'A' result 'K'? / 'V' ('D' / varspec) / 'c' ('D' / constspec) / 'T' ('D' / typespec)
-file <- ';'* 'p' 'n' end (';' / 'i' ('D' / importspec) end)* (';' / top end)*
-""")
-
-# Groups: A parentheses, B brackets, Q attribute, K block, O struct literal, U match body, Y fields or variants, X use list, Z contents of a macro (any tokens).
-# Keywords: F fn, V let, c const static, T type, u use, m mod, S struct union, e enum, i impl, t trait, I if, E else, M match, W while, L for, N in,
-# D loop, R return, b break continue, p pub, q unsafe async extern move, w where, a as, y mut ref, x dyn. Marks: 2 ::, > ->, < and g angle
-# brackets, f =>, = =, + augmented, P plus, & && or &, * *, - -, ! !, ? ?, o other binary, | |, h ||, r range, l lifetime, # attribute, @ @.
-RUST = Grammar("""
-attr <- '#' '!'? 'Q'
-Q <- any*
-refs <- ('&' 'l'? 'y'? / '*' [yc] / 'x' / 'i')*
-name <- '2'? 'n' ('2' 'n')*
-targ <- ('n' '=' / 'n' ':')? @type
-targs <- '2'? '<' (targ (',' targ)* ','?)? 'g'
-base <- '<' @type ('a' @type)? 'g' '2' 'n' / 'F' 'A' ('>' @type)? / name ('A' ('>' @type)? / targs ('2' 'n')*)? / 'A' / 'B' / '!' / 'l' / 'd' / 'K'
-type <- refs base ('P' '?'? refs base)*
-param <- ('l' / 'c'? 'n') (':' '?'? type)? ('=' type)?
-generic <- ('<' (param (',' param)* ','?)? 'g')?
-where <- ('w' (type ':' type (',' type ':' type)* ','?)?)?
-turbo <- '2' '<' type (',' type)* 'g'
-path <- '2'? 'n' (turbo / '2' 'n')*
-macro <- path '!' 'Z'
-pat <- [&y]* ('-'? [dsv] / path ('A' / 'O')? / 'A' / 'B' / 'r') ('@' '-'? ([dsv] / path))? ('r' '-'? ([dsv] / path)?)?
-pattern <- '|'? pat ('|' pat)*
-closure <- 'q'? ('h' / '|' (pat (':' type)? (',' pat (':' type)?)* ','?)? '|') ('>' type)?
-trailer <- '.' ('n' turbo? / 'd') / 'A' / 'B' / '?'
-condterm <- [-!*&y]* (macro / [dsv] / '<' type 'g' '2' 'n' / path / 'A' / 'B') trailer* ('a' type)*
-guard <- 'r' condterm / condterm ('r' condterm? / ([-o*&|<gPh] 'g'? '='?) condterm)*
-cond <- 'V' pattern '=' guard / guard
-flow <- 'I' cond 'K' ('E' 'I' cond 'K')* ('E' 'K')? / 'M' guard 'U' / ('l' ':')? ('W' cond 'K' / 'L' pattern 'N' guard 'K' / 'D' 'K') / 'q'+ 'K'
-primary <- macro / [dsv] / '<' type 'g' '2' 'n' / path 'O'? / 'A' / 'B' / 'K'
-term <- [-!*&y]* closure* [-!*&y]* (flow / primary) trailer* ('a' type)*
-binary <- 'r' term? / term ('r' term? / ([-o*&|<gPh] 'g'? '='?) term)*
-jump <- 'R' binary? / 'b' 'l'? binary? / binary
-expr <- closure* jump ([=+] jump)*
-after <- &',' / !any
-arg <- attr* (('&' 'l'? 'y'? 'n') after / expr after / pattern ':' type after / 'p' 'A'? type after / type after / pattern after)
-A <- (arg (',' arg)* ','?)?
-slot <- ('y'* 'n' '@')? pattern
-B <- (attr* expr (',' attr* expr)* ','?)? !any / expr ';' expr !any / type ';' expr !any / type !any / slot (',' slot)* ','?
-init <- attr* ('n' / 'd') (':' expr)? / 'r' expr?
-O <- (init (',' init)* ','?)?
-arm <- attr* pattern ('I' cond)? 'f' ('K' ','? / expr (',' / !any))
-U <- arm*
-member <- attr* ('p' 'A'?)? 'n' (':' type / ('A' / 'Y' / 'O')? ('=' expr)?) / attr* 'p' 'A'? type
-Y <- (member (',' member)* ','?)?
-used <- '2'? ('n' / '*' / 'X') ('2' ('n' / '*' / 'X'))* ('a' 'n')?
-X <- (used (',' used)* ','?)?
-Z <- any*
-fn <- [cq]* 's'? 'F' 'n' generic 'A' ('>' type)? where ('K' / ';')
-item <- attr* ('p' 'A'?)? (fn / 'u' used ';' / 'm' 'n' (';' / 'K') / 'S' 'n' generic ('A' where ';' / where 'Y' / ';') / 'e' 'n' generic where 'Y' / 'q'? 'i' generic '!'? type ('L' type)? where 'K' / 'q'? 't' 'n' generic (':' type)? where 'K' / 'T' 'n' generic (':' type)? ('=' type)? ';' / 'c' 'y'? 'n' ':' type ('=' expr)? ';' / 'q' 's'? 'K')
-let <- attr* 'V' pattern (':' type)? ('=' expr ('E' 'K')?)? ';'
-statement <- ';' / let / item / attr* flow ![.?] / 'K' / attr* expr (';' / !any)
-K <- ('#' '!' 'Q')* statement*
-list <- (item / macro ';'? / ';')*
-file <- ('#' '!' 'Q')* (item / macro ';'? / ';')*
-""")
+import <- 'i' ('(' (';' / importspec end)* ')' / importspec)
+function <- 'F' params? 'n' tparams? signature block?
+file <- ';'* 'p' 'n' end (';' / import end)* (';' / (function / declared) end)* eof
+"""
+)
 
-JAVASCRIPT = _script(typed=False)
-TYPESCRIPT = _script(typed=True)
+# n name, s string, d number, v true false, l lifetime. Keywords: F fn, V let, c const static, T type, u use, m mod, S struct union, e enum, i impl, t trait, I if,
+# E else, M match, W while, L for, N in, D loop, R return, b break continue, p pub, q unsafe async extern move, w where, a as, y mut ref, x dyn.
+# Marks: 2 ::, > ->, < and g angle brackets, f =>, = =, + augmented, P plus, & && or &, * *, - -, ! !, ? ?, o other binary, | |, h ||, r range, # attribute, @ @.
+# control: expressions in the head of a statement, where a brace behind a path begins the block
+_RUST_EXPR = """
+start% <- {let}macro / [dsv] / flow / closure% / jump% / {made}path / '(' (attr* expr (',' attr* expr)* ','?)? ')' / array
+closure% <- 'q'* ('h' / '|' (slot (',' slot)* ','?)? '|') ('>' type block / expr%)
+jump% <- 'R' expr%? / 'b' 'l'? expr%?
+trailer% <- '.' ('n' ('2' targs)? / 'd') / '(' (attr* expr (',' attr* expr)* ','?)? ')' / '[' expr ']' / '?'
+unary% <- ([-!*] / '&' 'y'?)* start% trailer%* ('a' typed)*
+binary% <- unary% (([-o*&|hP<] / 'g' 'g'?) unary%)*
+range% <- 'r' binary%? / binary% ('r' binary%?)?
+expr% <- range% ([=+] expr%)?
+"""
+RUST = Grammar(
+    """
+attr <- '#' '[' tree* ']'
+inner <- '#' '!' '[' tree* ']'
+vis <- ('p' ('(' ('n' / 'N' path) ')')?)?
+targ <- 'l' / 'n' targs? '=' type / 'n' ':' bounds / type / '-'? [dsv] / block
+targs <- '<' (targ (',' targ)* ','?)? 'g'
+types <- (type (',' type)* ','?)?
+segment <- 'n' ('2'? targs / '(' types ')' ('>' typed)?)?
+qualified <- '<' type ('a' typepath)? 'g' ('2' segment)+
+typepath <- qualified / '2'? segment ('2' segment)*
+forlife <- 'L' generic
+bound <- 'l' / '?'? (forlife? typepath / '(' bound ')') / forlife
+bounds <- (bound ('P' bound)* 'P'?)?
+fntype <- forlife? [cq]* 's'? 'F' '(' (attr* ('n' ':')? (type / 'r') (',' attr* ('n' ':')? (type / 'r'))* ','?)? ')' ('>' typed)?
+typed <- '!' / '*' ('c' / 'y') typed / '&' 'l'? 'y'? typed / '(' types ')' / '[' type (';' expr)? ']' / fntype / [xi] bounds / typepath ('!' delimited)?
+type <- typed ('P' bound)*
+gparam <- attr* ('l' (':' bounds)? / 'c' 'n' ':' type ('=' (block / '-'? [dsv] / 'n'))? / 'n' (':' bounds)? ('=' type)?)
+generic <- ('<' (gparam (',' gparam)* ','?)? 'g')?
+condition <- 'l' ':' bounds / forlife? type ':' bounds
+where <- ('w' (condition (',' condition)* ','?)?)?
+delimited <- '(' tree* ')' / '[' tree* ']' / '{' tree* '}'
+path <- '<' type ('a' typepath)? 'g' ('2' ('n' / targs))+ / '2'? 'n' ('2' (targs / 'n'))*
+macro <- path '!' 'n'? delimited
+literal <- '-'? [dsv]
+limit <- literal / path
+fieldpat <- attr* ('r' / ('n' / 'd') ':' pattern / 'y'* 'n')
+single <- '&' 'y'? single / 'y'+ 'n' ('@' single)? / 'n' '@' single / macro / limit 'r' limit? / literal / path ('(' (attr* pattern (',' attr* pattern)* ','?)? ')' / '{' (fieldpat (',' fieldpat)* ','?)? '}')? / '(' (pattern (',' pattern)* ','?)? ')' / '[' (pattern (',' pattern)* ','?)? ']' / 'r' limit?
+pattern <- '|'? single ('|' single)*
+slot <- attr* single (':' type)?
+array <- '[' (attr* expr ';' expr / attr* expr (',' attr* expr)* ','?)? ']'
+given <- attr* ('n' / 'd') (':' expr)? / 'r' expr?
+struct <- path '{' (given (',' given)* ','?)? '}'
+branch <- 'I' expr_ block ('E' (branch / block))?
+arm <- attr* pattern ('I' expr_)? 'f' (block ![.?] ','? / expr (',' / &'}'))
+match <- 'M' expr_ '{' inner* arm* '}'
+loop <- ('l' ':')? ('W' expr_ block / 'L' pattern 'N' expr_ block / 'D' block / block)
+flow <- branch / match / loop / ('q' / 'c')+ block
+"""
+    + _RUST_EXPR.replace("%", "").replace("{let}", "").replace("{made}", "struct / ")
+    + _RUST_EXPR.replace("%", "_").replace("{let}", "'V' pattern '=' unary_ / ").replace("{made}", "")
+    + """
+let <- 'V' pattern (':' type)? ('=' expr ('E' block)?)? ';'
+statement <- ';' / attr* let / item / attr* flow ![.?] / attr* path '!' '{' tree* '}' ![.?] / attr* expr (';' / &'}')
+block <- '{' inner* statement* '}'
+self <- '&' 'l'? 'y'? 'n' &[,)] / 'y'? 'n' &[,)]
+argument <- attr* (pattern ':' (type / 'r') / self / type / 'r')
+fn <- ('c' / 'q' 's'?)* 'F' 'n' generic '(' (argument (',' argument)* ','?)? ')' ('>' type)? where (';' / block)
+used <- '2'? ('n' '2')* ('*' / '{' (used (',' used)* ','?)? '}' / 'n' ('a' 'n')?)
+tuple <- '(' (attr* vis type (',' attr* vis type)* ','?)? ')'
+fields <- '{' (attr* vis 'n' ':' type (',' attr* vis 'n' ':' type)* ','?)? '}'
+variant <- attr* vis 'n' (tuple / fields)? ('=' expr)?
+items <- '{' inner* item* '}'
+kind <- 'u' used ';' / 'm' 'n' (';' / items) / 'S' 'n' generic (tuple where ';' / where fields / ';') / 'e' 'n' generic where '{' (variant (',' variant)* ','?)? '}' / 'q'* 'i' generic 'c'? '!'? type ('L' type)? where items / 'q'* 't' 'n' generic (':' bounds)? where items / 'T' 'n' generic (':' bounds)? where ('=' type)? where ';' / 'c' 'y'? 'n' ':' type ('=' expr)? ';' / 'q' 'n' 'n' ('a' 'n')? ';' / 'q'+ 's'? items
+item <- attr* vis (fn / kind) / attr* path '!' 'n'? ('{' tree* '}' / delimited ';')
+file <- inner* item* eof
+"""
+)

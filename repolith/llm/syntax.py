@@ -1,11 +1,12 @@
 """Source files that are not valid text of the language that their path names.
 
-Each file is read by the lexical rules of its language into token characters; bracketed groups are given the role that their
-neighbours assign to them and are parsed by the parsing-expression grammar of that role, inside out, through a packrat table that
-is keyed by content and shared by all files of a worker. The whole input must be consumed. A failure is reported with its furthest
-position and a cause: merge conflict, truncation, or other.
+Each file is read by the lexical rules of its language into token characters, brackets included, and parsed as a whole by a packrat
+parser of the language's parsing-expression grammar, which must consume every token. What no lexical rule can read is a token that no
+grammar accepts. A failure is reported with the furthest position that the table reached and a cause: merge conflict, truncation
+(nothing follows, or brackets are still open at the end), or other.
 
-Results: null and empty contents and other extensions are no cases; repeated rows count once; extra columns are ignored.
+Results: null and empty contents and other extensions are no cases; repeated rows count once; extra columns are ignored; brackets nested
+deeper than peg.DEEPEST are a failure at the bracket, as with compilers.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.llm import grammars
+from repolith.llm.peg import BAD, DEEPEST, FIRST
 from repolith.session import spread
 
 LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "json": "json", "toml": "toml"}
 
-OPEN, CLOSE = "([{", ")]}"
-_pair = dict(zip(OPEN, CLOSE, strict=True))
 _conflict = re.compile(r"(?m)^(?:<{7}|\|{7}|={7}|>{7})(?: .*)?\r?$")
 
 
@@ -34,7 +34,9 @@ class Failure(NamedTuple):
     cause: str
 
 
-class _Invalid(Exception):
+class _Unreadable(Exception):
+    """What begins at a position can't be read by the lexical rules."""
+
     def __init__(self, position: int):
         self.position = position
 
@@ -82,16 +84,23 @@ S: is
 l: and or
 A: as
 v: None True False
+1: match
+2: case
+3: type
 """)
 _py_string = (
     r"(?:[rR][bB]?|[bB][rR]?|[uU]|[fF][rR]?|[rR][fF])?(?:"
     r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|'
     r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|"
-    r'"(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?:[^'\\\n]|\\[\s\S])*+')"
+    r'"(?!"")(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?!'')(?:[^'\\\n]|\\[\s\S])*+')"
 )
+#: Escapes that text strings and byte strings can't hold.
+_bad_escape = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N(?!\{[^}]+\}))")
+_bad_byte = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})|[^\x00-\x7f]")
 _python = re.compile(
     rf"(?:[ \t\f\r]|\\\r?\n|#[^\n]*)*+(?:(?P<s>{_py_string})|(?P<name>[^\W\d]\w*)"
-    r"|(?P<d>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))"
+    r"|(?P<d>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
+    r"|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?=\W|\Z|(?:in|if|is|or|and|else|for|not)\b))"
     r"|(?P<nl>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|<=|>=|==|[-+*/%&|^~<>=.,:;@])|(?P<end>\Z))"
 )
 _PYTHON_MARKS = _words("""
@@ -99,7 +108,8 @@ a: += -= *= /= //= %= &= |= ^= @= >>= <<= **=
 X: **
 x: *
 /: /
-o: // << >> % & | ^
+o: // << >> % & ^
+|: |
 -: + -
 ~: ~
 c: != <= >= == < >
@@ -124,7 +134,8 @@ _toml = re.compile(
 _SCRIPT_WORDS = _words("""
 F: function
 C: class
-V: var let const
+V: var let
+O: const
 I: if
 E: else
 W: while
@@ -140,8 +151,10 @@ c: case
 f: default
 b: break continue debugger
 N: new
-u: typeof void delete
-w: await yield
+u: typeof delete
+z: void
+w: await
+Y: yield
 i: in instanceof
 x: extends
 e: export
@@ -150,9 +163,10 @@ v: this super null true false
 y: async
 q: of
 T: type
+X: is
 1: from
 2: as satisfies
-3: get set static readonly public private protected abstract declare override
+3: get set static readonly public private protected abstract declare override accessor
 4: interface
 5: enum
 6: implements
@@ -170,10 +184,13 @@ _regex_literal = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^
 _SCRIPT_MARKS = _words("""
 >: =>
 a: >>>= **= <<= >>= &&= ||= ??= += -= *= /= %= &= |= ^=
-o: === !== == != <= >= && || ?? << ** / % & ^
+M: **
+Q: ??
+l: && ||
+o: === !== == != <= << / % ^
 k: ++ --
 ~: ...
-""") | {c: c for c in "-*!<=?.,;#|:"} | {">": "g", "+": "-", "~": "!"}
+""") | {c: c for c in "-*!<=?.,;#|:&@"} | {">": "g", "+": "-", "~": "!"}
 
 _GO_WORDS = _words("""
 F: func
@@ -195,7 +212,8 @@ b: break continue goto fallthrough
 G: go defer
 M: map
 h: chan
-r: struct interface
+r: struct
+j: interface
 """)
 _go = re.compile(
     r"(?P<gap>(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:(?P<name>[^\W\d]\w*)|(?P<s>" + r'"(?:[^"\\\n]|\\[^\n])*+"|`[^`]*+`|' + r"'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))')"
@@ -203,17 +221,17 @@ _go = re.compile(
     r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\.\.\.|<<=|>>=|&\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^!<>=:.,;~])|(?P<end>\Z))"
 )
 _GO_MARKS = _words("""
-~: ...
+e: ...
 a: <<= >>= &^= += -= *= /= %= &= |= ^=
-o: && || == != <= >= << >> &^ / % | < >
+o: && || == != <= >= << >> &^ / % < >
 >: <-
 k: ++ --
 w: :=
 -: + -
 !: ! ^
-""") | {c: c for c in "*&=.,;"} | {":": ":"}
+""") | {c: c for c in "*&=.,;|~:"}
 #: Tokens after which a line end is the end of a statement.
-_GO_ENDS = set("ndsvbRkABDKOUY")
+_GO_ENDS = frozenset("ndsbRk)]}")
 
 _RUST_WORDS = _words("""
 F: fn
@@ -243,9 +261,13 @@ y: mut ref
 x: dyn
 v: true false
 """)
+# comments inside comments, as deep as they are seen
+_nested = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
+for _ in range(4):
+    _nested = rf"/\*(?:[^*/]|\*(?!/)|/(?!\*)|{_nested})*+\*/"
 _rust = re.compile(
-    r"(?P<gap>(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:(?P<s>b?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash)|b?\"(?:[^\"\\]|\\[\s\S])*+\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|.))')|(?P<l>'[^\W\d]\w*)|(?P<name>(?:r#)?[^\W\d]\w*)"
-    r"|(?P<d>(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w))"
+    r"(?P<gap>(?:\s|//[^\n]*|" + _nested + r")*+)(?:(?P<s>b?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash)|[bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|.))')|(?P<l>'[^\W\d]\w*)|(?P<name>(?:r#)?[^\W\d]\w*)"
+    r"|(?P<d>(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w))"
     r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\.\.\.|\.\.=|<<=|>>=|::|->|=>|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\.\.|<<|[-+*/%&|^!<>=:.,;#@?$])|(?P<end>\Z))"
 )
 _RUST_MARKS = _words("""
@@ -262,167 +284,105 @@ o: == != <= >= << / % ^
 # --- reading ---------------------------------------------------------------------------------------------------------------------
 
 
-class _Group:
-    __slots__ = ("bracket", "role", "tokens", "places", "begin", "latest", "seen")
+class _Tokens:
+    """The token characters of a text so far, where each begins, and the brackets that are open."""
 
-    def __init__(self, bracket: str, role: str, begin: int):
-        self.bracket, self.role, self.begin = bracket, role, begin
-        self.tokens: list[str] = []
+    __slots__ = ("kinds", "places", "open")
+
+    def __init__(self) -> None:
+        self.kinds: list[str] = []
         self.places: list[int] = []
-        self.latest: dict[str, int] = {}
-        self.seen = 0
+        self.open: list[str] = []
 
-    def add(self, token: str, place: int) -> None:
-        self.tokens.append(token)
+    def add(self, kind: str, place: int) -> None:
+        self.kinds.append(kind)
         self.places.append(place)
 
-    def last_of(self, letters: str) -> int:
-        """Index of the last token that is one of letters, -1 if there is none. Each token is looked at once in all calls."""
-        latest, tokens = self.latest, self.tokens
-        for k in range(self.seen, len(tokens)):
-            token = tokens[k]
-            latest[token] = k
-            if token == ":" and k and tokens[k - 1] == "M":
-                latest["M:"] = k - 1
-        self.seen = len(tokens)
-        return max((latest.get(c, -1) for c in letters), default=-1)
-
-    def head(self, keyword: str, bounds: str) -> str:
-        """The tokens from the last keyword on, or '' if one of bounds stands behind it."""
-        self.last_of("")
-        at = self.latest.get(keyword, -1)
-        return "".join(self.tokens[at:]) if at >= 0 and at > self.last_of(bounds) else ""
-
-
-#: Pieces of a list of statements that end where a statement can end.
-_statements = re.compile(r"[^;]*;|[^;]+\Z")
-_items = re.compile(r"[^;K]*[;K]|[^;K]+\Z")
-
-
-def _all_accepted(grammar: grammars.Grammar, rule: str, content: str, piece: re.Pattern[str]) -> bool:
-    """Whether a list is made of shorter lists that the rule accepts; those recur in other files, so that the table knows them."""
-    held, joined = "", 0
-    for part in piece.findall(content):
-        held += part
-        if grammar.accepts(rule, held):
-            held, joined = "", 0
-        elif joined == 3:
-            return False
-        else:
-            joined += 1
-    return not held
-
-
-def _finish(grammar: grammars.Grammar, group: _Group, rule: str, end: int) -> None:
-    content = "".join(group.tokens)
-    if rule == "K" and len(content) > 12 and _all_accepted(grammar, rule, content, _statements):
-        return
-    if rule == "file" and len(content) > 12 and "list" in grammar.patterns and _all_accepted(grammar, "list", content, _items):
-        return
-    if not grammar.accepts(rule, content):
-        k = grammar.furthest(rule, content)
-        raise _Invalid(group.places[k] if k < len(group.places) else end)
+    def bracket(self, kind: str, place: int) -> None:
+        if kind in "([{":
+            self.open.append(kind)
+            if len(self.open) > DEEPEST:
+                raise _Unreadable(place)
+        elif self.open:
+            self.open.pop()
+        self.kinds.append(kind)
+        self.places.append(place)
 
 
-def _read_json(text: str) -> None:
-    grammar, match = grammars.JSON, _json.match
-    stack = [_Group("", "file", 0)]
-    at, length = 0, len(text)
-    while True:
-        m = match(text, at)
-        if m is None:
-            raise _Invalid(at + len(text[at:]) - len(text[at:].lstrip()))
-        kind, top = m.lastgroup, stack[-1]
-        start, at = m.start(kind), m.end()
+def _json_tokens(text: str, found: _Tokens) -> None:
+    match, at = _json.match, 0
+    while m := match(text, at):
+        kind, at = m.lastgroup, m.end()
         if kind == "end":
-            break
+            return
+        start = m.start(kind)
         if kind != "mark":
-            top.add(kind, start)
-            continue
-        token = text[start]
-        if token in "[{":
-            stack.append(_Group(token, "B" if token == "[" else "O", start))
-        elif token in "]}":
-            if _pair.get(top.bracket) != token:
-                raise _Invalid(start)
-            _finish(grammar, top, top.role, start)
-            stack.pop()
-            stack[-1].add(top.role, top.begin)
+            found.add("s" if kind == "s" else "v", start)
+        elif text[start] in ",:":
+            found.add(text[start], start)
         else:
-            top.add(token, start)
-    if len(stack) > 1:
-        raise _Invalid(length)
-    _finish(grammar, stack[0], "file", length)
-
-
-def _read_toml(text: str) -> None:
-    grammar, match = grammars.TOML, _toml.match
-    stack = [_Group("", "file", 0)]
-    at, length = 0, len(text)
-    while True:
-        m = match(text, at)
-        if m is None:
-            raise _Invalid(at)
-        kind, top = m.lastgroup, stack[-1]
-        start, at = m.start(kind), m.end()
+            found.bracket(text[start], start)
+    raise _Unreadable(at + len(text[at:]) - len(text[at:].lstrip()))
+
+
+def _toml_tokens(text: str, found: _Tokens) -> None:
+    kinds, braces = found.kinds, found.open
+    match, at = _toml.match, 0
+    header = ""
+    while m := match(text, at):
+        kind, at = m.lastgroup, m.end()
+        start = m.start(kind)
+        last = kinds[-1] if kinds else ";"
         if kind == "end":
-            break
-        as_key = top.role in ("file", "O", "T") and (not top.tokens or top.tokens[-1] in ";,.") or top.role == "T"
+            return
+        as_key = last in (".{;" if not braces else ".{") or header != "" or last == "," and braces[-1:] == ["{"]
         if kind == "value":
-            if as_key:
-                key = _toml_key.match(text, start)
-                if key is None:
-                    raise _Invalid(start)
-                top.add("k", start)
-                at = key.end()
-            else:
-                top.add("v", start)
+            key = _toml_key.match(text, start) if as_key else None
+            if as_key and key is None:
+                raise _Unreadable(start)
+            found.add("k" if key else "v", start)
+            at = key.end() if key else at
         elif kind in ("key", "s", "m"):
             if kind == "key" and not as_key:
-                raise _Invalid(start)
-            top.add("k" if kind == "key" else kind, start)
+                raise _Unreadable(start)
+            found.add("k" if kind == "key" else kind, start)
         elif kind == "nl":
-            if top.role in ("O", "T"):
-                raise _Invalid(start)
-            top.add(";", start)
+            found.add(";", start)
+            header = ""
+        elif text[start] == "[" and last == ";" and not braces:
+            header = "]]" if text.startswith("[[", start) else "]"
+            found.add("L" if len(header) == 2 else "<", start)
+            at = start + len(header)
+        elif text[start] == "]" and header:
+            if not text.startswith(header, start):
+                raise _Unreadable(start)
+            found.add("R" if len(header) == 2 else ">", start)
+            at = start + len(header)
+            header = ""
+        elif text[start] in "[]{}":
+            found.bracket(text[start], start)
         else:
-            token = text[start]
-            if token == "[" and top.role == "file" and (not top.tokens or top.tokens[-1] == ";"):
-                double = text.startswith("[[", start)
-                stack.append(_Group("[[" if double else "[", "T", start))
-                at = start + 1 + double
-            elif token in "[{":
-                stack.append(_Group(token, "B" if token == "[" else "O", start))
-            elif token in "]}":
-                if top.bracket == "[[":
-                    if not text.startswith("]]", start):
-                        raise _Invalid(start)
-                    at = start + 2
-                elif _pair.get(top.bracket) != token:
-                    raise _Invalid(start)
-                _finish(grammar, top, top.role, start)
-                stack.pop()
-                stack[-1].add(top.role, top.begin)
-            else:
-                top.add(token, start)
-    if len(stack) > 1:
-        raise _Invalid(length)
-    _finish(grammar, stack[0], "file", length)
+            found.add(text[start], start)
+    raise _Unreadable(at)
 
 
 _line_start = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*([ \t\f]*)")
 _fstring = re.compile(r"(?P<raw>[rR])?[fF](?(raw)|(?P<raw2>[rR])?)(?P<quote>\"\"\"|\'\'\'|\"|\')")
 _literal_run = re.compile(r"[^\\{}\"'\n]+")
 _gap = re.compile(r"\s*")
+_lone_return = re.compile(r"\r(?!\n)")
 _hole_end = re.compile(r"\s*(?:=(?!=)\s*)?(?:!\s*[rsa]\s*)?(?=[:}])")
 
 
-def _read_fstring(text: str, m: re.Match[str]) -> int:
-    """End of the f-string that begins with m. Its holes are read as expressions."""
-    return _literal_part(text, m.end(), m["quote"], bool(m["raw"] or m["raw2"]), False) + len(m["quote"])
+def _fstring_tokens(text: str, m: re.Match[str], found: _Tokens) -> int:
+    """End of the f-string that begins with m. Its holes are tokens of their own."""
+    found.add("b", m.start())
+    at = _literal_part(text, m.end(), m["quote"], bool(m["raw"] or m["raw2"]), False, found)
+    found.add("u", at)
+    return at + len(m["quote"])
 
 
-def _literal_part(text: str, at: int, quote: str, raw: bool, in_format: bool) -> int:
+def _literal_part(text: str, at: int, quote: str, raw: bool, in_format: bool, found: _Tokens) -> int:
     """Where a part of an f-string ends: at its quotes, or at the brace behind a format."""
     while at < len(text):
         run = _literal_run.match(text, at)
@@ -432,7 +392,7 @@ def _literal_part(text: str, at: int, quote: str, raw: bool, in_format: bool) ->
         c = text[at]
         if text.startswith(quote, at):
             if in_format:
-                raise _Invalid(at)
+                raise _Unreadable(at)
             return at
         if c == "\\":
             if not raw and text.startswith("N{", at + 1):
@@ -443,479 +403,260 @@ def _literal_part(text: str, at: int, quote: str, raw: bool, in_format: bool) ->
             else:
                 at += 1 if text[at + 1 : at + 2] in ("{", "}") else 2
         elif c == "\n" and len(quote) == 1:
-            raise _Invalid(at)
+            raise _Unreadable(at)
         elif c == "{":
             if not in_format and text.startswith("{", at + 1):
                 at += 2
             else:
-                at = _read_hole(text, at + 1, quote, raw) + 1
+                at = _hole_tokens(text, at + 1, quote, raw, found) + 1
         elif c == "}":
             if in_format:
                 return at
             if not text.startswith("}", at + 1):
-                raise _Invalid(at)
+                raise _Unreadable(at)
             at += 2
         else:
             at += 1
-    raise _Invalid(len(text))
+    raise _Unreadable(len(text))
 
 
-def _read_hole(text: str, at: int, quote: str, raw: bool) -> int:
+def _hole_tokens(text: str, at: int, quote: str, raw: bool, found: _Tokens) -> int:
     """Where the hole that begins at `at` is closed."""
-    grammar = grammars.PYTHON
-    stack = [_Group("{", "yielded", at)]
+    found.add("y", at)
+    begin, depth = len(found.kinds), len(found.open)
     while True:
-        if len(stack) == 1 and (end := _hole_end.match(text, at)) and not (end.end() == at and not stack[0].tokens):
-            _finish(grammar, stack[0], "yielded", at)
+        if len(found.open) == depth and (end := _hole_end.match(text, at)) and not (end.end() == at and len(found.kinds) == begin):
             at = end.end()
-            return at if text[at] == "}" else _literal_part(text, at + 1, quote, raw, True)
+            if text[at] == ":":
+                found.add("m", at)
+                at = _literal_part(text, at + 1, quote, raw, True, found)
+            found.add("z", at)
+            return at
         start = _gap.match(text, at).end()
-        inner = _fstring.match(text, start)
-        if inner:
-            stack[-1].add("s", start)
-            at = _read_fstring(text, inner)
+        if inner := _fstring.match(text, start):
+            at = _fstring_tokens(text, inner, found)
             continue
         m = _python.match(text, at)
         if m is None or m.lastgroup == "end":
-            raise _Invalid(start)
-        kind, top = m.lastgroup, stack[-1]
+            raise _Unreadable(start)
+        kind = m.lastgroup
         start, at = m.start(kind), m.end()
-        if kind == "name":
-            top.add(_PYTHON_WORDS.get(m.group(kind), "n"), start)
-        elif kind == "mark":
-            top.add(_PYTHON_MARKS[m.group(kind)], start)
-        elif kind in ("s", "d"):
-            top.add(kind, start)
-        elif kind == "open":
-            stack.append(_Group(text[start], {"(": "P", "[": "B", "{": "D"}[text[start]], start))
-        elif kind == "close":
-            if len(stack) == 1 or _pair.get(top.bracket) != text[start]:
-                raise _Invalid(start)
-            _finish(grammar, top, top.role, start)
-            stack.pop()
-            stack[-1].add(top.role, top.begin)
-
-
-def _read_python(text: str) -> None:
-    grammar, match, words, marks = grammars.PYTHON, _python.match, _PYTHON_WORDS, _PYTHON_MARKS
-    stack = [_Group("", "logical", 0)]
-    indents = [0]
-    tabs = [0]
-    blocks = [_Group("", "block", 0)]
-    expects_block = False
-    at, length = 0, len(text)
-    if text.startswith("\ufeff"):
-        at = 1
-    fresh = True
+        if kind == "close" and len(found.open) == depth:
+            raise _Unreadable(start)
+        if kind != "nl":
+            _python_token(text, kind, m.group(kind), start, found)
+
+
+def _python_token(text: str, kind: str, written: str, start: int, found: _Tokens) -> None:
+    if kind == "name":
+        found.add(_PYTHON_WORDS.get(written, "n"), start)
+    elif kind == "mark":
+        found.add(_PYTHON_MARKS[written], start)
+    elif kind == "s":
+        head = written[: next(k for k in range(3) if written[k] in "\"'")].lower()
+        if "\\" in written and "r" not in head and (_bad_byte if "b" in head else _bad_escape).search(written) or "b" in head and not written.isascii():
+            raise _Unreadable(start)
+        found.add("B" if "b" in head else "s", start)
+    elif kind == "d":
+        found.add("v", start)
+    else:
+        found.bracket(written, start)
 
-    def close_block(place: int) -> None:
-        _finish(grammar, blocks.pop(), "block", place)
-        blocks[-1].add("j", place)
-
-    def end_line(place: int) -> None:
-        nonlocal expects_block
-        top = stack[0]
-        if not top.tokens:
-            return
-        _finish(grammar, top, "logical", place)
-        lead = top.tokens[0]
-        if lead == "Y" and len(top.tokens) > 1:
-            lead = top.tokens[1] if top.tokens[1] in "dFh" else ";"
-        letter = lead if lead in "dCIgEFKtVUhp" else ";"
-        blocks[-1].add(letter, top.places[0])
-        if letter not in ";p":
-            if top.tokens[-1] == ":" and top.tokens[0] != "L":
-                expects_block = True
-            else:
-                blocks[-1].add("j", place)
-        stack[0] = _Group("", "logical", place)
 
+def _python_tokens(text: str, found: _Tokens) -> None:
+    match, kinds, places, words = _python.match, found.kinds, found.places, _PYTHON_WORDS
+    widths, narrows = [0], [0]
+    at, length = int(text.startswith("﻿")), len(text)
+    if "\r" in text:  # a line end of its own, too
+        text = _lone_return.sub("\n", text)
+    fresh = True
     while True:
         if fresh:
             m = _line_start.match(text, at)
             at = m.end()
-            if at < length and text[at] not in "#\r\n" or at >= length:
-                width = len(m.group(1).replace("\f", "").expandtabs(8))
-                narrow = len(m.group(1).replace("\f", "").expandtabs(1))
-                if at >= length:
-                    width = narrow = 0
-                if width > indents[-1]:
-                    if not expects_block or narrow <= tabs[-1]:
-                        raise _Invalid(at)
-                    indents.append(width)
-                    tabs.append(narrow)
-                    blocks.append(_Group("", "block", at))
-                    expects_block = False
+            if at >= length or text[at] not in "#\r\n":
+                blanks = m.group(1).replace("\f", "") if at < length else ""
+                width, narrow = (len(blanks),) * 2 if "\t" not in blanks else (len(blanks.expandtabs(8)), len(blanks.expandtabs(1)))
+                if width > widths[-1]:
+                    if narrow <= narrows[-1]:
+                        raise _Unreadable(at)
+                    widths.append(width)
+                    narrows.append(narrow)
+                    found.add(">", at)
                 else:
-                    if expects_block:
-                        raise _Invalid(at)
-                    while width < indents[-1]:
-                        indents.pop()
-                        tabs.pop()
-                        close_block(at)
-                    if width != indents[-1] or narrow != tabs[-1]:
-                        raise _Invalid(at)
+                    while width < widths[-1]:
+                        widths.pop()
+                        narrows.pop()
+                        found.add("<", at)
+                    if width != widths[-1] or narrow != narrows[-1]:
+                        raise _Unreadable(at)
             fresh = False
         m = match(text, at)
         if m is None:
-            raise _Invalid(at)
-        kind, top = m.lastgroup, stack[-1]
-        start, at = m.start(kind), m.end()
-        if kind in ("s", "name") and text[start] in "fFrR" and (literal := _fstring.match(text, start)):
-            at = _read_fstring(text, literal)
-            top.add("s", start)
-        elif kind == "name":
-            top.add(words.get(m.group(kind), "n"), start)
-        elif kind == "mark":
-            top.add(marks[m.group(kind)], start)
+            raise _Unreadable(at)
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        at = end
+        if kind == "name":
+            if end < length and text[end] in "\"'" and (literal := _fstring.match(text, start)):
+                at = _fstring_tokens(text, literal, found)
+            else:
+                kinds.append(words.get(text[start:end], "n"))
+                places.append(start)
         elif kind == "nl":
-            if len(stack) == 1:
-                end_line(start)
+            if not found.open:
+                if kinds and kinds[-1] not in "$><":
+                    found.add("$", start)
                 fresh = True
-        elif kind in ("s", "d"):
-            top.add(kind, start)
-        elif kind == "open":
-            bracket = text[start]
-            role = {"(": "P", "[": "B", "{": "D"}[bracket]
-            if bracket == "(":
-                last = "".join(top.tokens[-4:])
-                if re.search(r"(?:\A|Y|;|:)dnB?\Z", last):
-                    role = "M"
-                elif last.endswith("i") and "f" in top.tokens[:1]:
-                    role = "imported"
-            stack.append(_Group(bracket, role, start))
-        elif kind == "close":
-            if _pair.get(top.bracket) != text[start]:
-                raise _Invalid(start)
-            _finish(grammar, top, top.role, start)
-            stack.pop()
-            stack[-1].add("P" if top.role == "imported" else top.role, top.begin)
-        else:
+        elif kind == "end":
             break
-    if len(stack) > 1:
-        raise _Invalid(length)
-    end_line(length)
-    if expects_block:
-        raise _Invalid(length)
-    while len(blocks) > 1:
-        close_block(length)
-    _finish(grammar, blocks[0], "block", length)
-
-
-_SCRIPT_ENDS = set("nyqT12345678vsdrkABOKJXUYbRw")
-_SCRIPT_OPERAND = set("nyqT12345678vsdrkABOKJ")
-_RETURNED = set("nvsdBgY")
-_SCRIPT_IDENT = set("nyqT12345678")
-_SCRIPT_GOES_ON = set(".,;:?=a>o*|gi)]HZ6x")
-_class_head = re.compile(r"C[nyqT1234578]?(?:<.*)?(?:[x6].*)?\Z")
-_function_head = re.compile(r"F\*?[nyqT12345678]?(?:<.*g)?\Z")
-_type_heads = {"4": (";KY", re.compile(r"4[nyqT12345678].*\Z")), "T": (";", re.compile(r"T[nyqT12345678](?:<.*g)?=(?:.*[|i])?\Z")), "5": (";", re.compile(r"5[nyqT12345678]\Z"))}
-_returns = re.compile(r"M:.*[nvsdBgY]\Z")
-
-
-def _opens_type(group: _Group) -> bool:
-    """Whether braces behind the group's tokens hold the members of a type."""
-    for keyword, (bounds, pattern) in _type_heads.items():
-        group.last_of("")
-        at = group.latest.get(keyword, -1)
-        if at >= 0 and "".join(group.tokens[at + 1 : at + 2]) in _SCRIPT_IDENT and pattern.match(group.head(keyword, bounds)):
-            return True
-    return False
-
-
-def _read_script(text: str, typed: bool) -> None:
-    grammar = grammars.TYPESCRIPT if typed else grammars.JAVASCRIPT
-    words, marks = _SCRIPT_WORDS, _SCRIPT_MARKS
-    match = _script.match
-    stack = [_Group("", "file", 0)]
-    length = len(text)
+        elif kind == "s" and text[start] in "fFrR" and (literal := _fstring.match(text, start)):
+            at = _fstring_tokens(text, literal, found)
+        else:
+            _python_token(text, kind, text[start:end], start, found)
+    if kinds and kinds[-1] not in "$><":
+        found.add("$", length)
+    for _ in widths[1:]:
+        found.add("<", length)
+
+
+#: Tokens behind which a slash divides.
+_SCRIPT_OPERAND = frozenset("nyqTX12345678vsdrkJK)]")
+
+
+def _script_tokens(text: str, found: _Tokens) -> None:
+    kinds, places, words, marks = found.kinds, found.places, _SCRIPT_WORDS, _SCRIPT_MARKS
+    match, length = _script.match, len(text)
     at = text.find("\n") if text.startswith("#!") else 0
     at = length if at < 0 else at
-    statements = ("file", "K", "U")
-    while True:
-        m = match(text, at)
-        if m is None:
-            raise _Invalid(at)
-        kind, top = m.lastgroup, stack[-1]
-        start, at = m.start(kind), m.end()
-        tokens = top.tokens
-        last = tokens[-1] if tokens else ""
-        line_end = last in _SCRIPT_ENDS and top.role in ("file", "K", "U", "J", "Y") and "\n" in m.group("gap")
+    # of each open bracket: ( of a head or of an operand, { of a block or of an operand, ` of a hole
+    inside: list[str] = []
+    last, before = "", ""
+    divides = False
+    while m := match(text, at):
+        kind, at = m.lastgroup, m.end()
+        start = m.start(kind)
+        if kind == "end":
+            return
+        first = FIRST if start > 0 and "\n" in text[m.start() : start] else 0
         if kind == "name":
-            word = m.group(kind)
-            token = words.get(word, "n")
-            if token not in "nyqT12345678v" and (last == "." or top.role in ("O", "J", "Y", "X") and (text[at : at + 1] in ":(?," or text[at : at + 2] == " }" or last == "2" or top.role == "X")):
-                token = "n"
+            token = words.get(text[start:at], "n")
+            divides = token in _SCRIPT_OPERAND or last == "."
         elif kind == "mark":
-            token = marks.get(m.group(kind), "@")
-            if m.group(kind) in ("/", "/=") and last not in _SCRIPT_OPERAND and last not in ("A", "B"):
+            mark = text[start:at]
+            token = marks[mark]
+            if mark in ("/", "/=") and not divides:
                 literal = _regex_literal.match(text, start)
                 if literal is None:
-                    raise _Invalid(start)
+                    raise _Unreadable(start)
                 token, at = "r", literal.end()
+            divides = token in _SCRIPT_OPERAND
         elif kind in ("s", "d"):
-            token = kind
-        elif kind == "end":
-            break
-        else:
-            token = ""
-        continues = token in _SCRIPT_GOES_ON and token or token in ("-", "<") or token == "E" and last == "K" or kind == "close" or m.group(kind)[:1] in ("(", "[", "`")
-        if line_end and not continues:
-            tokens.append(";")
-            top.places.append(start)
-            last = ";"
-        if token:
-            top.add(token, start)
-            continue
-        if kind == "tick" or kind == "close" and text[start] == "}" and top.bracket == "`":
-            if kind == "close":
-                _finish(grammar, top, "hole", start)
-                stack.pop()
-                start = top.begin
+            token, divides = kind, True
+        elif kind == "tick" or text[start] == "}" and inside[-1:] == ["`"]:
+            hole = kind != "tick"
             part = _template.match(text, at)
             if part is None:
-                raise _Invalid(length)
+                raise _Unreadable(length)
             at = part.end()
-            if text[at - 1] == "`":
-                stack[-1].add("s", start)
-            else:
-                stack.append(_Group("`", "hole", start))
-            continue
-        if kind == "open":
-            bracket = text[start]
-            if bracket == "(":
-                if last in ("I", "W", "S", "H"):
-                    role = "P"
-                elif last == "L" or tokens[-2:] == ["L", "w"]:
-                    role = "Q"
-                elif _function_head.match(top.head("F", ";K")):
-                    role = "M"
-                else:
-                    role = "A"
-            elif bracket == "[":
-                role = "B"
-            else:
-                near = "".join(tokens[-4:])
-                if _class_head.match(top.head("C", ";J")):
-                    role = "J"
-                elif last == "P" and near.endswith("SP"):
-                    role = "U"
-                elif last in ("m", "e") or near.endswith(("mn,", "mT", "eT")):
-                    role = "X"
-                elif typed and _opens_type(top):
-                    role = "Y"
-                elif last in ("P", "Q", "M", "E", "t", "Z", "D", ">", "H") or typed and last in _RETURNED and _returns.match(top.head("M:", ";=")):
-                    role = "K"
-                    if last == ">" and typed and top.role in ("M", "Y"):
-                        role = "Y"
-                elif typed and (last == ":" and (top.role in ("M", "Y", "J") or re.search(r"V[nyqT12345678]:\Z", near)) or last == "2" or last == "<"):
-                    role = "Y"
-                elif top.role in statements and (last in ("", ";", "K") or last == ":" and top.role == "U"):
-                    role = "K"
-                elif top.role == "J" and last == "3":
-                    role = "K"
-                else:
-                    role = "O"
-            stack.append(_Group(bracket, role, start))
-            continue
-        if _pair.get(top.bracket) != text[start]:
-            raise _Invalid(start)
-        stack.pop()
-        outer = stack[-1]
-        role = top.role
-        if role == "A":
-            ahead = match(text, at)
-            mark = ahead.group("mark") if ahead and ahead.lastgroup == "mark" else ahead.group("open") if ahead and ahead.lastgroup == "open" else ""
-            before = outer.tokens[-1] if outer.tokens else ""
-            if mark == "=>":
-                role = "M"
-            elif outer.role in ("J", "Y") and outer.last_of("=") <= outer.last_of(";KJ"):
-                role = "M"
-            elif outer.role == "O" and mark == "{" and (before in "nyqT12345678sdB*g"):
-                role = "M"
-            elif typed and mark == ":" and (before in ("=", "(", ",", "y", "g", "") or outer.role == "O" and before in "nyqT12345678") and outer.last_of("?") <= outer.last_of(",;K"):
-                role = "M"
-        _finish(grammar, top, role, start)
-        outer.add(role, top.begin)
-    if len(stack) > 1:
-        raise _Invalid(length)
-    _finish(grammar, stack[0], "file", length)
-
-
-#: A map, slice or array type, behind which braces hold a value even in a header.
-_go_literal_type = re.compile(r"(?:\A|[^nABdsO.])(?:MB|B)[MB*]*[n.]*\Z")
-
-
-def _read_go(text: str) -> None:
-    grammar, match, words, marks = grammars.GO, _go.match, _GO_WORDS, _GO_MARKS
-    stack = [_Group("", "file", 0)]
-    at, length = 0, len(text)
-    while True:
-        m = match(text, at)
-        if m is None:
-            raise _Invalid(at)
-        kind, top = m.lastgroup, stack[-1]
-        start, at = m.start(kind), m.end()
-        tokens = top.tokens
-        last = tokens[-1] if tokens else ""
-        if last in _GO_ENDS and ("\n" in m.group("gap") or kind == "end"):
-            tokens.append(";")
-            top.places.append(start)
-            last = ";"
+            ended = text[at - 1] == "`"
+            token = ("K" if ended else "B") if hole else ("J" if ended else "A")
+            if hole and ended:
+                inside.pop()
+                found.open.pop()
+            elif not hole and not ended:
+                inside.append("`")
+                found.open.append("`")
+            divides = ended
+        elif kind == "open":
+            token = text[start]
+            operand = token != "{" or last in frozenset("=(,?[aol&|Q-!*:uzwYRN~23") or last == "f" and before == "e"
+            inside.append(token if token == "{" and operand else "head" if token == "(" and last in frozenset("IWLH") else "block" if token == "{" else "")
+            found.bracket(token, start)
+            kinds.pop()
+            places.pop()
+            divides = False
+        else:
+            token = text[start]
+            opened = inside.pop() if inside else ""
+            divides = opened not in ("head", "block")
+            found.bracket(token, start)
+            kinds.pop()
+            places.pop()
+        kinds.append(chr(ord(token) + FIRST) if first else token)
+        places.append(start)
+        last, before = token, last
+    raise _Unreadable(at)
+
+
+def _go_tokens(text: str, found: _Tokens) -> None:
+    kinds = found.kinds
+    match, at = _go.match, 0
+    while m := match(text, at):
+        kind, at = m.lastgroup, m.end()
+        start = m.start(kind)
+        if kinds and kinds[-1] in _GO_ENDS and (kind == "end" or "\n" in m.group("gap")):
+            found.add(";", start)
+        if kind == "end":
+            return
+        written = text[start:at]
         if kind == "name":
-            top.add(words.get(m.group(kind), "n"), start)
+            found.add(_GO_WORDS.get(written, "n"), start)
         elif kind == "mark":
-            top.add(marks[m.group(kind)], start)
+            found.add(_GO_MARKS[written], start)
         elif kind in ("s", "d"):
-            top.add(kind, start)
-        elif kind == "open":
-            bracket = text[start]
-            if bracket == "(":
-                role = "D" if last in ("i", "V", "c", "T") and top.role in ("file", "K", "U") else "A"
-            elif bracket == "[":
-                role = "B"
-            else:
-                begin = len(tokens)
-                while begin and not (tokens[begin - 1] == ";" and not _in_header(tokens, begin - 1)):
-                    begin -= 1
-                lead = "".join(tokens[begin:])
-                while lead.startswith("K") and len(lead) > 1:
-                    lead = lead[1:]
-                if last == "r":
-                    role = "Y"
-                elif _go_literal_type.search("".join(tokens[max(0, _run_start(tokens, _run_start(tokens, len(tokens), "n."), "MB*") - 1) :])):
-                    role = "O"
-                elif top.role in ("file", "K", "U") and lead[:1] in ("S", "W"):
-                    role = "U" if "K" not in lead else "O"
-                elif top.role in ("file", "K", "U") and (lead[:1] in ("I", "L") or last == "E" or re.search(r"E?I[^K]*\Z", lead) and "I" in lead):
-                    role = "K"
-                elif top.role == "file" and lead[:1] == "F":
-                    role = "K"
-                elif tokens[-3:] == ["F", "A", "A"] or tokens[max(0, (begin := _run_start(tokens, len(tokens), "*.nBM")) - 2) : begin] == ["F", "A"]:
-                    role = "K"
-                elif top.role in ("file", "K", "U") and last in ("", ";", ":", "K"):
-                    role = "K"
-                else:
-                    role = "O"
-            stack.append(_Group(bracket, role, start))
-        elif kind == "close":
-            if _pair.get(top.bracket) != text[start]:
-                raise _Invalid(start)
-            if tokens and tokens[-1] == ";" and top.role in ("A", "B", "O"):
-                raise _Invalid(start)
-            _finish(grammar, top, top.role, start)
-            stack.pop()
-            stack[-1].add(top.role, top.begin)
+            found.add(kind, start)
         else:
-            break
-    if len(stack) > 1:
-        raise _Invalid(length)
-    _finish(grammar, stack[0], "file", length)
-
-
-def _run_start(tokens: list[str], end: int, letters: str) -> int:
-    """Where the run of letters begins that ends before `end`."""
-    while end and tokens[end - 1] in letters:
-        end -= 1
-    return end
-
-
-def _in_header(tokens: list[str], at: int) -> bool:
-    """Whether the ; at `at` separates the parts of a for, if or switch header."""
-    for k in range(at - 1, -1, -1):
-        if tokens[k] in ("L", "I", "S"):
-            return "K" not in tokens[k:at]
-        if tokens[k] in ("K", "U"):
-            return False
-        if tokens[k] == ";" and k < at - 1 and tokens[k + 1 : k + 2] == [";"]:
-            return False
-    return False
-
-
-def _read_rust(text: str) -> None:
-    grammar, match, words, marks = grammars.RUST, _rust.match, _RUST_WORDS, _RUST_MARKS
-    stack = [_Group("", "file", 0)]
-    at, length = 0, len(text)
-    while True:
-        m = match(text, at)
-        if m is None:
-            raise _Invalid(at)
-        kind, top = m.lastgroup, stack[-1]
-        start, at = m.start(kind), m.end()
-        tokens = top.tokens
-        last = tokens[-1] if tokens else ""
+            found.bracket(written, start)
+    raise _Unreadable(at)
+
+
+def _rust_tokens(text: str, found: _Tokens) -> None:
+    match, at = _rust.match, text.find("\n") if text.startswith("#!") and not text.startswith("#![") else 0
+    while m := match(text, max(at, 0)):
+        kind, at = m.lastgroup, m.end()
+        if kind == "end":
+            return
+        kind = "s" if kind == "hash" else kind
+        start = m.start(kind)
         if kind == "name":
-            top.add(words.get(m.group(kind), "n"), start)
+            found.add(_RUST_WORDS.get(m.group(kind), "n"), start)
         elif kind == "mark":
-            top.add(marks[m.group(kind)], start)
-        elif kind == "hash":
-            top.add("s", m.start("s"))
+            found.add(_RUST_MARKS[m.group(kind)], start)
         elif kind in ("s", "d", "l"):
-            top.add(kind, start)
-        elif kind == "open":
-            bracket = text[start]
-            if top.role == "Z" or re.search(r"n!n?\Z", "".join(tokens[-3:])):
-                role = "Z"
-            elif bracket == "(":
-                role = "A"
-            elif bracket == "[":
-                role = "Q" if last == "#" or tokens[-2:] == ["#", "!"] else "B"
-            else:
-                begin = top.last_of(";KUY") + 1
-                choice, test = top.last_of("M"), top.last_of("IWL")
-                lead = begin
-                while tokens[lead : lead + 2] == ["#", "Q"]:
-                    lead += 2
-                lead_text = "".join(tokens[lead : lead + 12])
-                if last == "2" and top.last_of("u") >= begin or top.role == "X" or last == "u":
-                    role = "X"
-                elif re.match(r"(?:pA?)?[Se]n", lead_text):
-                    role = "Y"
-                elif choice >= begin and top.last_of("f") < choice:
-                    role = "U"
-                elif test >= begin and (test == begin or tokens[test - 1] != ".") and top.last_of("f") < test:
-                    role = "K"
-                elif last in ("", ";", "K", "U", "E", "D", "q", "f", "|", "h", "=") and last != "=" or re.match(r"(?:pA?)?[qc]*s?(?:F|i|t|m)", lead_text):
-                    role = "K"
-                elif last == "n" and top.role not in ("file",):
-                    role = "O"
-                else:
-                    role = "K"
-            stack.append(_Group(bracket, role, start))
-        elif kind == "close":
-            if _pair.get(top.bracket) != text[start]:
-                raise _Invalid(start)
-            _finish(grammar, top, top.role, start)
-            stack.pop()
-            stack[-1].add(top.role, top.begin)
+            found.add(kind, start)
         else:
-            break
-    if len(stack) > 1:
-        raise _Invalid(length)
-    _finish(grammar, stack[0], "file", length)
+            found.bracket(text[start], start)
+    raise _Unreadable(at)
 
 
 _readers = {
-    "json": _read_json,
-    "toml": _read_toml,
-    "python": _read_python,
-    "javascript": lambda t: _read_script(t, False),
-    "typescript": lambda t: _read_script(t, True),
-    "go": _read_go,
-    "rust": _read_rust,
+    "json": (_json_tokens, grammars.JSON),
+    "toml": (_toml_tokens, grammars.TOML),
+    "python": (_python_tokens, grammars.PYTHON),
+    "javascript": (_script_tokens, grammars.JAVASCRIPT),
+    "typescript": (_script_tokens, grammars.TYPESCRIPT),
+    "go": (_go_tokens, grammars.GO),
+    "rust": (_rust_tokens, grammars.RUST),
 }
 
 
 def check(language: str, text: str) -> Failure | None:
     """None if all of the text is valid, else where it stops to be and why."""
+    read, grammar = _readers[language]
+    found = _Tokens()
     try:
-        _readers[language](text)
+        read(text, found)
+    except _Unreadable as stop:
+        found.add(BAD, stop.position)
+        found.open.clear()
+    failed = grammar.failure("file", "".join(found.kinds))
+    if failed is None:
         return None
-    except _Invalid as stop:
-        position = min(stop.position, len(text))
+    position = min(found.places[failed] if failed < len(found.places) else len(text), len(text))
     if _conflict.search(text):
         cause = "conflict"
-    elif not text[position:].strip():
+    elif found.open or not text[position:].strip():
         cause = "truncated"
     else:
         cause = "other"
