@@ -6,6 +6,10 @@ each. Texts with equal shingle sets are one class, classes with equal prefix and
 joined on prefix shingles, filtered by size and by the number of shared prefix shingles; the surviving pairs of groups are
 expanded to pairs of classes, these are verified on the whole sets, and members come in at the end.
 
+A shingle that very many texts hold (boilerplate) would bring all their groups into one task. Its groups are dealt out to blocks
+by their hash, and each meets every block, itself included, under a key of its own: every pair of groups meets once, in tasks of
+bounded size. Members of large classes and groups are dealt out in the same way.
+
 The order comes from a table of BUCKETS counters over all texts (a fixed size, whatever the corpus); any order gives the
 same result, a better one gives fewer candidates. Copies meet only as members of a class, never in the join.
 
@@ -36,6 +40,8 @@ KEY_BITS = 26
 UNIT_CHARS = 2_000_000
 #: Groups that a task remembers, to pass on the prefix of copies only once; results don't depend on it.
 KEPT_GROUPS = 1_000_000
+#: Groups, classes or members that meet under one key of a join; those beyond are dealt out to more keys.
+BLOCK = 4_096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -88,7 +94,7 @@ def _bucket(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def _gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], cells: int, kind: type, merge: np.ufunc) -> np.ndarray:
+def _gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch, set[int]], None], cells: int, kind: type, merge: np.ufunc) -> np.ndarray:
     """A table of a fixed number of cells that every task fills from its rows; the tasks' tables are merged by executors, in pieces."""
     width = cells // PIECES
 
@@ -97,8 +103,9 @@ def _gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, dtype=kind)
+        seen: set[int] = set()
         for batch in batches:
-            fill(table, batch)
+            fill(table, batch, seen)
         parts = {k: p for k, p in enumerate(table.reshape(PIECES, -1)) if p.any()}
         if parts:
             yield rows(parts)
@@ -121,12 +128,16 @@ def _gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
 
 
 def shingle_counts(texts: DataFrame, width: int, min_words: int) -> np.ndarray:
-    """How many texts hold a shingle of each bucket."""
+    """How many texts hold a shingle of each bucket; copies within a task count once."""
 
-    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+    def fill(table: np.ndarray, batch: pa.RecordBatch, seen: set[int]) -> None:
         for _, lists in _units(batch, min_words):
-            _, value = _distinct_sorted(*shingles(lists, width))
-            table += np.bincount(_bucket(value), minlength=BUCKETS).astype(np.uint32)
+            owner, value = _distinct_sorted(*shingles(lists, width))
+            of_set = np.add.reduceat(_mixed(value + np.uint64(1)), np.searchsorted(owner, np.arange(len(lists))))
+            new = np.array([c not in seen and seen.add(c) is None for c in of_set.tolist()])
+            if len(seen) > KEPT_GROUPS:
+                seen.clear()
+            np.add.at(table, _bucket(value[new[owner]]), 1)
 
     return _gathered(texts.select("text"), fill, BUCKETS, np.uint32, np.add)
 
@@ -138,7 +149,7 @@ def _key_bits(kinds: list[str], keys: list[str]) -> np.ndarray:
 def key_filter(keys: DataFrame) -> np.ndarray:
     """A bit table of 2 ** KEY_BITS bits with the hashes of (kind, key); a fixed size, so a filter of rows and no more."""
 
-    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+    def fill(table: np.ndarray, batch: pa.RecordBatch, _: set[int]) -> None:
         at = _key_bits(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
@@ -150,7 +161,22 @@ def _list_column(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int, percent: int) -> DataFrame:
+def _meeting_keys(shingle: np.ndarray, held: np.ndarray, group: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which groups meet on their shingles, and how many each shingle has; held: how many texts hold the shingle. Groups of a frequent shingle
+    are in blocks, and a pair of groups has the key of its pair of blocks in common, no other."""
+    blocks = -(-held.astype(np.int64) // block)
+    blocks[blocks < 1] = 1
+    key = np.repeat(shingle, blocks)
+    if len(key) == len(shingle):
+        return key, blocks
+    parts = np.repeat(blocks, blocks)
+    other = np.arange(len(key)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = ((np.repeat(group, blocks) >> np.uint64(8)) % parts.astype(np.uint64)).astype(np.int64)
+    cell = np.minimum(own, other) * parts + np.maximum(own, other) + 1
+    return np.where(parts > 1, _mixed(key + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), key), blocks
+
+
+def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int, percent: int, block: int) -> DataFrame:
     """For each long enough text: its class (hash of the set), group (hash of prefix, size and kind), size and prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
@@ -174,11 +200,12 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, width: int, min_words: int,
                 repeated = np.array([g in seen or seen.add(g) is not None for g in group.tolist()])
                 if len(seen) > KEPT_GROUPS:
                     seen.clear()
-                length = np.where(repeated, 0, length)
                 first &= ~repeated[owner]
+                key, keys = _meeting_keys((value ^ kinds[owner])[first], common[_bucket(value[first])], group[owner[first]], block)
+                length = np.bincount(np.repeat(owner[first], keys), minlength=len(lists))
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(of_set.view(np.int64)), pa.array(group.view(np.int64)), pa.array(sizes.astype(np.int32)), _list_column(((value ^ kinds[owner]) >> np.uint64(16))[first], length)],
+                    [taken.column(0), taken.column(1), pa.array(of_set.view(np.int64)), pa.array(group.view(np.int64)), pa.array(sizes.astype(np.int32)), _list_column(key >> np.uint64(16), length)],
                     names=["kind", "key", "class", "group", "size", "prefix"],
                 )
 
@@ -230,16 +257,49 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("class_a", "class_b", "shingles_a", "shingles_b").mapInArrow(run, "class_a bigint, class_b bigint")
 
 
-def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _parts(rows: DataFrame, owner: str, block: int) -> DataFrame:
+    """(owner, parts): the owners with more than `block` rows and the parts that these are dealt out to; usually a few or none."""
+    return rows.groupBy(owner).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
+
+
+def _own_part(item: str, parts: str = "parts") -> F.Column:
+    return F.pmod(F.xxhash64(item), F.coalesce(F.col(parts), F.lit(1))).cast("int")
+
+
+def _within(rows: DataFrame, owner: str, item: str, block: int = BLOCK) -> DataFrame:
+    """Pairs of an owner's rows, item_a < item_b, columns with the endings _a and _b; large owners meet in cells of two parts each."""
+    columns = rows.columns
+    own, n = _own_part(item), F.coalesce(F.col("parts"), F.lit(1))
+    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.least(own, x) * n + F.greatest(own, x))
+    dealt = rows.join(_parts(rows, owner, block), owner, "left").select(*columns, F.explode(cells).alias("cell"))
+    a, b = (dealt.select(owner, "cell", *(F.col(c).alias(f"{c}_{s}") for c in columns if c != owner)) for s in "ab")
+    return a.join(b, [owner, "cell"]).where(F.col(f"{item}_a") < F.col(f"{item}_b"))
+
+
+def _between(pairs: DataFrame, rows: DataFrame, owner: str, block: int = BLOCK) -> DataFrame:
+    """For each pair of owners (owner_a, owner_b) all pairs of their rows, columns with the endings _a and _b; large owners are joined in parts."""
+    columns = [c for c in rows.columns if c != owner]
+    parts = _parts(rows, owner, block)
+    found = pairs
+    for s in "ab":
+        n = parts.withColumnRenamed(owner, f"{owner}_{s}")
+        found = found.join(n, f"{owner}_{s}", "left").withColumn(f"part_{s}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    for s in "ab":
+        dealt = rows.join(parts, owner, "left").select(F.col(owner).alias(f"{owner}_{s}"), _own_part(columns[-1]).alias(f"part_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in columns))
+        found = found.join(dealt, [f"{owner}_{s}", f"part_{s}"])
+    return found
+
+
+def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, links) of texts with the columns kind, key and text, linked only within a kind.
 
     members: (kind, key, class), a row for each text that has at least min_words words; links: (class_a, class_b), class_a <
-    class_b, for each pair of classes whose shingle sets are similar. Members of one class have equal sets.
+    class_b, for each pair of classes whose shingle sets are similar. Members of one class have equal sets. block: how many rows meet under one key.
     """
     min_words = max(width, min_words or 0)
     texts = spread(texts.select("kind", "key", "text").where("text is not null"))
     counts = shingle_counts(texts, width, min_words)
-    made = cut(_prefixes(texts, counts, width, min_words, percent))
+    made = cut(_prefixes(texts, counts, width, min_words, percent, block))
     members = made.select("kind", "key", "class").distinct()
     classes = made.groupBy("class").agg(F.min("kind").alias("kind"), F.min("key").alias("key"), F.min("group").alias("group"))
 
@@ -258,9 +318,8 @@ def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words:
     least = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
     behind = F.ceil(F.greatest("size_a", "size_b") * F.lit(percent) / F.lit(100) - 1e-9) - 1
     group_pairs = group_pairs.where(F.col("shared") + behind >= least).select("group_a", "group_b")
-    one, other = (classes.select(F.col("group").alias(f"group_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
-    across = group_pairs.join(one, "group_a").join(other, "group_b").select("class_a", "class_b")
-    within = one.join(other, one["group_a"] == other["group_b"]).where("class_a < class_b").select("class_a", "class_b")
+    across = _between(group_pairs, classes.select("group", "class"), "group", block).select("class_a", "class_b")
+    within = _within(classes.select("group", "class"), "group", "class", block).select("class_a", "class_b")
     pairs = cut(across.union(within).select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct())
 
     needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
@@ -271,12 +330,10 @@ def class_links(texts: DataFrame, width: int = 5, percent: int = 80, min_words:
     return members, cut(links)
 
 
-def linked_keys(members: DataFrame, links: DataFrame) -> DataFrame:
+def linked_keys(members: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
     """(kind, key_a, key_b), key_a < key_b, of each pair of different keys that are linked, copies included."""
-    one = members.select("kind", F.col("key").alias("one"), F.col("class").alias("class_a"))
-    other = members.select(F.col("key").alias("other"), F.col("class").alias("class_b"))
-    near = links.join(one, "class_a").join(other, "class_b").select("kind", "one", "other")
-    same = one.join(other, one["class_a"] == other["class_b"]).where("one < other").select("kind", "one", "other")
+    near = _between(links, members, "class", block).select(F.col("kind_a").alias("kind"), F.col("key_a").alias("one"), F.col("key_b").alias("other"))
+    same = _within(members, "class", "key", block).select("kind_a", "key_a", "key_b")
     return near.union(same).where("one <> other").select("kind", F.least("one", "other").alias("key_a"), F.greatest("one", "other").alias("key_b")).distinct()
 
 
