@@ -146,10 +146,8 @@ arrowhead <- (generic params returns / ident) !^ '>'
 plainhead <- (params / ident) !^ '>'
 arrow <- ('y' !^ arrowhead / arrowhead) (body / value)
 plain <- ('y' !^ plainhead / plainhead) (body / plainvalue) / conditional
-unary <- [-!uzwk]* (assertion / operand (!^ 'k')? cast)
-bits <- unary (([-*i|&oM<] / 'g' 'g'? 'g'? '='?) unary)*
-logic <- bits (('Q' bits)+ !'l' / ('l' bits)* !'Q')
-conditional <- logic ('?' value ':' value / '?' plainvalue ':' value)?
+bits <- [-!uzwk]* (assertion / operand (!^ 'k')? cast) (([-*i|&oM<] / 'g' 'g'? 'g'? '='?) [-!uzwk]* (assertion / operand (!^ 'k')? cast))*
+conditional <- bits (('Q' bits)+ !'l' / ('l' bits)* !'Q') ('?' value ':' value / '?' plainvalue ':' value)?
 yield <- 'Y' (!^ ('*' value / value))?
 value <- yield / (&[(<y] / &(ident '>')) arrow / conditional ![=a] / place [=a] value
 plainvalue <- yield / plain ![=a] / place [=a] value

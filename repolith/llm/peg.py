@@ -199,14 +199,17 @@ class Grammar:
             self._parsers[rule, traced] = _Writer(self, traced).written(rule)
         return self._parsers[rule, traced]
 
-    def failure(self, rule: str, tokens: str) -> int | None:
-        """None if the rule consumes all tokens, else how many tokens can still begin a text that it accepts."""
+    def accepts(self, rule: str, tokens: str) -> bool:
+        """Whether the rule consumes all tokens."""
         if sys.getrecursionlimit() < DEEPEST * FRAMES_PER_LEVEL:
             sys.setrecursionlimit(DEEPEST * FRAMES_PER_LEVEL)
-        text = tokens + END
-        if self._parser(rule, False)(text)[0] == len(tokens):
+        return self._parser(rule, False)(tokens + END)[0] == len(tokens)
+
+    def failure(self, rule: str, tokens: str) -> int | None:
+        """None if the rule consumes all tokens, else how many tokens can still begin a text that it accepts."""
+        if self.accepts(rule, tokens):
             return None
-        end, furthest = self._parser(rule, True)(text)
+        end, furthest = self._parser(rule, True)(tokens + END)
         return max(end, furthest)
 
 

@@ -12,7 +12,7 @@ deeper than peg.DEEPEST are a failure at the bracket, as with compilers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -97,12 +97,13 @@ _py_string = (
 #: Escapes that text strings and byte strings can't hold.
 _bad_escape = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N(?!\{[^}]+\}))")
 _bad_byte = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})|[^\x00-\x7f]")
-_python = re.compile(
-    rf"(?:[ \t\f\r]|\\\r?\n|#[^\n]*)*+(?:(?P<s>{_py_string})|(?P<name>[^\W\d]\w*)"
+_PYTHON_LEXEMES = (
+    rf"(?P<s>{_py_string})|(?P<name>[^\W\d]\w*)"
     r"|(?P<d>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
     r"|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?=\W|\Z|(?:in|if|is|or|and|else|for|not)\b))"
-    r"|(?P<nl>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|<=|>=|==|[-+*/%&|^~<>=.,:;@])|(?P<end>\Z))"
+    r"|(?P<nl>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|<=|>=|==|[-+*/%&|^~<>=.,:;@])"
 )
+_python = re.compile(rf"(?:[ \t\f\r]|\\\r?\n|#[^\n]*)*+(?:{_PYTHON_LEXEMES}|(?P<end>\Z))")
 _PYTHON_MARKS = _words("""
 a: += -= *= /= //= %= &= |= ^= @= >>= <<= **=
 X: **
@@ -175,11 +176,12 @@ X: is
 """)
 #: A template's text up to its end or its next hole.
 _template = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:`|\$\{)")
-_script = re.compile(
-    r"(?P<gap>(?:\s|\ufeff|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:(?P<name>" + _NAME + r")|(?P<s>" + r'"(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?:[^'\\\n]|\\[\s\S])*+')|(?P<tick>`)"
+_SCRIPT_LEXEMES = (
+    r"(?P<name>" + _NAME + r")|(?P<s>" + r'"(?:[^"\\\n]|\\[\s\S])*+"|' + r"'(?:[^'\\\n]|\\[\s\S])*+')|(?P<tick>`)"
     r"|(?P<d>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
-    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|\?(?=\.\D)|[-+*/%&|^!~<>=?:.,;#@])|(?P<end>\Z))"
+    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|\?(?=\.\D)|[-+*/%&|^!~<>=?:.,;#@])"
 )
+_script = re.compile(rf"(?P<gap>(?:\s|\ufeff|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:{_SCRIPT_LEXEMES}|(?P<end>\Z))")
 _regex_literal = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
 _SCRIPT_MARKS = _words("""
 >: =>
@@ -215,11 +217,12 @@ h: chan
 r: struct
 j: interface
 """)
-_go = re.compile(
-    r"(?P<gap>(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:(?P<name>[^\W\d]\w*)|(?P<s>" + r'"(?:[^"\\\n]|\\[^\n])*+"|`[^`]*+`|' + r"'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))')"
+_GO_LEXEMES = (
+    r"(?P<name>[^\W\d]\w*)|(?P<s>" + r'"(?:[^"\\\n]|\\[^\n])*+"|`[^`]*+`|' + r"'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))')"
     r"|(?P<d>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?(?!\w))"
-    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\.\.\.|<<=|>>=|&\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^!<>=:.,;~])|(?P<end>\Z))"
+    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\.\.\.|<<=|>>=|&\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^!<>=:.,;~])"
 )
+_go = re.compile(rf"(?P<gap>(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+)(?:{_GO_LEXEMES}|(?P<end>\Z))")
 _GO_MARKS = _words("""
 e: ...
 a: <<= >>= &^= += -= *= /= %= &= |= ^=
@@ -265,11 +268,13 @@ v: true false
 _nested = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
 for _ in range(4):
     _nested = rf"/\*(?:[^*/]|\*(?!/)|/(?!\*)|{_nested})*+\*/"
-_rust = re.compile(
-    r"(?P<gap>(?:\s|//[^\n]*|" + _nested + r")*+)(?:(?P<s>b?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash)|[bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|.))')|(?P<l>'[^\W\d]\w*)|(?P<name>(?:r#)?[^\W\d]\w*)"
+_raw = "|".join(rf'{"#" * k}"[\s\S]*?"{"#" * k}' for k in range(9))
+_RUST_LEXEMES = (
+    r"(?P<s>b?r(?:" + _raw + r")|[bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|.))')|(?P<l>'[^\W\d]\w*)|(?P<name>(?:r#)?[^\W\d]\w*)"
     r"|(?P<d>(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w))"
-    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\.\.\.|\.\.=|<<=|>>=|::|->|=>|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\.\.|<<|[-+*/%&|^!<>=:.,;#@?$])|(?P<end>\Z))"
+    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>\.\.\.|\.\.=|<<=|>>=|::|->|=>|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\.\.|<<|[-+*/%&|^!<>=:.,;#@?$])"
 )
+_rust = re.compile(rf"(?P<gap>(?:\s|//[^\n]*|{_nested})*+)(?:{_RUST_LEXEMES}|(?P<end>\Z))")
 _RUST_MARKS = _words("""
 r: ... ..= ..
 +: <<= >>= += -= *= /= %= &= |= ^=
@@ -617,7 +622,6 @@ def _rust_tokens(text: str, found: _Tokens) -> None:
         kind, at = m.lastgroup, m.end()
         if kind == "end":
             return
-        kind = "s" if kind == "hash" else kind
         start = m.start(kind)
         if kind == "name":
             found.add(_RUST_WORDS.get(m.group(kind), "n"), start)
@@ -630,6 +634,211 @@ def _rust_tokens(text: str, found: _Tokens) -> None:
     raise _Unreadable(at)
 
 
+# --- reading without places -------------------------------------------------------------------------------------------------------
+# Most files are valid, and the place of a token is only asked for in others. A text is first split into its lexemes by one pattern and
+# these are looked up; whatever needs more than that (a slash in a script, a literal inside a literal, a tab before a line, anything
+# unreadable) and every failure goes through the readers above.
+
+
+def _lexemes(known: str, skipped: str, lines: str = "") -> re.Pattern[str]:
+    """Splits a text into the known lexemes, behind what is skipped; lines: what can end a line. An empty lexeme stands before a bad number."""
+    return re.compile(f"{skipped}({lines}{re.sub(r'[(][?]P<[a-z]+>', '(?:', known)}|(?=\\d)|[\\s\\S])")
+
+
+_comment = r"/\*(?:[^*]|\*(?!/))*+\*/|"
+_fast_python = _lexemes(_PYTHON_LEXEMES, r"(?:[ \t\f]|\\\r?\n|#[^\n]*|\r(?=\n))*+", r"\n(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*[ \t\f]*(?=[^\s#]|\Z)|")
+_fast_script = _lexemes(_SCRIPT_LEXEMES, r"(?:[^\S\n]|\ufeff|//[^\n]*)*+", r"\n\s*|" + _comment + r"`(?:[^`\\]|\\[\s\S])*+`|" + rf"(?:(?<=[(=,:\[!&|?;])|(?<=[(=,:\[!&|?;] )){_regex_literal.pattern}|")
+_fast_go = _lexemes(_GO_LEXEMES, r"(?:[^\S\n]|//[^\n]*)*+", r"\n\s*|" + _comment)
+_fast_rust = _lexemes(_RUST_LEXEMES, rf"(?:\s|//[^\n]*|{_nested})*+")
+_brackets = {c: c for c in "([{}])"}
+#: Lexemes that a worker remembers; the memory's bound, results don't depend on it.
+KEPT_LEXEMES = 200_000
+
+
+class _Known(dict[str, str]):
+    """Token of each lexeme that has been seen."""
+
+    def __init__(self, *tables: dict[str, str]):
+        super().__init__()
+        for table in (_brackets, *tables):
+            self.update(table)
+        self.fixed = dict(self)
+
+    def keep(self, lexeme: str, token: str) -> str:
+        if len(self) >= KEPT_LEXEMES:
+            self.clear()
+            self.update(self.fixed)
+        self[lexeme] = token
+        return token
+
+
+_known_python = _Known(_PYTHON_WORDS, _PYTHON_MARKS)
+_known_script = _Known(_SCRIPT_WORDS, {k: v for k, v in _SCRIPT_MARKS.items() if k not in ("/", "/=")})
+_known_go = _Known(_GO_WORDS, _GO_MARKS)
+_known_rust = _Known(_RUST_WORDS, _RUST_MARKS)
+
+
+def _literal_kinds(read: Callable[[str, _Tokens], None], lexeme: str) -> str | None:
+    """The tokens of a literal with holes; None if it isn't one as a whole."""
+    found = _Tokens()
+    try:
+        read(lexeme, found)
+    except _Unreadable:
+        return None
+    return "".join(found.kinds)
+
+
+def _read_whole_fstring(lexeme: str, found: _Tokens) -> None:
+    if _fstring_tokens(lexeme, _fstring.match(lexeme), found) != len(lexeme):
+        raise _Unreadable(0)
+
+
+def _fast_python_kinds(text: str) -> str | None:
+    if "\t" in text or "\r" in text and _lone_return.search(text) or text.startswith("\ufeff"):
+        return None
+    text = text.rstrip(" \r\n\f")
+    if text.endswith("\\"):
+        return None
+    get, kinds, depth = _known_python.get, [], 0
+    add = kinds.append
+    widths = [0]
+    for x in _fast_python.findall(f"\n{text}\n"):
+        k = get(x)
+        if k is None:
+            c = x[:1]
+            if c == "\n":
+                if depth:
+                    continue
+                if kinds and kinds[-1] not in "$><":
+                    add("$")
+                width = len(x) - x.rfind("\n") - 1
+                if width != widths[-1]:
+                    if "\f" in x:
+                        return None
+                    if width > widths[-1]:
+                        widths.append(width)
+                        add(">")
+                    else:
+                        while width < widths[-1]:
+                            widths.pop()
+                            add("<")
+                        if width != widths[-1]:
+                            return None
+                continue
+            if x.isidentifier():
+                k = _known_python.keep(x, "n")
+            elif c.isdigit() or c == "." and len(x) > 1:
+                k = "v"
+            elif x and x[-1] in "\"'" and len(x) > 1:
+                if "\\" in x or c in "bBrRfF":
+                    f = _fstring.match(x)
+                    k = _literal_kinds(_read_whole_fstring if f else _python_tokens, x)
+                    if k is None:
+                        return None
+                    k = k.rstrip("$")
+                else:
+                    k = "s"
+            else:
+                return None
+        elif k in "([{":
+            depth += 1
+            if depth > DEEPEST:
+                return None
+        elif k in ")]}":
+            depth -= depth > 0
+        add(k)
+    return None if depth else "".join(kinds)
+
+
+def _fast_script_kinds(text: str) -> str | None:
+    if text.startswith("#!") or text.count("(") + text.count("[") + text.count("{") > DEEPEST:
+        return None
+    get, kinds = _known_script.get, []
+    add = kinds.append
+    first = False
+    for x in _fast_script.findall(text):
+        k = get(x)
+        if k is None:
+            c = x[:1]
+            if c == "\n":
+                first = True
+                continue
+            if c.isalpha() or c in ("_", "$") and x:
+                k = _known_script.keep(x, "n")
+            elif c.isdigit() or c == "." and len(x) > 1:
+                k = "d"
+            elif len(x) > 1 and c in "\"'":
+                k = "s"
+            elif len(x) > 1 and c == "`":
+                k = _literal_kinds(_script_tokens, x) if "${" in x else "J"
+                if k is None:
+                    return None
+            elif x.startswith("/*"):
+                first = first or "\n" in x
+                continue
+            elif len(x) > 1 and c == "/":
+                k = "r"
+            else:
+                return None
+        if first:
+            k = chr(ord(k[0]) + FIRST) + k[1:]
+            first = False
+        add(k)
+    return "".join(kinds)
+
+
+def _fast_go_kinds(text: str) -> str | None:
+    if text.count("(") + text.count("[") + text.count("{") > DEEPEST:
+        return None
+    get, kinds = _known_go.get, []
+    add = kinds.append
+    k: str | None = ""
+    for x in _fast_go.findall(f"{text}\n"):
+        last, k = k, get(x)
+        if k is None:
+            c = x[:1]
+            if c == "\n" or x.startswith("/*"):
+                if last in _GO_ENDS and "\n" in x:
+                    add(";")
+                    k = ";"
+                else:
+                    k = last
+                continue
+            if c.isalpha() or c == "_":
+                k = _known_go.keep(x, "n")
+            elif c.isdigit() or c == "." and len(x) > 1:
+                k = "d"
+            elif len(x) > 1 and c in "\"'`":
+                k = "s"
+            else:
+                return None
+        add(k)
+    return "".join(kinds)
+
+
+def _fast_rust_kinds(text: str) -> str | None:
+    if text.startswith("#!") or text.count("(") + text.count("[") + text.count("{") > DEEPEST:
+        return None
+    get, kinds = _known_rust.get, []
+    for x in _fast_rust.findall(text):
+        k = get(x)
+        if k is None:
+            c = x[:1]
+            if len(x) > 1 and x[-1] in "\"'#":
+                k = "s"
+            elif c == "'" and len(x) > 1:
+                k = "l"
+            elif c.isalpha() or c == "_":
+                k = _known_rust.keep(x, "n")
+            elif c.isdigit():
+                k = "d"
+            else:
+                return None
+        kinds.append(k)
+    return "".join(kinds)
+
+
+_fast = {"python": _fast_python_kinds, "javascript": _fast_script_kinds, "typescript": _fast_script_kinds, "go": _fast_go_kinds, "rust": _fast_rust_kinds}
 _readers = {
     "json": (_json_tokens, grammars.JSON),
     "toml": (_toml_tokens, grammars.TOML),
@@ -644,6 +853,9 @@ _readers = {
 def check(language: str, text: str) -> Failure | None:
     """None if all of the text is valid, else where it stops to be and why."""
     read, grammar = _readers[language]
+    kinds = _fast[language](text) if language in _fast else None
+    if kinds is not None and grammar.accepts("file", kinds):
+        return None
     found = _Tokens()
     try:
         read(text, found)
