@@ -32,7 +32,6 @@ RELATION_RULES = {
     "go": [("import", r"^\s*(?:import\s+)?(?:[A-Za-z_.]\w*\s+)?\"([^\"]+)\"$")],
     "rs": [("use", r"^\s*(?:pub\s+)?use\s+([^;{]+?)(?:::)?\s*[;{]")],
 }
-ROUTE_RULE = r"\b(?:app|router)\.(get|post|put|delete|patch|options|head|all)\(\s*['\"`]([^'\"`]+)['\"`]"
 
 # Suffixes of the indexed languages.
 SUFFIXES = {"py": ["py"], "js": ["js", "jsx", "ts", "tsx", "mjs"], "go": ["go"], "rs": ["rs"]}
@@ -66,12 +65,6 @@ def relations(files: DataFrame, language: str) -> DataFrame:
     return _ruled(of_language(files, language), RELATION_RULES[language], "relation_type", "target")
 
 
-def routes(files: DataFrame) -> DataFrame:
-    """(repo_id, path, method, route_path, line_number) of the routes registered on an app or a router."""
-    found = numbered_lines(of_language(files, "js")).withColumn("method", F.upper(F.regexp_extract("line", ROUTE_RULE, 1))).where("method <> ''")
-    return found.select("repo_id", "path", "method", F.regexp_extract("line", ROUTE_RULE, 2).alias("route_path"), "line_number")
-
-
 def _calls(node: ast.AST) -> list[str]:
     names: dict[str, None] = {}
     for inner in ast.walk(node):
@@ -147,11 +140,3 @@ def call_relation(name: Column) -> Column:
 def role_priority(name: Column) -> Column:
     role = symbol_role(name)
     return F.when(role == "repository", 4).when(role == "service", 3).when(role == "handler", 2).otherwise(0)
-
-
-def normalize_call(name: Column) -> Column:
-    """A call's target without await, self, cls, this and with constructor calls collapsed."""
-    bare = F.regexp_replace(strip(name), r"^await\s+", "")
-    bare = F.replace(bare, F.lit("?."), F.lit("."))
-    bare = F.regexp_replace(bare, r"^(self|cls|this)\.", "")
-    return strip(F.regexp_replace(F.regexp_replace(bare, r"\b(?:new\s+)?([A-Za-z_$][\w$]*)\s*\([^()]*\)\.", "$1."), r"\s+", " "))

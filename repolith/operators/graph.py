@@ -20,19 +20,6 @@ def all_relations(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (C.relations(files, x).withColumn("language", F.lit(x)) for x in C.RELATION_RULES))
 
 
-def entities(files: DataFrame) -> DataFrame:
-    """Files and their symbols as nodes: (repo_id, entity_kind, name, path, line_number); of equal ones the first line stays."""
-    own = all_symbols(files)
-    return own.groupBy("repo_id", F.col("symbol_type").alias("entity_kind"), "name", "path").agg(F.min("line_number").alias("line_number"))
-
-
-def edges(files: DataFrame) -> DataFrame:
-    """(repo_id, source_ref, target_ref, relation_type, path, line_number), each once: imports and contained symbols."""
-    imports = all_relations(files).select("repo_id", F.col("path").alias("source_ref"), F.col("target").alias("target_ref"), "relation_type", "path", "line_number")
-    held = all_symbols(files).select("repo_id", F.col("path").alias("source_ref"), F.col("name").alias("target_ref"), F.lit("contain_symbol").alias("relation_type"), "path", "line_number")
-    return imports.unionByName(held).distinct()
-
-
 def call_edges(documents: DataFrame) -> DataFrame:
     """(repo_id, doc_id, called, relation_type): the calls that documents list in their metadata, typed by the callee's name."""
     called = documents.select("repo_id", "doc_id", F.explode(T.metadata_values(F.col("metadata"), "called_symbols")).alias("called"))
@@ -47,9 +34,12 @@ def rezipped(documents: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def defined_keys(documents: DataFrame) -> DataFrame:
-    """(repo_id, doc_id, key): the keys under which a document's own symbol, the last part of its id, is found."""
-    symbol = F.element_at(F.split("doc_id", "::"), -1)
-    return documents.where(F.size(F.split("doc_id", "::")) >= 4).select("repo_id", "doc_id", F.explode(T.expand_keys(symbol)).alias("key"))
+    """(repo_id, doc_id, key): the keys under which a document is found: of its own symbol, the last part of its id, and of those on its line of symbols."""
+    parts = F.split("doc_id", "::")
+    own = F.when(F.size(parts) >= 4, F.array(F.element_at(parts, -1))).otherwise(F.array().cast("array<string>"))
+    listed = F.split(T.prefixed_value(F.col("content"), "symbols:"), r",\s*")
+    keys = F.array_distinct(F.flatten(F.transform(F.concat(own, listed), T.expand_keys)))
+    return documents.select("repo_id", "doc_id", F.explode(keys).alias("key"))
 
 
 def call_targets(documents: DataFrame) -> DataFrame:
@@ -59,12 +49,6 @@ def call_targets(documents: DataFrame) -> DataFrame:
     return found.where("source_doc <> target_doc").select("repo_id", "source_doc", "target_doc").distinct()
 
 
-def match_score(wanted: Column, candidate: Column) -> Column:
-    """6 for equal names, 4 for a shared expanded key, 2 for a part, else 0."""
-    a, b = F.lower(wanted), F.lower(candidate)
-    return F.when(a == b, 6).when(F.arrays_overlap(T.expand_keys(wanted), T.expand_keys(candidate)), 4).when(F.contains(a, b) | F.contains(b, a), 2).otherwise(0)
-
-
 def levels(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """(node, level): the longest way from a node without predecessors in a directed acyclic graph of (source, target). Nodes on or
     behind a cycle would rise without end; beyond max_depth an error is raised."""
@@ -89,10 +73,3 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         fresh = reached.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(step).alias("distance"))
         seen = cut(seen.union(fresh))
     return seen
-
-
-def best_roots(scores: DataFrame, priorities: dict[str, int]) -> DataFrame:
-    """The single best document of each query to start a trace from: by type, then score, then id."""
-    rank = reduce(lambda chain, kv: chain.when(F.col("doc_type") == kv[0], kv[1]), priorities.items(), F).otherwise(0)
-    order = Window.partitionBy("query_id").orderBy(rank.desc(), F.desc("score"), "doc_id")
-    return scores.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")

@@ -67,19 +67,31 @@ def facets(signals: DataFrame, cap: int = 20) -> DataFrame:
     return signals.groupBy("repo_id", "category").agg(order.alias("s")).select("repo_id", "category", F.array_join(F.slice(F.array_distinct(F.transform("s", lambda x: x["name"])), 1, cap), ", ").alias("names"))
 
 
-def path_prefixes(path: Column) -> Column:
-    """All directories above a path, the longest first, and '.' at last."""
+def directories(path: Column) -> Column:
+    """All directories above a path, the longest first."""
     parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    return F.concat(above, F.array(F.lit(".")))
+    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
 
 
 def longest_prefix(rows: DataFrame, roots: DataFrame, keys: list[str], path: str) -> DataFrame:
     """rows' keys and path with the longest root of the same repository that is the path or lies above it; '.' only where no other
-    does; null where none does. An equality join over exploded prefixes, not a range join."""
-    own = rows.select(*keys, path, F.posexplode(path_prefixes(F.col(path))).alias("__k", "root"))
-    found = own.join(roots.select("repo_id", "root").distinct(), ["repo_id", "root"]).groupBy(*keys, path).agg(F.min_by("root", "__k").alias("root"))
-    return rows.select(*keys, path).join(found, [*keys, path], "left")
+    does; null where none does. keys must hold repo_id.
+
+    The prefixes of a directory are looked up once for all of its files, in an equality join, and '.' is added per directory, so that
+    a large repository is no key of its own.
+    """
+    known = roots.select("repo_id", "root").where("root is not null").distinct()
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    own = rows.select(*keys, path, folder.alias("__folder"))
+    folders = own.select("repo_id", "__folder").distinct()
+    above = folders.select("repo_id", "__folder", F.posexplode(F.concat(F.array("__folder"), directories(F.col("__folder")))).alias("__k", "root"))
+    found = above.join(known.where("root <> '.'"), ["repo_id", "root"]).groupBy("repo_id", "__folder").agg(F.min_by("root", "__k").alias("__above"))
+    last = known.where("root = '.'").select("repo_id", F.col("root").alias("__last"))
+    placed = folders.join(found, ["repo_id", "__folder"], "left").join(last, "repo_id", "left").select("repo_id", "__folder", F.coalesce("__above", "__last").alias("__above"))
+    exact = known.where("root <> '.'").withColumnRenamed("root", path).withColumn("__exact", F.col(path))
+    joined = own.join(placed, ["repo_id", "__folder"], "left").join(exact, ["repo_id", path], "left")
+    return joined.select(*keys, path, F.coalesce("__exact", "__above").alias("root"))
 
 
 def subprojects(configs: DataFrame) -> DataFrame:

@@ -44,23 +44,11 @@ _ALL_SYMBOLS = " UNION ALL ".join(_symbol_sql(x) for x in codeindex.SYMBOL_RULES
 _ALL_RELATIONS = " UNION ALL ".join(_relation_sql(x) for x in codeindex.RELATION_RULES)
 
 
-def js_routes_regex(spark, d):
-    return codeindex.routes(tables.key_files(spark, d))
-
-
 def py_ast(spark, d):
     own = codeindex.python_trees(tables.key_files(spark, d))
     return own.select("repo_id", "path", "symbol_type", "qualified_name", "line_start", "line_end", F.array_join("parameters", ",").alias("parameters"), F.array_join("called_symbols", ",").alias("calls"))
 
 
-def build_entities(spark, d):
-    return graph.entities(tables.key_files(spark, d))
-
-
-def build_edges(spark, d):
-    return graph.edges(tables.key_files(spark, d))
-
-
 def relation_of_call(spark, d):
     return graph.call_edges(tables.documents(spark, d))
 
@@ -144,17 +132,6 @@ def doc_subproject_summary(spark, d):
     return documents.subproject_documents(profile.subprojects(tables.config_summaries(spark, d))).select("doc_id", "content")
 
 
-def doc_function_summary(spark, d):
-    files = tables.key_files(spark, d)
-    return documents.symbol_documents(codeindex.python_trees(files), files).where("content <> ''").select("doc_id", "doc_type", "title", "content")
-
-
-def union_docs(spark, d):
-    repos, configs, files = tables.repos(spark, d), tables.config_summaries(spark, d), tables.key_files(spark, d)
-    every = documents.union(documents.readme_summaries(repos), documents.repo_facts(repos), documents.config_documents(configs), documents.config_chunks(configs, files), documents.key_file_documents(files), documents.subproject_documents(profile.subprojects(configs)))
-    return every.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("chars"))
-
-
 def embedding_text(spark, d):
     docs = tables.documents(spark, d)
     return docs.select("doc_id", F.length(documents.embedding_text(docs)).cast("bigint").alias("chars"))
@@ -265,7 +242,8 @@ _KEYS = "list_distinct(list_filter(list_transform([s, string_split(s, '.')[-1],
 _TARGETS = f"""{_D},
 calls AS (SELECT DISTINCT repo_id, doc_id, unnest({_META.format('called_symbols')}) AS called FROM documents_once),
 ck AS (SELECT repo_id, doc_id, unnest({_KEYS}) AS key FROM (SELECT repo_id, doc_id, replace(called, '()', '') AS s FROM calls)),
-dk AS (SELECT repo_id, doc_id, unnest({_KEYS}) AS key FROM (SELECT repo_id, doc_id, trim(replace(lower(string_split(doc_id, '::')[-1]), '()', '')) AS s FROM documents_once WHERE len(string_split(doc_id, '::')) >= 4)),
+dn AS (SELECT repo_id, doc_id, string_split(doc_id, '::')[-1] AS s FROM documents_once WHERE len(string_split(doc_id, '::')) >= 4 UNION ALL SELECT repo_id, doc_id, unnest(regexp_split_to_array(trim(regexp_extract(content, '(?m)^[ \t]*symbols:([^\n]*)$', 1)), ',\\s*')) FROM documents_once),
+dk AS (SELECT DISTINCT repo_id, doc_id, unnest({_KEYS}) AS key FROM (SELECT repo_id, doc_id, trim(replace(lower(s), '()', '')) AS s FROM dn)),
 targets AS (SELECT DISTINCT ck.repo_id, ck.doc_id AS source_doc, dk.doc_id AS target_doc FROM ck JOIN dk ON ck.repo_id = dk.repo_id AND ck.key = dk.key WHERE ck.doc_id <> dk.doc_id)"""
 _ROLE = "CASE WHEN regexp_matches(called, 'repository|repo|dao') THEN 'delegate_repository' WHEN regexp_matches(called, 'service|svc') THEN 'delegate_service' ELSE 'call' END"
 _SIGNALS = f"""{with_('repos_once', 'files_once')},
@@ -310,13 +288,7 @@ QUERIES = {
     "rust_index": (_symbols("rs"), f"{_CODE} {_symbol_sql('rs')}"),
     "py_imports": (_relations("py"), f"{_CODE} {_relation_sql('py')}"),
     "js_imports": (_relations("js"), f"{_CODE} {_relation_sql('js')}"),
-    "js_routes_regex": (js_routes_regex, f"{_CODE} SELECT repo_id, path, upper(regexp_extract(line, $r${codeindex.ROUTE_RULE}$r$, 1)) AS method, regexp_extract(line, $r${codeindex.ROUTE_RULE}$r$, 2) AS route_path, line_number FROM lines WHERE regexp_matches(path, '\\.(?:js|jsx|ts|tsx|mjs)$') AND regexp_matches(line, $r${codeindex.ROUTE_RULE}$r$)"),
     "py_ast": (py_ast, None),
-    "build_entities": (build_entities, f"{_CODE}, s AS ({_ALL_SYMBOLS}) SELECT repo_id, symbol_type AS entity_kind, name, path, min(line_number) AS line_number FROM s GROUP BY 1, 2, 3, 4"),
-    "build_edges": (
-        build_edges,
-        f"{_CODE}, s AS ({_ALL_SYMBOLS}), r AS ({_ALL_RELATIONS}) SELECT DISTINCT repo_id, path AS source_ref, target AS target_ref, relation_type, path, line_number FROM r UNION SELECT DISTINCT repo_id, path, name, 'contain_symbol', path, line_number FROM s",
-    ),
     "relation_of_call": (relation_of_call, f"{_TARGETS} SELECT DISTINCT repo_id, doc_id, called, {_ROLE} AS relation_type FROM calls"),
     "join_call_target": (join_call_target, f"{_TARGETS} SELECT repo_id, source_doc, target_doc FROM targets"),
     "rezip_edges": (
@@ -359,8 +331,6 @@ QUERIES = {
         f"{_K}, b AS (SELECT *, coalesce(nullif(content, ''), '{documents.EMPTY}') AS body FROM key_files_once) SELECT repo_id || '::key_file::' || path AS doc_id, 'size: ' || coalesce(size_bytes::VARCHAR, '') || chr(10) || 'truncated: ' || CASE WHEN coalesce(truncated, false) OR length(body) > 2000 THEN 'true' ELSE 'false' END || chr(10) || body[1:2000] AS content FROM b",
     ),
     "doc_subproject_summary": (doc_subproject_summary, f"{_SUB} SELECT repo_id || '::subproject_summary::' || root_path AS doc_id, 'root: ' || root_path || chr(10) || 'language: ' || coalesce(language_scope, '') || chr(10) || 'configs: ' || config_count AS content FROM sub"),
-    "doc_function_summary": (doc_function_summary, None),
-    "union_docs": (union_docs, None),
     "embedding_text": (embedding_text, f"{_D} SELECT doc_id, length(concat_ws(chr(10), title, doc_type, repo_id, source_path, nullif({texts._FLAT}, ''), content)) AS chars FROM documents_once"),
     "cosine_knn": (cosine_knn, f"WITH {_KNN} SELECT query_id, vec_id, cosine, CAST(rank AS INT) AS rank FROM top"),
     "distance_to_score": (distance_to_score, f"WITH {_KNN} SELECT query_id, vec_id, round(1 / (1 + (1 - cosine)), 5) AS score FROM top"),

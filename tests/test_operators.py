@@ -97,7 +97,6 @@ def test_code_rows(spark):
     files = spark.createDataFrame([("r", "m.py", py), ("r", "m.js", js), ("r", "bad.py", "def ("), ("r", "n.py", None), ("r", "e.go", "")], "repo_id string, path string, content string")
     assert [(r.symbol_type, r.name, r.line_number) for r in codeindex.symbols(files, "py").where("path = 'm.py'").orderBy("line_number").collect()] == [("class", "Store", 4), ("method", "find", 5), ("function", "main", 8)]
     assert [r.target for r in codeindex.relations(files, "py").orderBy("line_number").collect()] == ["os", "app.db"]
-    assert [(r.method, r.route_path) for r in codeindex.routes(files).collect()] == [("POST", "/session")]
     trees = {r.qualified_name: r for r in codeindex.python_trees(files).collect()}
     assert trees["Store.find"].called_symbols == ["self.repo.get"] and trees["Store.find"].parameters == ["self", "key"]
     assert set(trees) == {"Store", "Store.find", "main"}
