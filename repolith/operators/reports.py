@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions import text as T
-from repolith.operators.profile import signal_rules
 
 CONTEXT_FILES = 8
 CONTEXT_CHARS = 3000
@@ -73,12 +72,6 @@ def toml_manifests(key_files: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "repo_id string, path string, name string, version string")
 
 
-def weak_signals(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, category): the technologies whose name occurs as a word in a text."""
-    hits = F.array(*(F.when(T.contains_word(F.col(text), word), F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"))) for word, name, category in signal_rules()))
-    return texts.select(key, F.explode(F.array_distinct(F.array_compact(hits))).alias("s")).select(key, "s.name", "s.category")
-
-
 def hashed_embeddings(texts: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
     """(key, slot, weight): the places that aren't 0 of a unit vector of hashed token counts; no rows for texts without tokens."""
     tokens = texts.select(key, F.explode(T.tokenize(F.col(text))).alias("token"))

@@ -218,11 +218,6 @@ def support_score(spark, d):
     return answers.verdict(verify(spark, d))
 
 
-def env_vars(spark, d):
-    entries = tables.config_summaries(spark, d).select("repo_id", "source_path", F.explode("env_vars").alias("entry"))
-    return entries.select("repo_id", "source_path", F.regexp_extract("entry", r"^\s*([A-Z][A-Z0-9_]*)", 1).alias("variable")).where("variable <> ''").distinct()
-
-
 def capped_collect(spark, d):
     """The first five distinct commands of each subproject, in order of path and place."""
     rows = tables.config_summaries(spark, d).select("repo_id", "subproject_root", "source_path", F.posexplode("scripts_or_commands").alias("k", "command"))
@@ -355,7 +350,6 @@ QUERIES = {
     ),
     "verify": (verify, f"{_SUPPORT} SELECT claim_id, best_shared, supported FROM v"),
     "support_score": (support_score, f"{_SUPPORT} SELECT count(*) AS checked, count(*) FILTER (supported) AS supported, round(count(*) FILTER (supported)::DOUBLE / count(*), 2) AS score, CASE WHEN count(*) FILTER (supported)::DOUBLE / count(*) >= 0.8 THEN 'passed' WHEN count(*) FILTER (supported)::DOUBLE / count(*) >= 0.45 THEN 'warning' ELSE 'failed' END AS verdict FROM v"),
-    "env_vars": (env_vars, f"{_C} SELECT DISTINCT repo_id, source_path, variable FROM (SELECT repo_id, source_path, regexp_extract(e, '^\\s*([A-Z][A-Z0-9_]*)', 1) AS variable FROM (SELECT repo_id, source_path, unnest(env_vars) AS e FROM configs_once)) WHERE variable <> ''"),
     "capped_collect": (
         capped_collect,
         f"{_C}, e AS (SELECT repo_id, subproject_root, source_path, unnest(range(0, len(scripts_or_commands))) AS k, trim(unnest(scripts_or_commands)) AS command FROM configs_once), f AS (SELECT repo_id, subproject_root, command, min((source_path, k)) AS place FROM e WHERE command IS NOT NULL GROUP BY 1, 2, 3), "

@@ -33,10 +33,6 @@ def pyproject(spark, d):
     return reports.toml_manifests(tables.key_files(spark, d))
 
 
-def weak_keywords(spark, d):
-    return reports.weak_signals(tables.table(spark, d, "documents"), "doc_id", "text")
-
-
 def embed_service(spark, d):
     return reports.hashed_embeddings(tables.documents(spark, d), "doc_id", "content")
 
@@ -110,7 +106,6 @@ def join_dependent_configs(spark, d):
     return ordered.select("repo_id", "root", F.posexplode(F.slice("p", 1, 8)).alias("k", "path"))
 
 
-_KEYWORD = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, '{c}' AS category FROM t WHERE regexp_matches(x, '(^|[^a-z0-9_]){w}($|[^a-z0-9_])')" for w, n, c in profile.signal_rules())
 _PACKAGES = " UNION ALL ".join(f"SELECT repo_id, path, '{s}' AS section, e.key AS name, e.value AS value FROM (SELECT repo_id, path, unnest(map_entries(json_transform(content->'{s}', '\"MAP(VARCHAR, VARCHAR)\"'))) AS e FROM v)" for s in ("scripts", "dependencies", "devDependencies"))
 
 QUERIES = {
@@ -127,7 +122,6 @@ QUERIES = {
     ),
     "package_json": (package_json, f"{with_('key_files_once')}, v AS MATERIALIZED (SELECT repo_id, path, content FROM key_files_once WHERE regexp_matches(path, '(^|/)package\\.json$') AND json_valid(content)) {_PACKAGES}"),
     "pyproject": (pyproject, None),
-    "weak_keywords": (weak_keywords, f"WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents) SELECT DISTINCT doc_id, name, category FROM ({_KEYWORD})"),
     "embed_service": (embed_service, None),
     "relation_chains": (
         relation_chains,
