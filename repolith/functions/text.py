@@ -133,6 +133,28 @@ def fenced_block(content: Column) -> Column:
     return F.regexp_extract(text(content), r"(?sd)(?:^|\n)```[^\n]*\n(.*?)\n?```", 1)
 
 
+def split_arguments(arguments: Column) -> Column:
+    """The parts between the commas that no bracket or quote encloses, stripped, without empty ones. A fold over the characters keeps the open brackets, the open quote
+    and the part so far; a backslash protects the next character of a literal."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("part"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, c: Column) -> Column:
+        quote, depth = state["quote"], state["depth"]
+        inside = quote != ""
+        protected = inside & (F.length(F.regexp_extract(state["part"], r"(\\\\*)$", 1)) % 2 == 1)
+        closes = inside & (c == quote) & ~protected
+        opens = ~inside & c.isin("'", '"', "`")
+        now = F.when(closes, "").when(opens, c).otherwise(quote)
+        level = F.when(inside, depth).when(c.isin("(", "[", "{"), depth + 1).when(c.isin(")", "]", "}"), F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        cuts = ~inside & (c == ",") & (depth == 0)
+        part = F.when(cuts, "").otherwise(F.concat(state["part"], c))
+        done = F.when(cuts, F.array_append(state["done"], state["part"])).otherwise(state["done"])
+        return F.struct(level.alias("depth"), now.alias("quote"), part.alias("part"), done.alias("done"))
+
+    parts = F.aggregate(F.split(text(arguments), ""), start, step, lambda s: F.array_append(s["done"], s["part"]))
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
+
+
 def contains_word(column: Column, word: str) -> Column:
     """Whether a word occurs that isn't part of a longer one (letters, digits, underscore)."""
     import re

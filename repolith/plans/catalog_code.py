@@ -200,7 +200,7 @@ def prioritize_hits(spark, d):
 
 def select_lines(spark, d):
     ranked = answers.prioritized(_hits(spark, d), PRIORITIES)
-    own = ranked.join(tables.documents(spark, d).select("doc_id", "content"), "doc_id").join(texts._asked(spark, d).select("query_id", "query"), "query_id")
+    own = ranked.where("position <= 4").join(tables.documents(spark, d).select("doc_id", "content"), "doc_id").join(texts._asked(spark, d).select("query_id", "query"), "query_id")
     return answers.selected_lines(own)
 
 
@@ -338,9 +338,10 @@ QUERIES = {
     "prioritize_hits": (prioritize_hits, _POSITION + " SELECT query_id, doc_id, CAST(position AS INT) AS position FROM pos"),
     "select_lines": (
         select_lines,
-        _POSITION + f", l AS (SELECT p.query_id, p.position, {texts.tok('c.query')} AS toks, {_SPLIT.replace('content', 'd.content')} AS parts FROM pos p JOIN documents_once d USING (doc_id) JOIN eval_cases c ON c.case_id = p.query_id WHERE position <= 4), "
-        "e AS (SELECT query_id, position, toks, unnest(range(0, len(parts))) AS k, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') AS line FROM l), "
-        "sl AS (SELECT *, len(list_filter(toks, lambda t: contains(lower(line), t))) AS score FROM e WHERE line <> ''), fl AS (SELECT * FROM sl WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, line ORDER BY score DESC, position, k) = 1) "
+        _POSITION + f", l AS (SELECT p.query_id, p.position, {texts.tok('c.query')} AS toks, d.doc_type, {_SPLIT.replace('content', 'd.content')} AS parts FROM pos p JOIN documents_once d USING (doc_id) JOIN eval_cases c ON c.case_id = p.query_id WHERE position <= 4), "
+        "e AS (SELECT query_id, position, doc_type, toks, unnest(range(0, len(parts))) AS k, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') AS line FROM l), "
+        "sl AS (SELECT *, CASE WHEN doc_type IN ('function_body_chunk', 'route_handler_chunk') THEN 4 WHEN doc_type IN ('class_body_chunk', 'config_chunk', 'function_summary', 'api_route_summary') THEN 3 WHEN doc_type IN ('class_summary', 'entrypoint_summary', 'config_summary') THEN 2 WHEN doc_type IN ('readme_summary', 'repo_summary', 'subproject_summary') THEN 1 ELSE 0 END "
+        "+ len(list_filter(toks, lambda t: contains(lower(line), t))) + 2 * len(list_filter(toks, lambda t: length(t) >= 3 AND regexp_matches(t, '[/._]') AND contains(lower(line), t))) - CASE WHEN length(line) > 180 THEN 1 ELSE 0 END AS score FROM e WHERE line <> ''), fl AS (SELECT * FROM sl WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, line ORDER BY score DESC, position, k) = 1) "
         "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position, k) AS INT) AS rank, line, CAST(score AS INT) AS score FROM fl QUALIFY rank <= 4",
     ),
     "collect_prefixed": (

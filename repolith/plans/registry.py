@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CATALOGS = ["catalog_scan", "catalog_text", "catalog_code", "catalog_graph", "catalog_docs", "catalog_signals", "catalog_reports"]
+CATALOGS = ["catalog_scan", "catalog_text", "catalog_code", "catalog_graph", "catalog_docs", "catalog_signals", "catalog_trace", "catalog_reports"]
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
