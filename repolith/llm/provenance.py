@@ -3,8 +3,9 @@
 A random forest is trained on measures of a file: compression ratio, token entropy, identifier lengths and comment density of its
 content where that is stored, the same measures of its path, and its size. Its labels are notices: a header such as "do not edit",
 or the marks that generators, bundlers and package managers leave in file and directory names. Notices are hidden from the measures:
-header lines are cut off the content, and marked names enter only by their form. A file with a notice is found by it; the forest
-decides on the files that carry none. The forest is fitted on a bounded sample of rows; every row is scored.
+header lines are cut off the content, and marked names enter only by their form. A file above the size that the data state for written
+files is labelled, too, and its excess is a measure. A file with a notice is found by it; the forest decides on all that carry none.
+The forest is fitted on a bounded sample of rows; every row is scored.
 
 Results: paths that are null or of another extension are no cases; repeated and re-scanned rows of a path count once, with their largest
 size; null sizes and contents are missing measures; extra columns are ignored.
@@ -28,11 +29,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.session import spread
+from repolith.session import cut
 
-#: Labelled rows on which the forest is fitted, chosen by the hash of their key.
+#: Labelled rows on which the forest is fitted, about so many, chosen by the hash of their key.
 SAMPLE_ROWS = 40_000
-#: No hand-written file is larger (stated with the data); larger ones are found without the forest and not used to fit it.
+#: No hand-written file is larger (stated with the data): larger ones are labelled as not written.
 LARGEST_WRITTEN = 200_000
 
 #: Share of right verdicts, on held-out labelled rows, that the forest must reach to decide on a file without a notice.
@@ -59,7 +60,7 @@ BUNDLED_NAMES = r"[.-]min\.(?:js|mjs|css)$|\.(?:bundle|pack|chunk)\.(?:js|mjs|cs
 HEADER = re.compile(r"do not edit|don't edit this file|auto-?generated|automatically generated|code generated|generated (?:by|from|with)|@generated|@license|@preserve|minified by", re.I)
 HEADER_LINES = 5
 
-MEASURES = [f"{of}_{m}" for of in ("content", "path") for m in ("ratio", "entropy", "names", "comments")] + ["log_size", "depth", "digits", "parts"]
+MEASURES = [f"{of}_{m}" for of in ("content", "path") for m in ("ratio", "entropy", "names", "comments")] + ["log_size", "excess", "depth", "digits", "parts", "above_entropy", "above_names", "above_digits"]
 
 _vendor = frozenset(VENDOR_DIRS)
 _generated = frozenset(GENERATED_DIRS)
@@ -71,8 +72,12 @@ _comment = re.compile(r"(?m)^\s*(?:#|//|/\*|\*|<!--).*$")
 
 
 class Forest(NamedTuple):
+    """The model, the probability from which on it decides, and its precision and recall alone, on held-out labelled rows."""
+
     model: PipelineModel
     threshold: float
+    precision: float
+    recall: float
 
 
 def has_notice(path: str) -> bool:
@@ -129,14 +134,19 @@ def _path_measures(df: DataFrame) -> DataFrame:
                 stem = name.rsplit(".", 1)[0]
                 ratio, entropy, names, _ = _measures(stem, 0.0) if stem else (1.0, 0.0, 0.0, 0.0)
                 digits = sum(c.isdigit() for c in stem)
-                rows.append((ratio, entropy, names, 0.0, float(len(dirs)), digits / (len(stem) or 1), float(len(re.split(r"[._-]", stem)))))
+                above = "/".join(dirs)
+                _, above_entropy, above_names, _ = _measures(above, 0.0) if above else (1.0, 0.0, 0.0, 0.0)
+                above_digits = sum(c.isdigit() for c in above) / (len(above) or 1)
+                rows.append((ratio, entropy, names, 0.0, float(len(dirs)), digits / (len(stem) or 1), float(len(re.split(r"[._-]", stem))), above_entropy, above_names, above_digits))
             sizes = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            log_size = np.log2(np.where(np.isnan(sizes), 0.0, sizes) + 1.0)
+            sizes = np.where(np.isnan(sizes), 0.0, sizes)
+            log_size = np.log2(sizes + 1.0)
+            excess = np.log2(np.maximum(sizes / LARGEST_WRITTEN, 1.0))
             column = lambda k: pa.array([r[k] for r in rows], type=pa.float64())
             content = [pa.array(np.nan_to_num(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1.0)) for k in range(4, 8)]
             told = [n or bool(h) for n, h in zip(notice, batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(told), *content, column(0), column(1), column(2), column(3), pa.array(log_size), column(4), column(5), column(6)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(told), *content, column(0), column(1), column(2), column(3), pa.array(log_size), pa.array(excess), *(column(k) for k in range(4, 10))],
                 names=["repo_id", "path", "size", "notice", *MEASURES],
             )
 
@@ -145,19 +155,21 @@ def _path_measures(df: DataFrame) -> DataFrame:
 
 
 def source_files(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """(repo_id, path, size, header, content measures), a row for each source file."""
+    """(repo_id, path, size, header, content measures), a row for each source file, written out: it is counted, sampled and scored."""
     wanted = r"\.(?:" + "|".join(EXTENSIONS) + ")$"
     own = files.where(F.lower("path").rlike(wanted)).groupBy("repo_id", "path").agg(F.max("size_bytes").cast("bigint").alias("size"))
     held = content_measures(contents.where(F.lower("path").rlike(wanted))).dropDuplicates(["repo_id", "path"])
     joined = own.join(held, ["repo_id", "path"], "left")
-    return joined.select("repo_id", "path", "size", "header", *MEASURES[:4])
+    return cut(joined.select("repo_id", "path", "size", "header", *MEASURES[:4]))
 
 
-def fit(sources: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 20, depth: int = 8, seed: int = 7) -> Forest | None:
-    """The forest, fitted on three quarters of at most `rows` rows, and the probability from which on it is PRECISION sure on the
-    last quarter; None if the sample has no two classes."""
-    sample = sources.orderBy(F.xxhash64("repo_id", "path"), "repo_id", "path").limit(rows)
-    labelled = _path_measures(spread(sample)).where((F.col("notice")) | (F.coalesce("size", F.lit(0)) <= LARGEST_WRITTEN)).withColumn("label", F.col("notice").cast("double"))
+def fit(sources: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 30, depth: int = 14, seed: int = 7) -> Forest | None:
+    """The forest, fitted on three quarters of about `rows` rows, and the probability from which on it is PRECISION sure on the
+    last quarter; None if the sample has no two classes. sources is read twice and should be written."""
+    share = min(1.0, rows / max(sources.count(), 1))
+    sample = sources.where(F.pmod(F.xxhash64("repo_id", "path", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    large = F.coalesce("size", F.lit(0)) > LARGEST_WRITTEN
+    labelled = _path_measures(sample).withColumn("label", (F.col("notice") | large).cast("double"))
     held = F.pmod(F.xxhash64("path", "repo_id"), F.lit(4)) == 0
     labelled = labelled.select("label", held.alias("held"), *MEASURES).cache()
     try:
@@ -173,11 +185,14 @@ def fit(sources: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 20, depth: int
         labelled.unpersist()
     ranked = sorted(((r.p, r.label) for r in judged), reverse=True)
     threshold, right = 1.0, 0.0
+    # of the forest alone, where it says yes
+    said = [label for p, label in ranked if p > 0.5]
+    precision, recall = sum(said) / (len(said) or 1), sum(said) / (sum(label for _, label in ranked) or 1)
     for k, (p, label) in enumerate(ranked, 1):
         right += label
         if right / k >= PRECISION and (k == len(ranked) or ranked[k][0] < p):
             threshold = p
-    return Forest(model, max(threshold, 0.5))
+    return Forest(model, max(threshold, 0.5), precision, recall)
 
 
 def scored(sources: DataFrame, forest: Forest | None) -> DataFrame:
@@ -187,5 +202,5 @@ def scored(sources: DataFrame, forest: Forest | None) -> DataFrame:
         told, threshold = measured.withColumn("probability", F.lit(0.0)), 1.0
     else:
         told, threshold = forest.model.transform(measured).withColumn("probability", vector_to_array("probability")[1]), forest.threshold
-    found = F.col("notice") | (F.coalesce("size", F.lit(0)) > LARGEST_WRITTEN) | (F.col("probability") > threshold)
+    found = F.col("notice") | (F.col("probability") > threshold)
     return told.select("repo_id", "path", "size", "notice", "probability", found.alias("found"))

@@ -26,15 +26,19 @@ def test_no_notices(path):
 def test_forest_finds_what_looks_alike(spark):
     random.seed(5)
     files = [("r", f"src/mod{k}/reader_{k}.js", random.randrange(500, 5000)) for k in range(200)] + [("r", f"web/lib{k}.min.js", random.randrange(90_000, 190_000)) for k in range(200)]
+    files += [("r", f"data/table_{k}.py", random.randrange(200_001, 900_000)) for k in range(60)]
     files += [("r", "data/table.py", 300_000), ("r", "null.py", None), (None, "x.min.js", 3), ("r", None, 3), ("r", "doc.md", 999_999)]
     df = spark.createDataFrame(files + files[:50], "repo_id string, path string, size_bytes bigint").withColumn("size", F.lit("clash"))
     texts = spark.createDataFrame([("r", "src/mod0/reader_0.js", "// Code generated by tool. DO NOT EDIT.\n" + "x=1;\n" * 50), ("r", "src/mod1/reader_1.js", ""), ("r", "src/mod2/reader_2.js", None)], "repo_id string, path string, content string")
     sources = provenance.source_files(df, texts)
     forest = provenance.fit(sources)
     found = {r.path: r for r in provenance.scored(sources, forest).collect()}
-    assert len(found) == 403
+    assert len(found) == 463
     assert found["web/lib7.min.js"].found and found["data/table.py"].found and found["src/mod0/reader_0.js"].notice
     assert sum(r.found for p, r in found.items() if p.startswith("src/")) <= 5
+    # the files above the stated size carry no notice: the forest finds them, alone
+    assert all(found[f"data/table_{k}.py"].found and not found[f"data/table_{k}.py"].notice for k in range(60))
+    assert forest.precision >= 0.9 and forest.recall >= 0.9
     assert not found["null.py"].found
     empty = provenance.source_files(df.limit(0), texts.limit(0))
     assert provenance.fit(empty) is None and provenance.scored(empty, None).count() == 0
