@@ -191,7 +191,7 @@ def fit(sources: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 30, depth: int
     for k, (p, label) in enumerate(ranked, 1):
         right += label
         if right / k >= PRECISION and (k == len(ranked) or ranked[k][0] < p):
-            threshold = p
+            threshold = (p + (ranked[k][0] if k < len(ranked) else 0.0)) / 2
     return Forest(model, max(threshold, 0.5), precision, recall)
 
 
