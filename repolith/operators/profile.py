@@ -10,26 +10,49 @@ from repolith.functions import text as T
 # Strength of evidence.
 LEVELS = {"strong": 3, "medium": 2, "weak": 1}
 # Dependency or import name, shown name, category; the first rule that fits counts.
-SIGNAL_RULES = (
-    "fastapi FastAPI framework, flask Flask framework, django Django framework, langchain LangChain framework, langgraph LangGraph framework, llama_index LlamaIndex framework, "
-    "llamaindex LlamaIndex framework, chromadb Chroma database, qdrant Qdrant database, faiss FAISS database, streamlit Streamlit framework, gradio Gradio framework, "
-    "typer Typer framework, click Click framework, pydantic Pydantic tool, uvicorn Uvicorn runtime, sqlalchemy SQLAlchemy database, redis Redis database, celery Celery tool, "
-    "openai OpenAI tool, react React framework, react-dom React framework, next Next.js framework, vue Vue framework, vite Vite build_tool, express Express framework, "
-    "nestjs NestJS framework, typescript TypeScript language, jest Jest test_tool, vitest Vitest test_tool, pytest Pytest test_tool, docker Docker deploy_tool"
-)
-
-
-def signal_rules() -> list[tuple[str, str, str]]:
-    return [tuple(rule.split(" ")) for rule in SIGNAL_RULES.split(", ")]
+SIGNAL_RULES = [
+    ("fastapi", "FastAPI", "framework"),
+    ("flask", "Flask", "framework"),
+    ("django", "Django", "framework"),
+    ("langchain", "LangChain", "framework"),
+    ("langgraph", "LangGraph", "framework"),
+    ("llama_index", "LlamaIndex", "framework"),
+    ("llamaindex", "LlamaIndex", "framework"),
+    ("chromadb", "Chroma", "database"),
+    ("qdrant", "Qdrant", "database"),
+    ("faiss", "FAISS", "database"),
+    ("streamlit", "Streamlit", "framework"),
+    ("gradio", "Gradio", "framework"),
+    ("typer", "Typer", "framework"),
+    ("click", "Click", "framework"),
+    ("pydantic", "Pydantic", "tool"),
+    ("uvicorn", "Uvicorn", "runtime"),
+    ("sqlalchemy", "SQLAlchemy", "database"),
+    ("redis", "Redis", "database"),
+    ("celery", "Celery", "tool"),
+    ("openai", "OpenAI", "tool"),
+    ("react", "React", "framework"),
+    ("react-dom", "React", "framework"),
+    ("next", "Next.js", "framework"),
+    ("vue", "Vue", "framework"),
+    ("vite", "Vite", "build_tool"),
+    ("express", "Express", "framework"),
+    ("nestjs", "NestJS", "framework"),
+    ("typescript", "TypeScript", "language"),
+    ("jest", "Jest", "test_tool"),
+    ("vitest", "Vitest", "test_tool"),
+    ("pytest", "Pytest", "test_tool"),
+    ("docker", "Docker", "deploy_tool"),
+]
 
 
 def rule_of(reference: Column) -> Column:
     """struct(name, category) of the first rule whose key is the reference or starts it before . / - _; null where none does."""
     bare = T.normalize_ref(reference)
     chain = F
-    for key, name, category in signal_rules():
+    for key, name, category in SIGNAL_RULES:
         chain = chain.when(bare == key, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category")))
-    for key, name, category in signal_rules():
+    for key, name, category in SIGNAL_RULES:
         begins = bare.startswith(f"{key}.") | bare.startswith(f"{key}/") | bare.startswith(f"{key}-") | bare.startswith(f"{key}_")
         chain = chain.when(begins, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category")))
     special = [("@nestjs/", "NestJS"), ("react-dom", "React"), ("next/", "Next.js"), ("@vue/", "Vue")]

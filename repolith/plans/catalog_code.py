@@ -247,8 +247,8 @@ signals AS (SELECT full_name AS repo_id, primary_language AS name, 'strong' AS e
  UNION ALL SELECT DISTINCT repo_id, CASE WHEN e = 'py' THEN 'Python' WHEN e IN ('ts', 'tsx') THEN 'TypeScript' WHEN e IN ('js', 'jsx', 'mjs') THEN 'JavaScript' WHEN e = 'go' THEN 'Go' WHEN e = 'rs' THEN 'Rust' WHEN e = 'java' THEN 'Java' END AS name, 'weak', 'extension', 2, 1
  FROM (SELECT repo_id, lower(regexp_extract(path, '\\.(\\w+)$', 1)) AS e FROM files_once)),
 best AS (SELECT repo_id, 'language' AS category, name, evidence_level, evidence_source, lv FROM signals WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_id, lower(name) ORDER BY lv DESC, seq) = 1)"""
-_RULES = " ".join(f"WHEN t = '{k}' THEN '{n}'" for k, n, _ in profile.signal_rules()) + " " + " ".join(
-    f"WHEN starts_with(t, '{k}.') OR starts_with(t, '{k}/') OR starts_with(t, '{k}-') OR starts_with(t, '{k}_') THEN '{n}'" for k, n, _ in profile.signal_rules()
+_RULES = " ".join(f"WHEN t = '{k}' THEN '{n}'" for k, n, _ in profile.SIGNAL_RULES) + " " + " ".join(
+    f"WHEN starts_with(t, '{k}.') OR starts_with(t, '{k}/') OR starts_with(t, '{k}-') OR starts_with(t, '{k}_') THEN '{n}'" for k, n, _ in profile.SIGNAL_RULES
 ) + " WHEN starts_with(t, '@nestjs/') THEN 'NestJS' WHEN starts_with(t, 'react-dom') THEN 'React' WHEN starts_with(t, 'next/') THEN 'Next.js' WHEN starts_with(t, '@vue/') THEN 'Vue' ELSE 'none' END"
 _JOIN = "coalesce(nullif(array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), ', '), ''), '无')"
 _JOINED = lambda c: f"(SELECT {_JOIN} FROM (SELECT list_transform(list_filter(coalesce({c}, []), lambda x: x IS NOT NULL), lambda x: trim(x)) AS l))"

@@ -69,7 +69,8 @@ def score_lexical(spark, d):
 
 def first_match(spark, d):
     docs = tables.documents(spark, d)
-    hits = S.best_per_query(S.batch_scores(docs, _asked(spark, d)), 10).join(docs.select("doc_id", "title", "content", "source_path"), "doc_id")
+    most = _cases(spark, d).agg(F.max("top_k")).first()[0] or 0  # the deepest list that a case asks for
+    hits = S.best_per_query(S.batch_scores(docs, _asked(spark, d)), most).join(docs.select("doc_id", "title", "content", "source_path"), "doc_id")
     cases = _cases(spark, d).select(F.col("case_id").alias("query_id"), "expected_repo_id", "expected_doc_types", "expected_source_paths", "expected_terms_any", "top_k")
     met = S.matches(hits, cases).where("met and rank <= top_k")
     return met.groupBy("query_id").agg(F.min("rank").alias("rank"), F.min_by("doc_id", "rank").alias("doc_id"))
@@ -194,7 +195,7 @@ INTENT_SQL = (
 
 
 def _factor_sql(table: str, column: str = "doc_type") -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in S.weights(table).items()) + " ELSE 1.0::DOUBLE END"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table.items()) + " ELSE 1.0::DOUBLE END"
 
 
 FACTOR_SQL = "(CASE intent " + " ".join(f"WHEN '{i}' THEN {_factor_sql(t)}" for i, t in S.INTENT_FACTORS.items()) + f" ELSE 1.0::DOUBLE END) * ({_factor_sql(S.TYPE_FACTORS)})"
@@ -211,7 +212,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 _MATCH = _BATCH + """,
 met AS (SELECT r.query_id, r.rank, r.doc_id FROM ranked r JOIN documents_once d ON d.doc_id = r.doc_id JOIN eval_cases c ON c.case_id = r.query_id
- WHERE r.rank <= least(c.top_k, 10) AND (expected_repo_id IS NULL OR expected_repo_id = r.repo_id)
+ WHERE r.rank <= c.top_k AND (expected_repo_id IS NULL OR expected_repo_id = r.repo_id)
  AND (coalesce(len(expected_doc_types), 0) = 0 OR list_contains(expected_doc_types, r.doc_type))
  AND (coalesce(len(expected_source_paths), 0) = 0 OR len(list_filter(expected_source_paths, lambda p: contains(coalesce(d.source_path, ''), p))) > 0)
  AND (coalesce(len(expected_terms_any), 0) = 0 OR len(list_filter(expected_terms_any, lambda t: contains(lower(concat_ws(' ', title, content)), lower(t)))) > 0))"""
@@ -230,7 +231,7 @@ _META_VALUES = "coalesce(list_filter(list_transform(metadata['{0}'], lambda v: l
 
 
 def _metadata_sql(tokens, intent) -> str:
-    table = S.weights(S.FIELD_WEIGHTS) | S.weights(S.INTENT_FIELD_WEIGHTS[intent])
+    table = S.FIELD_WEIGHTS | S.INTENT_FIELD_WEIGHTS[intent]
     listed = "[" + ", ".join(f"'{t}'" for t in tokens) + "]"
     return " + ".join(f"least(len(list_filter({listed}, lambda t: len(list_filter({_META_VALUES.format(f)}, lambda v: contains(v, t))) > 0)), 3) * {w}::DOUBLE" for f, w in table.items())
 
@@ -253,7 +254,7 @@ def _topk_sql() -> str:
     """The whole score of ASKED, which is a startup question that names main.py."""
     asked = f"'{ASKED}'"
     listed = f"(SELECT list_filter(l, lambda x, i: length(x) >= 2 AND list_position(l, x) = i) FROM (SELECT list_concat({_LATIN.format(asked)}, {_HAN.format(asked)}) AS l))"
-    table = S.weights(S.FIELD_WEIGHTS) | S.weights(S.INTENT_FIELD_WEIGHTS["startup"])
+    table = S.FIELD_WEIGHTS | S.INTENT_FIELD_WEIGHTS["startup"]
     meta = " + ".join(f"least(len(list_filter(toks, lambda t: len(list_filter({_META_VALUES.format(f)}, lambda v: contains(v, t))) > 0)), 3) * {w}::DOUBLE" for f, w in table.items())
     values = "list_concat(CASE WHEN coalesce(source_path, '') <> '' THEN [lower(source_path)] ELSE [] END, " + "flatten([" + ", ".join(_META_VALUES.format(f) for f in S.PRECISE_FIELDS) + "]))"
     rarity = "coalesce((SELECT map_from_entries(list((token, ln((1 + (SELECT greatest(count(*), 1) FROM documents_once))::DOUBLE / (1 + df)) + 1))) FROM freq WHERE list_contains((SELECT toks FROM asked), token)), MAP {})"

@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "repoli
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,12 +30,14 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "repoli
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir. A session that names none must have set its checkpoint folder itself; only a local session takes a temporary one."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not shared:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 
@@ -45,17 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def env_cpus() -> str:
-    return os.environ.get("BENCH_CPUS", "8")
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly where the scan has fewer partitions than the cluster has cores (a single small file);
-    a scan with enough splits, as over large tables, stays as it is and isn't shuffled."""
+    """A scan's rows dealt out evenly where it has fewer partitions than the cluster has cores (a single small file); a scan with
+    enough splits, as over large tables, stays as it is and isn't shuffled. For plans without a shuffle only: counting the partitions of others runs them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
