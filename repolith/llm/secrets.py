@@ -1,8 +1,9 @@
 """Usable credentials in code, configuration and prose: found by place, and redacted without touching what surrounds them.
 
-Texts are read lexically. An identifier whose words name a credential (in snake, kebab or camel case) is followed over its
-delimiters, type annotations, environment fallbacks and line breaks to the literal that is assigned to it or passed under it; literals
-in parts ("a" + "b") are read as one. Values with a telling form (signed tokens, keys with a provider's prefix, addresses with
+Code is read as lexical tokens: a literal is looked at if it is assigned to an identifier whose words name a credential (in snake, kebab
+or camel case), stands under it as a key, or is passed to a call that sets one; annotations, fallbacks of the environment, constructors and
+line breaks in between are crossed, and literals in parts ("a" + "b") are read as one. Comments, prose and configuration have no tokens of a
+language: there, a name is followed over its delimiters on its line. Values with a telling form (signed tokens, keys with a provider's prefix, addresses with
 user and password, authorisation headers, private-key blocks) need no name. Placeholders, masks, references, identifiers, hashes and
 public keys are let through. Redaction overwrites the literal's characters only: delimiters, escapes and line ends stay.
 
@@ -21,16 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolith.llm import codetokens
+from repolith.llm.codetokens import Token
 from repolith.session import spread
 
 # Words that name a credential, alone or as a pair of neighbours.
 CREDENTIAL_WORDS = frozenset("password passwd pwd passphrase secret secrets apikey credential credentials passcode".split())
 CREDENTIAL_PAIRS = frozenset(
-    "api key, auth token, access token, refresh token, private token, session token, bearer token, bot token, secret key, signing key, encryption key, "
+    "api key, api token, auth token, access token, refresh token, private token, session token, bearer token, bot token, secret key, signing key, encryption key, "
     "private key, access key, tls key, master key, license key, account key, db pass, smtp pass, user pass, root pass, admin pass, admin pw, db pw, root pw, user pw".split(", ")
 )
 # Words of a name whose value a person chose.
 PASSWORD_WORDS = frozenset("password passwd pwd passphrase passcode pass pw".split())
+# Names that hold other things as often as a credential; only a value that can't be one of these counts.
+WEAK_NAMES = frozenset(["token"])
+# First words of calls that take a credential to keep it, and constructors that only wrap a literal.
+SETTERS = frozenset("set with use update change put store add assign configure".split())
+WRAPPERS = frozenset("String string str bytes bytearray Buffer from SecretStr SecretString Secret Some Ok to_string byte".split())
 # Words that make a name speak about a credential instead of holding one.
 ABOUT_WORDS = frozenset(
     "hint name names length len min max budget prefix suffix env id ids url uri path file dir policy pool count ttl expiry expires age rotation label field title "
@@ -46,6 +54,7 @@ _stems = "|".join(sorted(w for w in _last_words if not any(o != w and o in w for
 _hint = re.compile(rf"{_stems}|://|akia|gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|eyj|basic\s|bearer\s|aiza|glpat-|\?sig|&sig")
 #: The same for names only: their words with any separator or none.
 _cred_hint = re.compile("|".join(sorted(n.replace(" ", "[_-]*") for n in CREDENTIAL_WORDS | CREDENTIAL_PAIRS)))
+_code_hint = re.compile(_cred_hint.pattern + "|token")
 _name = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_-]+[A-Za-z0-9]+)*")
 _annotation = r"""(?:\s*:\s*(?:&\s*)?(?:'\w+\s+)?(?:static\s+)?[A-Za-z_][\w.<>\[\]]*(?=[ \t]+=\s)|\s*:\s*\([^()]*\)(?=\s*=)|\s+(?:string|str|String)(?=\s*=))?"""
 _assign = re.compile(
@@ -96,6 +105,16 @@ def names_credential(name: str) -> bool:
     return bool(CREDENTIAL_WORDS.intersection(words)) or any(f"{a} {b}" in CREDENTIAL_PAIRS for a, b in zip(words, words[1:], strict=False))
 
 
+def names_weakly(name: str) -> bool:
+    return name.lower() in WEAK_NAMES
+
+
+def sets_credential(callee: str) -> bool:
+    """Whether a call by that name takes a credential."""
+    words = [w.lower() for w in _split_words.findall(callee)]
+    return len(words) > 1 and words[0] in SETTERS and (names_credential(callee) or words[1:] == ["token"])
+
+
 def names_password(name: str) -> bool:
     """Whether a credential's name speaks of a word that a person chose, which can have any form."""
     return bool(PASSWORD_WORDS.intersection(w.lower() for w in _split_words.findall(name)))
@@ -125,6 +144,106 @@ def is_usable(value: str, quoted: bool, chosen: bool = False) -> bool:
     return True
 
 
+def _is_strong(value: str) -> bool:
+    """Whether a value looks made by a machine: letters in both cases and digits, long, in one piece."""
+    return len(value) >= 16 and _mixed(value) and re.fullmatch(r"[A-Za-z0-9_+/=.~-]+", value) is not None
+
+
+def _follow(text: str, found: list[Token], at: int, key: bool) -> int | None:
+    """Index of the string token that is assigned to, or stands under, the name in front of index `at`; key: the name is a string itself."""
+    n = len(found)
+    mark = lambda k: text[found[k].start : found[k].end] if k < n and found[k].kind in "on" else ""
+    if key and mark(at) == "]":
+        at += 1
+    sep = mark(at)
+    if sep == ":" and not key:
+        # a type between the colon and the assignment, on the same line
+        k, deep = at + 1, 0
+        while k < n and k - at < 24 and found[k].kind in "on" and (deep or mark(k) not in ("=", ",", ";", ")", "{", "}")):
+            deep += (mark(k) in "<[(") - (mark(k) in ">])")
+            k += 1
+        if mark(k) == "=" and k > at + 1 and "\n" not in text[found[at].start : found[k].start]:
+            at = k
+    elif sep in ("string", "str", "String") and mark(at + 1) == "=":
+        at += 1
+    if at >= n or mark(at) not in ("=", ":=", ":", "=>", "||", "??") and not (key and mark(at) == ","):
+        return None
+    at += 1
+    grouped = False
+    for _ in range(4):  # wrappers inside each other, and a fallback of the environment
+        while mark(at) in ("(", "new", "await", "&"):
+            grouped = grouped or mark(at) == "("
+            at += 1
+        word = mark(at)
+        if word in ("process", "os") or word == "getenv":
+            k = at
+            while k < n and k - at < 14 and mark(k) not in ("||", "??", "or", ";"):
+                k += 1
+            if k >= n or mark(k) not in ("||", "??", "or"):
+                return None
+            at = k + 1
+        elif word in WRAPPERS or word == "[" and mark(at + 2) == "byte":
+            k = at
+            while k < n and k - at < 8 and mark(k) != "(":
+                k += 1
+            if mark(k) != "(" or not all(mark(x) in WRAPPERS or mark(x) in (".", "::", ":", "[", "]", "byte") for x in range(at, k)):
+                return None
+            at = k + 1
+        else:
+            break
+    # the first of several values in brackets is none that is assigned
+    return at if at < n and found[at].kind == "s" and not (grouped and mark(at + 1) == ",") else None
+
+
+def _with_parts(text: str, found: list[Token], at: int) -> tuple[str, list[tuple[int, int]]]:
+    """The value of a string token and of those that are joined to it, and the places of their characters."""
+    spans = codetokens.contents(text, found[at])
+    while at + 1 < len(found):
+        step = 2 if text[found[at + 1].start : found[at + 1].end] == "+" and found[at + 1].kind == "o" else 1
+        if at + step >= len(found) or found[at + step].kind != "s" or step == 1 and "\n" in text[found[at].end : found[at + 1].start]:
+            break
+        at += step
+        spans += codetokens.contents(text, found[at])
+    return "".join(text[a:b] for a, b in spans), spans
+
+
+def _code_secrets(text: str, extension: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """(value, places) of the literals in code that are assigned or passed to credentials."""
+    found = [t for t in codetokens.tokens(text, extension) if t.kind != "c"]
+    taken: list[tuple[str, list[tuple[int, int]]]] = []
+    for k, token in enumerate(found):
+        if token.kind == "n":
+            name, key = text[token.start : token.end], False
+        elif token.kind == "s" and token.end - token.start < 60:
+            name, key = text[token.start : token.end].strip("\"'`"), True
+            if not _name.fullmatch(name):
+                continue
+        else:
+            continue
+        low = name.lower()
+        if not (_cred_hint.search(low) or low in WEAK_NAMES or "token" in low):
+            continue
+        weak = names_weakly(name)
+        at: int | None = None
+        if not key and sets_credential(name) and k + 2 < len(found) and text[found[k + 1].start : found[k + 1].end] == "(":
+            # the last literal among the direct arguments
+            depth, x = 1, k + 2
+            while x < len(found) and depth and x - k < 40:
+                sign = text[found[x].start : found[x].end] if found[x].kind == "o" else ""
+                depth += (sign in ("(", "[", "{")) - (sign in (")", "]", "}"))
+                if depth == 1 and found[x].kind == "s":
+                    at = x
+                x += 1
+        elif weak or names_credential(name):
+            at = _follow(text, found, k + 1, key)
+        if at is None:
+            continue
+        value, spans = _with_parts(text, found, at)
+        if value and (_is_strong(value) if weak else True) and is_usable(value, True, names_password(name)):
+            taken.append((value, spans))
+    return taken
+
+
 def _real(form: re.Match[str]) -> tuple[int, int] | None:
     """The secret's place in a match of _forms, or None if it is none."""
     kind = form.lastgroup
@@ -177,7 +296,8 @@ def _literal(text: str, at: int, sep: str, code: bool, limit: int) -> tuple[str,
     """The literal at `at`: its value, the places of its contents and whether it is quoted."""
     m = _quoted.match(text, at)
     if m:
-        value, spans = m.group(2), [m.span(2)]
+        spans = codetokens.outside_holes(text, *m.span(2)) if "f" in text[m.start() : m.start(1)].lower() else [m.span(2)]
+        value = "".join(text[a:b] for a, b in spans)
         while (p := _plus.match(text, m.end())) and text[p.end() : p.end() + 1] in ('"', "'") and text[p.end() : p.end() + 1] == m.group(1):
             n = _quoted.match(text, p.end())
             if n is None or n.group(1) != m.group(1):
@@ -185,7 +305,7 @@ def _literal(text: str, at: int, sep: str, code: bool, limit: int) -> tuple[str,
             value += n.group(2)
             spans.append(n.span(2))
             m = n
-        return value, spans, True
+        return (value, spans, True) if spans else None
     if code:
         return None
     m = _bare.match(text, at)
@@ -251,6 +371,12 @@ def find_secrets(text: str, extension: str = "") -> list[list[tuple[int, int]]]:
                 if _forms.search(value[0]) or re.match(r"(?:Basic|Bearer)\b", value[0]) or "AKIA" in value[0][:4]:
                     continue
                 found.setdefault(value[1][0][0], value[1])
+    if extension in CODE and _code_hint.search(small):
+        for value, spans in _code_secrets(text, extension):
+            if any(a <= spans[0][0] < b for a, b in taken) or _forms.search(value) or re.match(r"(?:Basic|Bearer)\b", value) or "AKIA" in value[:4]:
+                continue
+            if not any(a < spans[0][1] and spans[0][0] < b for held in found.values() for a, b in held):
+                found[spans[0][0]] = spans
     return [found[k] for k in sorted(found)]
 
 

@@ -99,3 +99,53 @@ def test_passwords_of_any_form(value):
 @pytest.mark.parametrize("value", ["", "   ", "your password here", "must be at least 8 characters", "Enter your password", "${DB_PASSWORD}", "DB_PASSWORD", "settings.db.password", "****", "changeme", "string", "tool --pass -q"])
 def test_quoted_labels_and_references_are_let_through(value):
     assert S.find_secrets(f'db_password = "{value}"') == []
+
+
+STRONG = "aB3dE6gH" + "9jK2mN5p"
+
+
+@pytest.mark.parametrize(
+    ("text", "extension"),
+    [
+        (f'token = "{STRONG}"', "py"), (f'const apiToken = "{VALUE}";', "js"), ('PASSWORD="let' + 'mein"', "py"), ('password = "with spaces ' + '123"', "py"), ('set_password("S3cret' + 'Pw!22")', "py"),
+        ('password = new String("s3cr3t' + 'Value99")', "java"), (f'let password: String = String::from("{VALUE}");', "rs"), (f'client.setAuthToken(user, "{VALUE}");', "ts"), (f'password = (\n    "{VALUE[:5]}"\n    + "{VALUE[5:]}"\n)', "py"),
+        (f'secret := []byte("{VALUE}")', "go"), (f'cfg["client_secret"] = "{VALUE}"', "py"), (f'String dbPassword = "{VALUE}";', "java"), (f'x = {{**y, "auth_token": str("{VALUE}")}}', "py"),
+    ],
+)
+def test_literals_assigned_or_passed_in_code(text, extension):
+    found = S.find_secrets(text, extension)
+    assert len(found) == 1
+    clean = S.redact(text, found)
+    assert len(clean) == len(text) and S.find_secrets(clean, extension) == [] and VALUE not in clean
+
+
+@pytest.mark.parametrize(
+    ("text", "extension"),
+    [
+        ('token = "next page"', "py"), ('token = "a8b3"', "py"), ('value = get_secret("db/prod/pass1")', "py"), ('password = vault.read("kv/db1")', "py"), ('set_password(read("file1.txt"))', "py"), ('if password == "abc123X":', "py"),
+        ('PASSWORD: (&str, &str) = ("password_main1", "changeme");', "rs"), ('# token: nothing', "py"), ('set_password_hint("ask Bob1")', "py"), ('"password" in "abc1234X"', "py"), ("set_password(", "py"), ("password =", "py"), ("token:", "ts"),
+    ],
+)
+def test_other_literals_in_code(text, extension):
+    assert S.find_secrets(text, extension) == []
+
+
+def test_holes_of_formatted_strings_stay():
+    text = 'api_key = f"abc{X}def9Z{y!r}q"\n'
+    found = S.find_secrets(text, "py")
+    assert S.redact(text, found) == 'api_key = f"***{X}*****{y!r}*"\n'
+    assert S.find_secrets('password = f"{config.password}"', "py") == []
+
+
+def test_redacted_code_still_parses():
+    import ast
+
+    text = f"""class A:
+    def connect(self, host='h', password="{VALUE}", retries=3):
+        self.token = '{STRONG}'
+        return login(host, auth_token=("{VALUE[:4]}"
+                                       "{VALUE[4:]}"), note=f"{{host}}")
+"""
+    clean = S.redact(text, S.find_secrets(text, "py"))
+    tree = ast.parse(clean)
+    assert VALUE not in clean and STRONG not in clean and len(list(ast.walk(tree))) == len(list(ast.walk(ast.parse(text))))
