@@ -32,6 +32,8 @@ MASKS = ((0, 1, 3, 4, 7, 9, 10, 12, 14, 15), (0, 2, 3, 5, 6, 8, 11, 12, 13, 15))
 SPAN = 16
 #: Seeds, and distinct words, of the held-out side up to which it is sent to every task (16 bytes each).
 MAX_SEEDS = 2_000_000
+#: Characters of the held-out texts up to which their words are sent to every task.
+MAX_TEST_CHARS = 50_000_000
 #: Rows of candidate diagonals up to which they are broadcast to the second read of the corpus.
 MAX_CANDIDATES = 500_000
 FILTER_BITS = 22
@@ -133,7 +135,8 @@ def overlaps(corpus: DataFrame, key: str, text: str, held_out: DataFrame, held_k
     test_seeds = _seed_table(tests, None, None).select(F.col("id").alias("held"), F.col("place").alias("held_place"), "seed")
     sized = cut(test_seeds)
     vocabulary = bits = None
-    if sized.count() <= MAX_SEEDS:  # this bounds the words too
+    # held-out texts too short for a seed count with their characters
+    if sized.count() <= MAX_SEEDS and (tests.agg(F.sum(F.length("text"))).first()[0] or 0) <= MAX_TEST_CHARS:
         sized = F.broadcast(sized)
         vocabulary = {}
         bits = np.zeros(1 << FILTER_BITS, dtype=bool)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.llm import bpe, leakage, neardup, provenance, secrets, sentences, splitting, syntax
+from repolith.session import broadcast_if_small, spread
 from repolith.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +40,22 @@ def _code_and_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.union(docs)
 
 
+#: Repeated keys up to which they are broadcast.
+MAX_REPEATED = 2_000_000
+
+
+def _once(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows without repeated ones. Only the rows of keys that come more than once, found on the keys alone, are compared and shuffled as a whole."""
+    key = F.xxhash64(*keys)
+    repeated = broadcast_if_small(rows.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), MAX_REPEATED)
+    keyed = rows.withColumn("__key", key)
+    single = keyed.join(repeated, "__key", "left_anti").drop("__key")
+    return single.union(keyed.join(repeated, "__key", "left_semi").drop("__key").dropDuplicates())
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every key file and knowledge document."""
-    return splitting.split(_code_and_documents(spark, sf_dir).dropDuplicates(), ["item_kind", "item_key"], "content")
+    return splitting.split(_once(_code_and_documents(spark, sf_dir), "item_kind", "item_key"), ["item_kind", "item_key"], "content")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +78,7 @@ def _searched_for_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "key_files").select(F.lit("key_file").alias("kind"), key("path"), nothing.alias("part"), extension, F.col("content").alias(text))
     docs = table(spark, sf_dir, "knowledge_docs").select(F.lit("knowledge_doc").alias("kind"), F.col("doc_id").alias("key"), nothing.alias("part"), F.lit("").alias("extension"), F.col("content").alias(text))
     entries = table(spark, sf_dir, "config_summaries").select(F.lit("config").alias("kind"), key("source_path"), F.posexplode("env_vars").alias("part", text))
-    return files.union(docs).union(entries.select("kind", "key", F.col("part") + 1, F.lit("").alias("extension"), text))
+    return spread(files.union(docs).union(entries.select("kind", "key", F.col("part") + 1, F.lit("").alias("extension"), text)))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +88,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text and entry with its secret values overwritten."""
-    return secrets.redacted(_searched_for_secrets(spark, sf_dir).dropDuplicates()).toDF("item_kind", "item_key", "entry_no", "secrets", "text")
+    return secrets.redacted(_once(_searched_for_secrets(spark, sf_dir), "kind", "key", "part")).toDF("item_kind", "item_key", "entry_no", "secrets", "text")
 
 
 def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:

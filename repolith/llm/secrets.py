@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from repolith.llm import codetokens
 from repolith.llm.codetokens import Token
-from repolith.session import spread
 
 # Words that name a credential, alone or as a pair of neighbours.
 CREDENTIAL_WORDS = frozenset("password passwd pwd passphrase secret secrets apikey credential credentials passcode".split())
@@ -433,7 +432,7 @@ def secret_lines(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, type=pa.int64())], names=["kind", "key", "line_no"])
 
     chosen = df.select("kind", "key", F.col("part").cast("bigint").alias("part"), "extension", "text").where("text is not null and text <> ''")
-    return spread(chosen).mapInArrow(run, "kind string, key string, line_no bigint").distinct()
+    return chosen.mapInArrow(run, "kind string, key string, line_no bigint").distinct()
 
 
 def redacted(df: DataFrame) -> DataFrame:
@@ -450,4 +449,4 @@ def redacted(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, type=pa.int64()), pa.array(texts, type=pa.string())], names=["kind", "key", "part", "secrets", "text"])
 
     chosen = df.select("kind", "key", F.col("part").cast("bigint").alias("part"), "extension", "text")
-    return spread(chosen).mapInArrow(run, "kind string, key string, part bigint, secrets bigint, text string")
+    return chosen.mapInArrow(run, "kind string, key string, part bigint, secrets bigint, text string")

@@ -47,11 +47,11 @@ def split(df: DataFrame, keys: list[str], text: str, limit: int = 1800, overlap:
     own = [F.col(k) for k in keys]
     cored = df.select(*own, cores(F.col(text), limit, overlap).alias("__cores"))
     measured = cored.select(*own, "__cores", F.transform("__cores", F.length).alias("__sizes"))
-    begun = measured.select(
-        *own, "__cores", F.transform("__sizes", lambda _, k: F.aggregate(F.slice("__sizes", F.lit(1), k), F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("__begins")
-    )
+    # where each core begins: a running sum, one step for each core
+    running = F.aggregate("__sizes", F.array(F.lit(0).cast("bigint")), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+    begun = measured.select(*own, "__cores", running.alias("__begins"))
     before_each = F.slice(F.concat(F.array(F.lit("")), "__cores"), F.lit(1), F.size("__cores"))
-    zipped = F.arrays_zip(F.col("__cores").alias("core"), F.col("__begins").alias("begin"), before_each.alias("before"))
+    zipped = F.arrays_zip(F.col("__cores").alias("core"), F.slice("__begins", F.lit(1), F.size("__cores")).alias("begin"), before_each.alias("before"))
     one = begun.select(*own, F.posexplode(zipped).alias("__k", "__p"))
     before = F.col("__p.before")
     natural = F.regexp_extract(F.right(before, F.lit(overlap + 1)), tail_pattern(overlap), 1)
