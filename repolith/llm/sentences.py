@@ -1,9 +1,12 @@
 """Sentence units of texts in any language and script.
 
 A text is first cut into blocks by its layout: blank lines, headings, list items, quote blocks and fenced code. Inside a block the
-standard sentence-break properties of Unicode (STerm, ATerm, Close, Lower, OLetter ...) decide, with three additions: abbreviations
-of the paragraph's language don't end a sentence, quotations and brackets are crossed as a whole, and a script without sentence marks (Thai)
-is cut at its spaces. Offsets count code points. Work is row by row inside the scan's partitions, without a shuffle.
+numbered rules of the standard for sentence boundaries decide, over the sentence-break properties of all characters: a paragraph
+separator ends a sentence (SB4), marks of extension belong to the character before them (SB5), ATerm ends none before a number (SB6) or
+between letters (SB7), nor where a small letter follows (SB8), no term ends one before what continues it (SB8a),
+closing marks and white space belong to it (SB9, SB10), and all others end it (SB11). Tailored are: abbreviations of the paragraph's language
+don't end a sentence, quotations and brackets are crossed as a whole, Latin marks need white space behind them, a single line break is a space,
+and a script without sentence marks (Thai) is cut at its spaces. Offsets count code points. Work is row by row inside the scan's partitions, without a shuffle.
 
 Results: null, empty and blank texts have no units; a paragraph's rest without a mark is a unit; repeated rows count once.
 """
@@ -29,6 +32,14 @@ def _property(*names: str) -> str:
     return "".join(re.escape(m.group()[0]) + ("-" + re.escape(m.group()[-1]) if len(m.group()) > 1 else "") for m in runs)
 
 
+def _closing() -> str:
+    """The marks of the property Close that don't open, as the inside of a character class."""
+    import regex
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))
+    return "".join(map(re.escape, regex.findall(r"[\p{Sentence_Break=Close}--[\p{Ps}\p{Pi}\p{So}]]", every, flags=regex.V1)))
+
+
 # Abbreviations that never end a sentence, by language; "" has those that texts of all languages borrow.
 NEVER_LAST = {
     "": "dr prof mr mrs vs cf e.g i.e al pp",
@@ -38,6 +49,7 @@ NEVER_LAST = {
     "es": "sr sra srta dra d dña pág págs núm núms n.º aprox ej p vol fig",
     "ru": "см разд табл стр гл ст т п г ул пр тыс напр е ср",
     "hi": "डॉ प्रो श्री सुश्री पं",
+    "ar": "د أ م ص ج ط ق.م هـ",
 }
 # Abbreviations that may also be a sentence's last word; what follows decides.
 MAYBE_LAST = {
@@ -75,13 +87,13 @@ LATIN = ("en", "de", "fr", "es")
 
 
 def _by_language(lists: dict[str, str]) -> dict[str, frozenset[str]]:
-    return {k: frozenset((lists.get("", "") + " " + lists.get(k, "")).split()) for k in ("en", "de", "fr", "es", "ru", "hi")}
+    return {k: frozenset((lists.get("", "") + " " + lists.get(k, "")).split()) for k in ("en", "de", "fr", "es", "ru", "hi", "ar")}
 
 
 _never, _maybe, _word_too, _before_names, _titles, _frequent = map(_by_language, (NEVER_LAST, MAYBE_LAST, WORD_TOO, BEFORE_NAMES, TITLES, FREQUENT))
 _any_listed = frozenset().union(*(ws for lists in (_never, _maybe, _word_too, _before_names) for ws in lists.values()))
 _letters = re.compile(r"[^\W\d_]+")
-_cyrillic, _devanagari = re.compile("[\u0400-\u052f]"), re.compile("[\u0900-\u097f]")
+_cyrillic, _devanagari, _arabic = re.compile("[\u0400-\u052f]"), re.compile("[\u0900-\u097f]"), re.compile("[\u0600-\u06ff]")
 #: A number, also behind a stray word of another script.
 _number_ahead = re.compile(r"(?:[^\x00-\u024f\s]+\s+)?[#§]?\d|(?=[IVXLC]{2}|[VX]\b)[IVXLC]+\b")
 _number_behind = re.compile(r"\d\s*\Z")
@@ -107,6 +119,8 @@ class _Speech:
             return "ru"
         if _devanagari.match(word):
             return "hi"
+        if _arabic.match(word):
+            return "ar"
         if body not in self.told:
             left = _told(body, self.label)
             if len(left) > 1 and self.label not in left:
@@ -115,18 +129,27 @@ class _Speech:
         return self.told[body]
 
 
-_ATERM, _STERM, _LOWER = _property("ATerm"), _property("STerm"), _property("Lower")
+_ATERM, _STERM, _LOWER, _UPPER, _OLETTER, _NUMERIC = (_property(n) for n in ("ATerm", "STerm", "Lower", "Upper", "OLetter", "Numeric"))
+_SCONTINUE, _MARKS, _CLOSE = _property("SContinue"), _property("Extend"), _property("Close")
 #: Marks that end a sentence without white space behind them.
 _WIDE = "。｡！？．"
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _TERM = f"[{_ATERM}{_STERM}…‥]+"
+#: SB8: a small letter behind white space and marks that open or close; behind other signs it begins a path or a tag, and with them a sentence.
+_small_ahead = re.compile(rf"[\s{_CLOSE}{_MARKS}]*[{_LOWER}]")
+_letter, _upper, _numeric, _aterm = (re.compile(f"[{c}]") for c in (_UPPER + _LOWER, _UPPER, _NUMERIC, _ATERM))
+#: SB8a: what continues a sentence, behind closing marks and white space.
+_continues = re.compile(rf"\s*[{_SCONTINUE}](?<![-–—])")
 _OPEN = "\"'“‘„«‹「『（(\\[{¿¡`*_"
-_SHUT = "”’»›」』）)\\]}"
+_SHUT = re.sub(r"[\"']", "", _closing())
 #: Quotations, brackets and code spans, which sentences cross as a whole.
 _SPAN = "|".join(
     ["“[^”]*”", "„[^“”]*[“”]", "«[^»]*»", "「[^」]*」", "『[^』]*』", '"[^"]*"', r"‘(?:[^’]|’(?=\w))*’(?!\w)", r"\([^()]*\)", "（[^（）]*）", "`[^`]*`"]
 )
-_mark = re.compile(f"(?P<span>{_SPAN})|(?P<term>{_TERM})(?P<shut>[{_SHUT}]*|(?<=[{_ATERM}!?])[\"'{_SHUT}]*)|(?P<thai>(?<=[฀-๿])\\s+(?=[฀-๿])|(?<=\\w)\\s+(?=[฀-๿]))")
+_mark = re.compile(f"(?P<span>{_SPAN})|(?P<term>{_TERM})[{_MARKS}]*(?P<shut>[{_SHUT}]*|(?<=[{_ATERM}!?])[\"'{_SHUT}]*)|(?P<para>\u2029)|(?P<thai>(?<=[฀-๿])\\s+(?=[฀-๿])|(?<=\\w)\\s+(?=[฀-๿]))")
+# openers and the last place at which each can still be closed
+_CLOSERS = {"“": re.compile("[”]"), "„": re.compile("[“”]"), "«": re.compile("»"), "「": re.compile("」"), "『": re.compile("』"), "‘": re.compile(r"’(?!\w)"), "`": re.compile("`")}
+_opener = re.compile(f"[{''.join(_CLOSERS)}]")
 _inner_end = re.compile(rf"({_TERM})\s*[\"'“{_SHUT}]+\Z")
 #: Things of no language: special tokens, zero-width characters, pictures.
 _JUNK = r"(?:</?s>|<\|\w+\|>|[​-‏﻿☀-➿\U0001f000-\U0001faff]+)"
@@ -198,6 +221,16 @@ def blocks(text: str) -> Iterator[tuple[int, int, str | None]]:
         yield begin, len(text), "\n".join(parts)
 
 
+def _standard(body: str, at: int, end: int, last: str, following: int) -> bool:
+    """Whether SB6 to SB11 end a sentence behind the term that ends with `last`, begins at `at` and is closed until `end`; following: where what follows begins."""
+    if _aterm.match(last):
+        if body[end - 1 : end] == last and (_numeric.match(body, end) or at > 0 and _letter.match(body, at - 1) and _upper.match(body, end)):
+            return False  # SB6, SB7
+        if _small_ahead.match(body, following):
+            return False  # SB8
+    return not _continues.match(body, following)  # SB8a, SB9 to SB11
+
+
 def _ends(body: str, start: int, mark: str, at: int, end: int, span: str, speech: _Speech) -> bool:
     """Whether the sentence that began at `start` ends with `mark` at `at`, closed until `end`. span: the quotation closed here, or ''."""
     follow = _next.match(body, end)
@@ -248,7 +281,16 @@ def _ends(body: str, start: int, mark: str, at: int, end: int, span: str, speech
             return False
     if follow["dots"] is not None:
         return True
-    return starts
+    return starts and (follow["version"] is not None or bool(_identifier.match(word)) or _standard(body, at, end, last, follow.start("open")))
+
+
+def _closable(body: str) -> str:
+    """body with a dash for every opening mark that nothing closes any more, so that no search for its end runs to the end of the text."""
+    for opener, closer in _CLOSERS.items():
+        if opener in body and not (opener == "“" and "„" in body):  # which closes the other one
+            last = max((m.start() for m in closer.finditer(body)), default=-1)
+            body = body[: last + 1] + body[last + 1 :].replace(opener, "-")
+    return body
 
 
 def unit_ends(text: str, label: str | None = None) -> list[int]:
@@ -261,9 +303,11 @@ def unit_ends(text: str, label: str | None = None) -> list[int]:
             continue
         start = 0
         has_thai = _thai.search(body) is not None
-        for m in _mark.finditer(body):
+        for m in _mark.finditer(_closable(body) if _opener.search(body) else body):
             kind = m.lastgroup
-            if m["thai"] is not None:
+            if m["para"] is not None:
+                stop = m.start()
+            elif m["thai"] is not None:
                 token = body[max(start, body.rfind(" ", start, m.start()) + 1) : m.start()]
                 if not _thai.search(token):
                     continue

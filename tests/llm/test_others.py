@@ -214,3 +214,42 @@ def test_sentence_table(spark):
     got = sentences.sentence_ends(df, "doc_id", "text").groupBy("doc_id").count().collect()
     assert {r.doc_id for r in got} == {1, 4}
     assert sentences.sentence_ends(df.limit(0), "doc_id", "text").count() == 0
+
+
+def _units(text, lang=None):
+    found, at = [], 0
+    for end in sentences.unit_ends(text, lang):
+        found.append(text[at:end].strip())
+        at = end
+    return found
+
+
+@pytest.mark.parametrize(
+    ("text", "units"),
+    [
+        ("One ends here.\u2029Two begins", ["One ends here.", "Two begins"]),  # SB4
+        ("A mark.\u0301 Then more.", ["A mark.\u0301", "Then more."]),  # SB5
+        ("It costs 3.50 today. Fine.", ["It costs 3.50 today.", "Fine."]),  # SB6
+        ("See U.S.A today. Fine.", ["See U.S.A today.", "Fine."]),  # SB7
+        ("He left (approx. then) again. Yes.", ["He left (approx. then) again.", "Yes."]),  # SB8
+        ("Wait. (and see) Now.", ["Wait. (and see) Now."]),  # SB8
+        ("Stop. , go on. End.", ["Stop. , go on.", "End."]),  # SB8a
+        ("He said it.⟩ She left.", ["He said it.⟩", "She left."]),  # SB9
+        ("The answer is no. We stop here.", ["The answer is no.", "We stop here."]),
+        ("It was at its max. Then it fell.", ["It was at its max.", "Then it fell."]),
+        ("This is the art. We like it.", ["This is the art.", "We like it."]),
+        ("Keep that in mind. The next one.", ["Keep that in mind.", "The next one."]),
+        ("\U00011013\U00011047 \U00011014\U00011047", ["\U00011013\U00011047", "\U00011014\U00011047"]),
+        ("قال د. أحمد نعم. ثم ذهب.", ["قال د. أحمد نعم.", "ثم ذهب."]),
+    ],
+)
+def test_numbered_rules_and_tailoring(text, units):
+    assert _units(text) == units
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+
+    begun = time.time()
+    assert len(sentences.unit_ends(("“open « and ‘ so 「 on " * 20_000) + "end. Next.")) == 2
+    assert time.time() - begun < 5
