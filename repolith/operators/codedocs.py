@@ -14,6 +14,7 @@ from repolith.operators import codegraph as G
 from repolith.operators import codeindex as C
 from repolith.operators import documents as D
 from repolith.operators import profile
+from repolith.operators.documents import lines_text, or_none
 
 KEYS = ["repo_id", "path", "qualified_name", "line_start"]
 # Names of language scopes.
@@ -24,15 +25,6 @@ def _or_none(values: Column) -> Column:
     return D.joined(values)
 
 
-def _or(value: Column, other: str) -> Column:
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(other))
-
-
-def lines_text(heading: Column, *lines: tuple[str, Column]) -> Column:
-    """A heading and 'label：value' lines."""
-    return F.concat_ws("\n", heading, *(F.concat(F.lit(f"{label}："), F.coalesce(value.cast("string"), F.lit(""))) for label, value in lines))
-
-
 def line_range(first: Column, last: Column) -> Column:
     """L<first>-L<last>, one L where they are equal or one is missing, else 未知."""
     one = lambda n: F.concat(F.lit("L"), n.cast("string"))
@@ -96,8 +88,8 @@ def function_summaries(files: DataFrame, subprojects: DataFrame) -> DataFrame:
     content = lines_text(
         F.concat(F.lit("仓库 "), F.col("repo_id"), F.lit(" 中的函数/方法实现摘要。")),
         ("来源文件", F.col("path")), ("符号名称", F.col("name")), ("限定名", F.col("qualified_name")), ("语言范围", F.col("language_scope")), ("代码位置", line_range(F.col("line_start"), F.col("line_end"))),
-        ("所属类", _or(F.col("owner_class"), "无")), ("函数签名", F.col("signature")), ("装饰器", _or_none(_list("decorators"))), ("参数", _or_none(F.col("parameters"))), ("调用", _or_none(_list("called_symbols"))),
-        ("返回线索", _or_none(_list("return_signals"))), ("所属子项目", _or(F.col("subproject_root"), "无")),
+        ("所属类", or_none(F.col("owner_class"), "无")), ("函数签名", F.col("signature")), ("装饰器", _or_none(_list("decorators"))), ("参数", _or_none(F.col("parameters"))), ("调用", _or_none(_list("called_symbols"))),
+        ("返回线索", _or_none(_list("return_signals"))), ("所属子项目", or_none(F.col("subproject_root"), "无")),
     )
     metadata = _metadata(
         source_path=F.col("path"), summary_kind=F.lit("function"), symbol_name=F.col("name"), qualified_name=F.col("qualified_name"), owner_class=F.col("owner_class"), language_scope=F.col("language_scope"), line_start=F.col("line_start"), line_end=F.col("line_end"),
@@ -116,7 +108,7 @@ def class_summaries(files: DataFrame, subprojects: DataFrame) -> DataFrame:
     content = lines_text(
         F.concat(F.lit("仓库 "), F.col("repo_id"), F.lit(" 中的类实现摘要。")),
         ("来源文件", F.col("path")), ("类名称", F.col("name")), ("限定名", name), ("语言范围", F.col("language_scope")), ("代码位置", line_range(F.col("line_start"), F.col("line_end"))), ("继承", _or_none(F.col("bases"))),
-        ("装饰器", _or_none(_list("decorators"))), ("方法", _or_none(F.col("methods"))), ("所属子项目", _or(F.col("subproject_root"), "无")),
+        ("装饰器", _or_none(_list("decorators"))), ("方法", _or_none(F.col("methods"))), ("所属子项目", or_none(F.col("subproject_root"), "无")),
     )
     metadata = _metadata(
         source_path=F.col("path"), summary_kind=F.lit("class"), symbol_name=F.col("name"), qualified_name=name, language_scope=F.col("language_scope"), line_start=F.col("line_start"), line_end=F.col("line_end"), bases=(F.col("bases"),), decorators=(_list("decorators"),),
@@ -142,7 +134,7 @@ def body_chunks(files: DataFrame, subprojects: DataFrame) -> DataFrame:
         lines_text(
             F.concat(F.lit("仓库 "), F.col("repo_id"), F.when(is_class, " 中的类源码片段。").otherwise(" 中的函数源码片段。")),
             ("来源文件", F.col("path")), ("限定名", F.col("qualified_name")), ("语言范围", F.col("language_scope")), ("代码位置", line_range(begin, begin + shown - 1)), ("函数签名", F.col("signature")), ("调用", _or_none(_list("called_symbols"))),
-            ("所属子项目", _or(F.col("subproject_root"), "无")),
+            ("所属子项目", or_none(F.col("subproject_root"), "无")),
         ),
         F.lit("\n源码片段：\n```text\n"), F.col("chunk"), F.lit("\n```"),
     )
@@ -175,8 +167,8 @@ def route_summaries(files: DataFrame, subprojects: DataFrame) -> DataFrame:
     own = _routes(files, subprojects)
     content = lines_text(
         F.concat(F.lit("仓库 "), F.col("repo_id"), F.lit(" 中的接口/路由实现摘要。")),
-        ("来源文件", F.col("path")), ("路由路径", F.col("route_path")), ("HTTP 方法", F.col("verbs")), ("框架线索", _or(F.col("framework"), "未知")), ("处理函数", F.col("handler_name")), ("处理限定名", F.col("handler_qualified_name")),
-        ("代码位置", line_range(F.col("line_number"), F.col("line_number"))), ("调用", _or_none(_list("called_symbols"))), ("所属子项目", _or(F.col("subproject_root"), "无")),
+        ("来源文件", F.col("path")), ("路由路径", F.col("route_path")), ("HTTP 方法", F.col("verbs")), ("框架线索", or_none(F.col("framework"), "未知")), ("处理函数", F.col("handler_name")), ("处理限定名", F.col("handler_qualified_name")),
+        ("代码位置", line_range(F.col("line_number"), F.col("line_number"))), ("调用", _or_none(_list("called_symbols"))), ("所属子项目", or_none(F.col("subproject_root"), "无")),
     )
     return _document(own, "api_route_summary", F.concat("verbs", F.lit("::"), "route_path"), F.concat("repo_id", F.lit("::"), "route_ref", F.lit(" 接口摘要")), content, _route_metadata("api_route"))
 
@@ -188,8 +180,8 @@ def route_chunks(files: DataFrame, subprojects: DataFrame) -> DataFrame:
     content = F.concat(
         lines_text(
             F.concat(F.lit("仓库 "), F.col("repo_id"), F.lit(" 中的接口处理源码片段。")),
-            ("来源文件", F.col("path")), ("路由路径", F.col("route_path")), ("HTTP 方法", F.col("verbs")), ("处理函数", F.col("handler_name")), ("处理限定名", F.col("handler_qualified_name")), ("框架线索", _or(F.col("framework"), "未知")),
-            ("代码位置", line_range(begin, begin + F.size(F.split("chunk", "\n")) - 1)), ("调用", _or_none(_list("called_symbols"))), ("所属子项目", _or(F.col("subproject_root"), "无")),
+            ("来源文件", F.col("path")), ("路由路径", F.col("route_path")), ("HTTP 方法", F.col("verbs")), ("处理函数", F.col("handler_name")), ("处理限定名", F.col("handler_qualified_name")), ("框架线索", or_none(F.col("framework"), "未知")),
+            ("代码位置", line_range(begin, begin + F.size(F.split("chunk", "\n")) - 1)), ("调用", _or_none(_list("called_symbols"))), ("所属子项目", or_none(F.col("subproject_root"), "无")),
         ),
         F.lit("\n源码片段：\n```text\n"), F.col("chunk"), F.lit("\n```"),
     )

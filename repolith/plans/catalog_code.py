@@ -108,35 +108,6 @@ def join_subproject_lpm(spark, d):
     return profile.longest_prefix(tables.files(spark, d), roots, ["repo_id"], "path")
 
 
-def doc_readme_summary(spark, d):
-    return documents.readme_summaries(tables.repos(spark, d)).select("doc_id", "title", "content")
-
-
-def doc_repo_fact(spark, d):
-    return documents.repo_facts(tables.repos(spark, d)).select("doc_id", "content")
-
-
-def doc_config_summary(spark, d):
-    return documents.config_documents(tables.config_summaries(spark, d)).select("doc_id", "content")
-
-
-def doc_config_chunk(spark, d):
-    return documents.config_chunks(tables.config_summaries(spark, d), tables.key_files(spark, d)).select("doc_id", "content")
-
-
-def doc_key_file_summary(spark, d):
-    return documents.key_file_documents(tables.key_files(spark, d)).select("doc_id", "content")
-
-
-def doc_subproject_summary(spark, d):
-    return documents.subproject_documents(profile.subprojects(tables.config_summaries(spark, d))).select("doc_id", "content")
-
-
-def embedding_text(spark, d):
-    docs = tables.documents(spark, d)
-    return docs.select("doc_id", F.length(documents.embedding_text(docs)).cast("bigint").alias("chars"))
-
-
 def cosine_knn(spark, d):
     rows = tables.table(spark, d, "embeddings").select("vec_id", "embedding")
     return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 5)
@@ -218,13 +189,6 @@ def support_score(spark, d):
     return answers.verdict(verify(spark, d))
 
 
-def capped_collect(spark, d):
-    """The first five distinct commands of each subproject, in order of path and place."""
-    rows = tables.config_summaries(spark, d).select("repo_id", "subproject_root", "source_path", F.posexplode("scripts_or_commands").alias("k", "command"))
-    ordered = rows.where("command is not null").groupBy("repo_id", "subproject_root").agg(F.array_sort(F.collect_list(F.struct("source_path", "k", "command"))).alias("c"))
-    return ordered.select("repo_id", "subproject_root", F.array_join(F.slice(T.ordered_distinct(F.transform("c", lambda x: x["command"])), 1, 5), "|").alias("commands"))
-
-
 def status_by_hour(spark, d):
     """Worst status of the events of each hour and user: any error makes it failed."""
     rows = tables.table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("hour"), "user_id", "event_type")
@@ -311,22 +275,6 @@ QUERIES = {
         join_subproject_lpm,
         f"{with_('files_once', 'configs_once')}, roots AS (SELECT DISTINCT repo_id, coalesce(nullif(subproject_root, ''), '.') AS root FROM configs_once) SELECT f.repo_id, f.path, arg_max(r.root, CASE WHEN r.root = '.' THEN 0 ELSE length(r.root) END) AS root FROM files_once f LEFT JOIN roots r ON r.repo_id = f.repo_id AND (r.root = '.' OR f.path = r.root OR starts_with(f.path, r.root || '/')) GROUP BY f.repo_id, f.path",
     ),
-    "doc_readme_summary": (doc_readme_summary, f"{_R} SELECT full_name || '::readme_summary::README' AS doc_id, full_name || ' README' AS title, readme[1:2000] AS content FROM repos_once WHERE regexp_matches(readme, '\\S')"),
-    "doc_repo_fact": (
-        doc_repo_fact,
-        f"{_R} SELECT full_name || '::repo_fact' AS doc_id, 'repo: ' || full_name || chr(10) || 'default_branch: ' || coalesce(default_branch, '') || chr(10) || 'language: ' || coalesce(primary_language, '') || chr(10) || 'languages: ' || coalesce(array_to_string(list_sort(map_keys(languages)), ', '), '') || chr(10) || 'license: ' || coalesce(license_name, '') || chr(10) || 'stars: ' || coalesce(stargazers_count::VARCHAR, '') AS content FROM repos_once",
-    ),
-    "doc_config_summary": (
-        doc_config_summary,
-        f"{_C} SELECT repo_id || '::config_summary::' || source_path AS doc_id, 'kind: ' || coalesce(config_kind, '') || chr(10) || 'language: ' || coalesce(language_scope, '') || chr(10) || 'package_managers: ' || {_JOINED('package_managers')} || chr(10) || 'commands: ' || {_JOINED('scripts_or_commands')} || chr(10) || 'services: ' || {_JOINED('service_dependencies')} || chr(10) || 'summary: ' || coalesce(summary, '') AS content FROM configs_once",
-    ),
-    "doc_config_chunk": (doc_config_chunk, f"{_CONFIG_CHUNK} SELECT repo_id || '::config_chunk::' || source_path AS doc_id, {_CHUNK} AS content FROM j WHERE c <> ''"),
-    "doc_key_file_summary": (
-        doc_key_file_summary,
-        f"{_K}, b AS (SELECT *, coalesce(nullif(content, ''), '{documents.EMPTY}') AS body FROM key_files_once) SELECT repo_id || '::key_file::' || path AS doc_id, 'size: ' || coalesce(size_bytes::VARCHAR, '') || chr(10) || 'truncated: ' || CASE WHEN coalesce(truncated, false) OR length(body) > 2000 THEN 'true' ELSE 'false' END || chr(10) || body[1:2000] AS content FROM b",
-    ),
-    "doc_subproject_summary": (doc_subproject_summary, f"{_SUB} SELECT repo_id || '::subproject_summary::' || root_path AS doc_id, 'root: ' || root_path || chr(10) || 'language: ' || coalesce(language_scope, '') || chr(10) || 'configs: ' || config_count AS content FROM sub"),
-    "embedding_text": (embedding_text, f"{_D} SELECT doc_id, length(concat_ws(chr(10), title, doc_type, repo_id, source_path, nullif({texts._FLAT}, ''), content)) AS chars FROM documents_once"),
     "cosine_knn": (cosine_knn, f"WITH {_KNN} SELECT query_id, vec_id, cosine, CAST(rank AS INT) AS rank FROM top"),
     "distance_to_score": (distance_to_score, f"WITH {_KNN} SELECT query_id, vec_id, round(1 / (1 + (1 - cosine)), 5) AS score FROM top"),
     "vec_upsert": (vec_upsert, "SELECT doc_id, repo_id, max(indexed_at) AS indexed_at FROM knowledge_docs WHERE doc_id IS NOT NULL GROUP BY 1, 2"),
@@ -351,11 +299,6 @@ QUERIES = {
     ),
     "verify": (verify, f"{_SUPPORT} SELECT claim_id, best_shared, supported FROM v"),
     "support_score": (support_score, f"{_SUPPORT} SELECT count(*) AS checked, count(*) FILTER (supported) AS supported, round(count(*) FILTER (supported)::DOUBLE / count(*), 2) AS score, CASE WHEN count(*) FILTER (supported)::DOUBLE / count(*) >= 0.8 THEN 'passed' WHEN count(*) FILTER (supported)::DOUBLE / count(*) >= 0.45 THEN 'warning' ELSE 'failed' END AS verdict FROM v"),
-    "capped_collect": (
-        capped_collect,
-        f"{_C}, e AS (SELECT repo_id, subproject_root, source_path, unnest(range(0, len(scripts_or_commands))) AS k, trim(unnest(scripts_or_commands)) AS command FROM configs_once), f AS (SELECT repo_id, subproject_root, command, min((source_path, k)) AS place FROM e WHERE command IS NOT NULL GROUP BY 1, 2, 3), "
-        "r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, subproject_root ORDER BY place) AS n FROM f WHERE command <> '') SELECT repo_id, subproject_root, string_agg(command, '|' ORDER BY place) AS commands FROM r WHERE n <= 5 GROUP BY 1, 2",
-    ),
     "stage_trace_windows": (status_windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2"),
     "agent_status": (status_by_hour, "SELECT date_trunc('hour', ts) AS hour, user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'success' END AS status FROM events GROUP BY 1, 2"),
 }

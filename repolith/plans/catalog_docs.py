@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from repolith.operators import codedocs, documents, profile
-from repolith.plans.catalog_graph import LINES
+from repolith.operators import codedocs, codegraph, documents, profile, signals
+from repolith.plans import catalog_code as code
+from repolith.plans import catalog_signals
+from repolith.plans import catalog_text as texts
+from repolith.plans.catalog_graph import _RELATIONS, LINES
 from repolith.sources import tables
 
 
@@ -49,13 +53,92 @@ def function_edges(spark, d):
     return own.select("doc_id", F.explode(zipped).alias("e")).select("doc_id", "e.*").distinct()
 
 
+def _subprojects(spark, d):
+    return signals.subprojects(tables.files(spark, d), tables.key_files(spark, d))
+
+
+def _profiles(spark, d):
+    files = tables.key_files(spark, d)
+    own = codegraph.definitions(files).select("repo_id")
+    return documents.profiles(tables.repos(spark, d), catalog_signals.all_signals(spark, d), signals.entry_points(tables.files(spark, d)), _subprojects(spark, d), own, codegraph.relations(files).select("repo_id"))
+
+
+def doc_repo_summary(spark, d):
+    return _shown(documents.repo_summaries(_profiles(spark, d)))
+
+
+def doc_repo_fact(spark, d):
+    return _shown(documents.repo_facts(_profiles(spark, d)))
+
+
+def doc_readme_summary(spark, d):
+    return _shown(documents.readme_summaries(tables.repos(spark, d)))
+
+
+def doc_config_summary(spark, d):
+    return _shown(documents.config_documents(tables.config_summaries(spark, d)))
+
+
+def doc_config_chunk(spark, d):
+    return _shown(documents.config_chunks(tables.config_summaries(spark, d), tables.key_files(spark, d)))
+
+
+def _file_lines(files):
+    """Symbols and relations of files as text."""
+    line = lambda kind, name, at: F.concat(kind, F.lit(" "), name, F.lit(" @L"), at.cast("string"))
+    symbols = codegraph.definitions(files).select("repo_id", "path", line(F.col("kind"), F.col("qualified_name"), F.col("line_start")).alias("text"))
+    return symbols, codegraph.relations(files).select("repo_id", "path", line(F.col("relation_type"), F.col("target"), F.col("line_number")).alias("text"))
+
+
+def doc_key_file_summary(spark, d):
+    files = tables.key_files(spark, d)
+    return _shown(documents.key_file_documents(files, *_file_lines(files)))
+
+
+def doc_subproject_summary(spark, d):
+    own = _subprojects(spark, d)
+    return _shown(documents.subproject_documents(own, signals.entry_subprojects(signals.entry_points(tables.files(spark, d)), own)))
+
+
+def _entries(spark, d):
+    own = signals.entry_summaries(tables.key_files(spark, d)).withColumnRenamed("source_path", "path")
+    roots = _subprojects(spark, d).select("repo_id", F.col("root_path").alias("root"))
+    placed = profile.longest_prefix(own.select("repo_id", "path"), roots, ["repo_id"], "path").withColumnRenamed("root", "subproject_root")
+    return own.join(placed, ["repo_id", "path"]).withColumnRenamed("path", "source_path")
+
+
+def doc_entrypoint_summary(spark, d):
+    return _shown(documents.entrypoint_documents(_entries(spark, d)))
+
+
+def embedding_text(spark, d):
+    docs = tables.documents(spark, d)
+    return docs.select("doc_id", documents.embedding_text(docs).alias("text"))
+
+
+def join_dependent_configs(spark, d):
+    """For each subproject the first eight key files whose name is one of its language's configurations, or that are workflows."""
+    own = _subprojects(spark, d)
+    files = tables.key_files(spark, d).select("repo_id", "path")
+    placed = profile.longest_prefix(files, own.select("repo_id", F.col("root_path").alias("root")), ["repo_id"], "path").where("root is not null")
+    kind = signals.config_identity(F.col("path"))
+    liked = placed.join(own.select("repo_id", F.col("root_path").alias("root"), "language_scope"), ["repo_id", "root"]).where((kind["language"] == F.col("language_scope")) | (kind["kind"] == "ci"))
+    order = Window.partitionBy("repo_id", "root").orderBy("path")
+    return liked.withColumn("k", F.row_number().over(order) - 1).where("k < 8").select("repo_id", "root", "k", "path")
+
+
+def capped_collect(spark, d):
+    """The first five different commands of each subproject in order of letters, ranked before they are collected."""
+    rows = tables.config_summaries(spark, d).select("repo_id", F.coalesce("subproject_root", F.lit("")).alias("root"), F.explode("scripts_or_commands").alias("command"))
+    return documents.capped(rows, ["repo_id", "root"], "command", 5, "commands")
+
+
 def union_docs(spark, d):
     """Number and length of the documents of every builder."""
-    files, subprojects = _sources(spark, d)
-    repos, configs = tables.repos(spark, d), tables.config_summaries(spark, d)
+    files, places = _sources(spark, d)
     narrow = lambda df: df.select("doc_id", "doc_type", "content")
-    own = [documents.readme_summaries(repos), documents.repo_facts(repos), documents.config_documents(configs), documents.config_chunks(configs, files), documents.key_file_documents(files), documents.subproject_documents(subprojects)]
-    own += [codedocs.function_summaries(files, subprojects), codedocs.class_summaries(files, subprojects), codedocs.body_chunks(files, subprojects), codedocs.route_summaries(files, subprojects), codedocs.route_chunks(files, subprojects)]
+    own = [q(spark, d) for q in (doc_repo_summary, doc_repo_fact, doc_readme_summary, doc_config_summary, doc_config_chunk, doc_entrypoint_summary, doc_subproject_summary, doc_key_file_summary)]
+    own += [codedocs.function_summaries(files, places), codedocs.class_summaries(files, places), codedocs.body_chunks(files, places), codedocs.route_summaries(files, places), codedocs.route_chunks(files, places)]
     every = documents.union(*map(narrow, own))
     return every.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("chars"))
 
@@ -88,6 +171,17 @@ def _chunk_sql(kind: str, word: str, condition: str) -> str:
     )
 
 
+_R, _C, _K, _D = (tables.sql_with(n) for n in ("repos_once", "configs_once", "key_files_once", "documents_once"))
+_SUBS = catalog_signals._SUBS
+_UNIQUE = lambda c: f"(SELECT coalesce(nullif(array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), ', '), ''), '无') FROM (SELECT list_transform(list_filter(coalesce({c}, []), lambda x: x IS NOT NULL), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS l))"
+_SIGNALS_AND_SUBS = catalog_signals._ALL + "," + _SUBS[_SUBS.index(" rt(key") :]
+_FACET = lambda c, n: f"coalesce(string_agg(DISTINCT CASE WHEN category = '{c}' THEN name END, ', ' ORDER BY CASE WHEN category = '{c}' THEN name END), '') AS {n}"
+_PROFILE = f"""{_SIGNALS_AND_SUBS}, fc AS (SELECT repo_id, {', '.join(_FACET(c, n) for c, n in (('language', 'languages'), ('framework', 'frameworks'), ('runtime', 'runtimes'), ('build_tool', 'build_tools'), ('package_manager', 'package_managers'), ('test_tool', 'test_tools'), ('ci_cd', 'ci_cd_tools'), ('deploy_tool', 'deploy_tools')))}, string_agg(DISTINCT name, ', ' ORDER BY name) AS stack FROM best WHERE evidence_level <> 'weak' GROUP BY 1),
+en AS (SELECT repo_id, string_agg(path, ', ' ORDER BY path) AS entrypoints FROM (SELECT DISTINCT repo_id, path FROM files_once WHERE {catalog_signals._ENTRY} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 50) GROUP BY 1),
+sd AS (SELECT repo_id, string_agg(s, ', ' ORDER BY s) AS subs FROM (SELECT repo_id, root_path || '(' || language_scope || '/' || project_kind || ')' AS s FROM sub QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY s) <= 50) GROUP BY 1)"""
+_OR = lambda c, none="无": f"coalesce(nullif({c}, ''), '{none}')"
+_CFG_HEAD = f"'来源文件：' || source_path || {_NL} || '配置类型：' || coalesce(config_kind, '') || {_NL} || '语言范围：' || coalesce(language_scope, '') || {_NL} || '所属子项目：' || {_OR('subproject_root')}"
+
 QUERIES = {
     "doc_function_summary": (
         doc_function_summary,
@@ -109,5 +203,49 @@ QUERIES = {
         f"{LINES} SELECT DISTINCT repo_id || '::function_summary::' || path || '::' || qualified_name AS doc_id, source_ref, target_ref, relation_type FROM (SELECT repo_id, path, qualified_name, path AS source_ref, qualified_name AS target_ref, 'contain_symbol' AS relation_type FROM defs WHERE kind <> 'class' UNION ALL SELECT repo_id, path, qualified_name, owner_class, qualified_name, 'define_method' FROM defs WHERE kind = 'method' "
         "UNION ALL SELECT repo_id, path, qualified_name, qualified_name, called, CASE WHEN regexp_matches(lower(called), 'repository|repo|dao') THEN 'delegate_repository' WHEN regexp_matches(lower(called), 'service|svc') THEN 'delegate_service' ELSE 'call' END FROM cl)",
     ),
+    "doc_repo_fact": (
+        doc_repo_fact,
+        f"{_PROFILE} SELECT full_name || '::repo_fact' AS doc_id, 'repo_fact' AS doc_type, full_name || ' 仓库事实' AS title, 'repo_id: ' || full_name || {_NL} || 'default_branch: ' || coalesce(default_branch, '') || {_NL} || 'primary_language: ' || {_OR('primary_language', '未指定')} || {_NL} "
+        + " ".join(f"|| '{n}: ' || {_OR('fc.' + n)} || {_NL}" for n in ("languages", "frameworks", "runtimes", "build_tools", "package_managers", "test_tools", "ci_cd_tools", "deploy_tools"))
+        + f" || 'entrypoints: ' || coalesce(entrypoints, '无') || {_NL} || 'subprojects: ' || coalesce(subs, '无') || {_NL} || 'topics: ' || {_UNIQUE('topics')} || {_NL} || 'stars: ' || coalesce(stargazers_count::VARCHAR, '0') || {_NL} || 'license: ' || {_OR('license_name')} AS content FROM repos_once r LEFT JOIN fc ON fc.repo_id = full_name LEFT JOIN en ON en.repo_id = full_name LEFT JOIN sd ON sd.repo_id = full_name",
+    ),
+    "doc_repo_summary": (doc_repo_summary, None),
+    "doc_readme_summary": (doc_readme_summary, f"{_R} SELECT full_name || '::readme_summary' AS doc_id, 'readme_summary' AS doc_type, full_name || ' README 摘要' AS title, '仓库 ' || full_name || ' 的 README 摘要候选内容。' || {_NL} || '以下内容来自 README 原文截断，可用于后续检索与 LLM 精炼。' || {_NL} || {_NL} || (regexp_replace(readme, '^\\s+|\\s+$', '', 'g'))[1:2000] AS content FROM repos_once WHERE regexp_matches(readme, '\\S')"),
+    "doc_config_summary": (
+        doc_config_summary,
+        f"{_C} SELECT repo_id || '::config_summary::' || source_path AS doc_id, 'config_summary' AS doc_type, repo_id || '::' || source_path || ' 配置摘要' AS title, '仓库 ' || repo_id || ' 的配置摘要。' || {_NL} || {_CFG_HEAD} || {_NL} || '包管理器：' || {_UNIQUE('package_managers')} || {_NL} || '关键结论：' || {_UNIQUE('key_points')} || {_NL} || '脚本或命令：' || {_UNIQUE('scripts_or_commands')} || {_NL} "
+        f"|| '外部服务依赖：' || {_UNIQUE('service_dependencies')} || {_NL} || '环境变量：' || {_UNIQUE('env_vars')} || {_NL} || '摘要：' || coalesce(summary, '') AS content FROM configs_once",
+    ),
+    "doc_config_chunk": (
+        doc_config_chunk,
+        f"{code._CONFIG_CHUNK} SELECT repo_id || '::config_chunk::' || source_path AS doc_id, 'config_chunk' AS doc_type, repo_id || '::' || source_path || ' 配置片段' AS title, '仓库 ' || repo_id || ' 中的配置文件片段。' || {_NL} || {_CFG_HEAD} || {_NL} || '脚本或命令：' || {_UNIQUE('scripts_or_commands')} || {_NL} || '环境变量：' || {_UNIQUE('env_vars')} || {_NL} || '配置片段：' || {_NL} || '```text' || {_NL} || {code._CHUNK} || {_NL} || '```' AS content FROM j JOIN configs_once USING (repo_id, source_path) WHERE c <> ''",
+    ),
+    "doc_key_file_summary": (
+        doc_key_file_summary,
+        f"{LINES}{_RELATIONS}, st AS (SELECT DISTINCT repo_id, path, kind || ' ' || qualified_name || ' @L' || line_start AS t FROM defs), sj AS (SELECT repo_id, path, string_agg(t, ', ' ORDER BY t) AS s FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY t) <= 8) GROUP BY ALL), "
+        "rt AS (SELECT DISTINCT repo_id, path, relation_type || ' ' || target || ' @L' || line_number AS t FROM rl), rj AS (SELECT repo_id, path, string_agg(t, ', ' ORDER BY t) AS r FROM (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY t) <= 8) GROUP BY ALL), "
+        f"b AS (SELECT *, coalesce(nullif(content, ''), '<空内容>') AS body FROM key_files_once) SELECT repo_id || '::key_file::' || path AS doc_id, 'key_file_summary' AS doc_type, repo_id || '::' || path AS title, '仓库 ' || repo_id || ' 的关键文件 ' || path || ' 摘要候选内容。' || {_NL} || '文件大小：' || coalesce(size_bytes::VARCHAR, '') || ' 字节。' || {_NL} || '是否截断：' || CASE WHEN coalesce(truncated, false) OR length(body) > 2000 THEN '是' ELSE '否' END || '。' || {_NL} "
+        f"|| '关键符号：' || coalesce(s, '无') || '。' || {_NL} || '模块依赖：' || coalesce(r, '无') || '。' || {_NL} || '以下内容来自关键文件原文截断，可用于后续检索与 LLM 精炼。' || {_NL} || {_NL} || body[1:2000] AS content FROM b LEFT JOIN sj USING (repo_id, path) LEFT JOIN rj USING (repo_id, path)",
+    ),
+    "doc_subproject_summary": (
+        doc_subproject_summary,
+        f"{_SUBS}, mk AS (SELECT sub.*, concat_ws(', ', CASE WHEN starts_with(lower(root_path), 'packages/') THEN 'package' END, CASE WHEN starts_with(lower(root_path), 'apps/') THEN 'app' END, CASE WHEN starts_with(lower(root_path), 'services/') THEN 'service' END, CASE WHEN starts_with(lower(root_path), 'cmd/') THEN 'command' END, CASE WHEN ws.repo_id IS NOT NULL THEN 'monorepo_workspace' END) AS markers FROM sub LEFT JOIN ws USING (repo_id, root_path)), "
+        f"e0 AS (SELECT DISTINCT repo_id, path FROM files_once WHERE {catalog_signals._ENTRY}), e1 AS (SELECT e0.repo_id, arg_max(sub.root_path, CASE WHEN sub.root_path = '.' THEN 0 ELSE length(sub.root_path) END) AS root_path, e0.path FROM e0 JOIN sub ON sub.repo_id = e0.repo_id AND (sub.root_path = '.' OR starts_with(e0.path, sub.root_path || '/')) GROUP BY e0.repo_id, e0.path), "
+        "ej AS (SELECT repo_id, root_path, string_agg(path, ', ' ORDER BY path) AS entries FROM (SELECT * FROM e1 QUALIFY row_number() OVER (PARTITION BY repo_id, root_path ORDER BY path) <= 50) GROUP BY ALL) "
+        f"SELECT repo_id || '::subproject_summary::' || root_path AS doc_id, 'subproject_summary' AS doc_type, repo_id || '::' || root_path || ' 子项目摘要' AS title, '仓库 ' || repo_id || ' 的子项目摘要。' || {_NL} || '子项目根目录：' || root_path || {_NL} || '语言范围：' || language_scope || {_NL} || '子项目类型：' || project_kind || {_NL} || '子项目标签：' || {_OR('markers')} || {_NL} || '配置文件：' || replace(config_paths, ',', ', ') || {_NL} || '入口文件：' || coalesce(entries, '无') AS content FROM mk LEFT JOIN ej USING (repo_id, root_path)",
+    ),
+    "doc_entrypoint_summary": (doc_entrypoint_summary, None),
+    "embedding_text": (
+        embedding_text,
+        f"{_D} SELECT doc_id, concat_ws({_NL}, '标题: ' || coalesce(title, ''), '类型: ' || coalesce(doc_type, ''), '仓库: ' || coalesce(repo_id, ''), CASE WHEN source_path <> '' THEN '路径: ' || source_path END, "
+        + ", ".join(f"CASE WHEN {_UNIQUE('metadata[' + repr(f) + ']')} <> '无' THEN '{f}: ' || {_UNIQUE('metadata[' + repr(f) + ']')} END" for f in ("subproject_root", "called_symbols"))
+        + ", '正文:', coalesce(content, '')) AS text FROM documents_once",
+    ),
+    "join_dependent_configs": (
+        join_dependent_configs,
+        f"{_SUBS}, kd(key, kind, language) AS (VALUES {catalog_signals._KINDS}), p AS (SELECT f.repo_id, f.path, arg_max(s.root_path, CASE WHEN s.root_path = '.' THEN 0 ELSE length(s.root_path) END) AS root FROM key_files_once f JOIN sub s ON s.repo_id = f.repo_id AND (s.root_path = '.' OR starts_with(f.path, s.root_path || '/')) GROUP BY 1, 2) "
+        "SELECT p.repo_id, p.root, CAST(row_number() OVER (PARTITION BY p.repo_id, p.root ORDER BY p.path) - 1 AS INT) AS k, p.path FROM p JOIN sub ON sub.repo_id = p.repo_id AND sub.root_path = p.root JOIN kd ON kd.key = lower(string_split(p.path, '/')[-1]) AND kd.language = sub.language_scope QUALIFY k < 8",
+    ),
+    "capped_collect": (capped_collect, f"{_C}, e AS (SELECT DISTINCT repo_id, coalesce(subproject_root, '') AS root, unnest(scripts_or_commands) AS command FROM configs_once), r AS (SELECT * FROM e WHERE command IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo_id, root ORDER BY command) <= 5) SELECT repo_id, root, string_agg(command, ', ' ORDER BY command) AS commands FROM r GROUP BY 1, 2"),
     "union_docs": (union_docs, None),
 }

@@ -98,14 +98,6 @@ def confirmed_filter(spark, d):
     return code.signal_argmax(spark, d).groupBy("repo_id").agg(F.count_if(profile.level_rank(F.col("evidence_level")) >= 2).alias("confirmed"), F.count_if(F.col("evidence_level") == "weak").alias("weak"))
 
 
-def join_dependent_configs(spark, d):
-    """For each subproject, its first eight key files in order of path."""
-    roots = profile.subprojects(tables.config_summaries(spark, d)).select("repo_id", F.col("root_path").alias("root"))
-    placed = profile.longest_prefix(tables.key_files(spark, d), roots, ["repo_id"], "path").where("root is not null")
-    ordered = placed.groupBy("repo_id", "root").agg(F.array_sort(F.collect_set("path")).alias("p"))
-    return ordered.select("repo_id", "root", F.posexplode(F.slice("p", 1, 8)).alias("k", "path"))
-
-
 _PACKAGES = " UNION ALL ".join(f"SELECT repo_id, path, '{s}' AS section, e.key AS name, e.value AS value FROM (SELECT repo_id, path, unnest(map_entries(json_transform(content->'{s}', '\"MAP(VARCHAR, VARCHAR)\"'))) AS e FROM v)" for s in ("scripts", "dependencies", "devDependencies"))
 
 QUERIES = {
@@ -141,9 +133,4 @@ QUERIES = {
     "score_coverage": (score_coverage, f"SELECT case_id, round(CASE WHEN c > 0 THEN least(c, 4) * 0.9::DOUBLE + CASE WHEN c >= least(n, 2) THEN 1.2::DOUBLE ELSE 0 END ELSE 0 END, 6) AS score FROM (SELECT case_id, len(list_intersect({texts.tok('query')}, {texts.tok('reference_answer')})) AS c, len({texts.tok('query')}) AS n FROM eval_cases)"),
     "fmt_datetime": (fmt_datetime, f"{with_('repos_once')} SELECT full_name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM repos_once"),
     "confirmed_filter": (confirmed_filter, f"{code._SIGNALS} SELECT repo_id, count(*) FILTER (lv >= 2) AS confirmed, count(*) FILTER (evidence_level = 'weak') AS weak FROM best GROUP BY 1"),
-    "join_dependent_configs": (
-        join_dependent_configs,
-        f"{with_('key_files_once', 'configs_once')}, roots AS (SELECT DISTINCT repo_id, coalesce(nullif(subproject_root, ''), '.') AS root FROM configs_once), p AS (SELECT f.repo_id, f.path, arg_max(r.root, CASE WHEN r.root = '.' THEN 0 ELSE length(r.root) END) AS root FROM key_files_once f JOIN roots r ON r.repo_id = f.repo_id AND (r.root = '.' OR f.path = r.root OR starts_with(f.path, r.root || '/')) GROUP BY 1, 2) "
-        "SELECT repo_id, root, CAST(row_number() OVER (PARTITION BY repo_id, root ORDER BY path) - 1 AS INT) AS k, path FROM p QUALIFY k < 8",
-    ),
 }

@@ -127,14 +127,24 @@ def test_profiles(spark):
 
 
 def test_documents_and_store(spark, tmp_path):
-    repos = spark.createDataFrame([("o/r", "main", "Python", {"Python": 1}, None, 3, "hello"), ("o/s", None, None, None, None, None, " \n")], "full_name string, default_branch string, primary_language string, languages map<string,bigint>, license_name string, stargazers_count bigint, readme string")
-    assert [r.doc_id for r in documents.readme_summaries(repos).collect()] == ["o/r::readme_summary::README"]
-    every = documents.union(documents.readme_summaries(repos), documents.repo_facts(repos))
+    repos = spark.createDataFrame([("o/r", "main", "Python", {"Python": 1}, ["web", " web"], None, 3, " hello"), ("o/s", None, None, None, None, None, None, " \n")], "full_name string, default_branch string, primary_language string, languages map<string,bigint>, topics array<string>, license_name string, stargazers_count bigint, readme string")
+    assert [(r.doc_id, r.content[-7:]) for r in documents.readme_summaries(repos).collect()] == [("o/r::readme_summary", "\n\nhello")]
+    signals = spark.createDataFrame([("o/r", "Flask", "framework", "strong"), ("o/r", "Vue", "framework", "weak"), ("o/r", "Go", "language", "medium")], "repo_id string, name string, category string, evidence_level string")
+    entries = spark.createDataFrame([("o/r", f"m{k:03}/main.py") for k in range(80)], "repo_id string, path string")
+    places = spark.createDataFrame([("o/r", ".", "python", "package")], "repo_id string, root_path string, language_scope string, project_kind string")
+    told = documents.profiles(repos, signals, entries, places, entries, entries.limit(0))
+    summary = {r.repo_id: r.content for r in documents.repo_summaries(told).collect()}
+    assert "技术栈：Flask, Go" in summary["o/r"] and "子项目：.(python/package)" in summary["o/r"] and "关键符号数量：80" in summary["o/r"] and "主语言：未识别" in summary["o/s"]
+    facts = {r.repo_id: r.content for r in documents.repo_facts(told).collect()}
+    assert "topics: web\n" in facts["o/r"] and "frameworks: Flask\n" in facts["o/r"] and facts["o/r"].count("main.py") == documents.LISTED and "stars: 0" in facts["o/s"]
+    every = documents.union(documents.readme_summaries(repos), documents.repo_facts(told))
     documents.write(every, str(tmp_path / "kb"))
     assert documents.read(spark, str(tmp_path / "kb"), "o/s").count() == 1
     documents.write(every.where("repo_id = 'o/s'").withColumn("content", F.lit("new")), str(tmp_path / "kb"))
     assert {(r.repo_id, r.content) for r in documents.read(spark, str(tmp_path / "kb")).where("doc_type = 'repo_fact' and repo_id = 'o/s'").collect()} == {("o/s", "new")}
     assert documents.read(spark, str(tmp_path / "kb")).count() == 3
+    assert documents.delete(spark, str(tmp_path / "kb"), "o/r") and not documents.delete(spark, str(tmp_path / "kb"), "o/r")
+    assert {r.repo_id for r in documents.read(spark, str(tmp_path / "kb")).select("repo_id").distinct().collect()} == {"o/s"}
 
 
 def test_vectors(spark):
@@ -160,8 +170,12 @@ def test_evidence(spark):
     got = {r.claim_id: r.supported for r in answers.supported(claims, evidence).collect()}
     assert got == {"c1": True, "c2": False, "c3": False}
     assert answers.verdict(answers.supported(claims, evidence)).first().verdict == "failed"
-    hits = spark.createDataFrame([("q", "find user", 1, "the user\nfind the user\nfind the user"), ("q", "find user", 2, None)], "query_id string, query string, position int, content string")
-    assert [(r.rank, r.line) for r in answers.selected_lines(hits).orderBy("rank").collect()] == [(1, "find the user"), (2, "the user")]
+    long = "the a.b user " + "x" * 200
+    hits = spark.createDataFrame([("q", "find user a.b", 1, "the user\nfind the user\nfind the user\nnothing", "other"), ("q", "find user a.b", 2, None, None), ("q", "find user a.b", 3, long, "readme_summary")], "query_id string, query string, position int, content string, doc_type string")
+    got = [(r["rank"], r.line, r.score) for r in answers.selected_lines(hits).orderBy("rank").collect()]
+    assert got == [(1, long, 1 + 2 + 2 - 1), (2, "find the user", 2), (3, "the user", 1)]
+    blocks = spark.createDataFrame([("q", "run x", "d", "config_chunk", "```py\n\nreturn x\nrun\n```\nrun x")], "query_id string, query string, doc_id string, doc_type string, content string")
+    assert [(r.line, r.score) for r in answers.chunk_lines(blocks).orderBy("rank").collect()] == [("return x", 3 + 2 + 2), ("run", 3 + 2 + 1)]
 
 
 def test_streamed_upserts(spark, tmp_path, library):
