@@ -38,8 +38,8 @@ def _in_subprojects(rows: DataFrame, subprojects: DataFrame) -> DataFrame:
     return rows.join(profile.longest_prefix(paths, roots, ["repo_id"], "path").withColumnRenamed("root", "subproject_root"), ["repo_id", "path"], "left")
 
 
-def _facts(files: DataFrame, subprojects: DataFrame) -> DataFrame:
-    """Definitions with their calls, returns, decorators and subproject."""
+def facts_of(files: DataFrame, subprojects: DataFrame) -> DataFrame:
+    """What the documents of definitions are made of, to be written once where several builders need it: definitions with their calls, returns, decorators and subproject."""
     called = G.calls(files).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("call_no", "called"))), lambda x: x["called"]).alias("called_symbols"))  # at most MAX_CALLS
     own = G.definitions(files)
     for extra in (called, G.returns(files), G.decorators(files)):
@@ -73,8 +73,8 @@ def _list(column: str) -> Column:
     return F.coalesce(column, F.array().cast("array<string>"))
 
 
-def _functions(files: DataFrame, subprojects: DataFrame) -> DataFrame:
-    own = _facts(files, subprojects).where("kind <> 'class'")
+def _functions(facts: DataFrame) -> DataFrame:
+    own = facts.where("kind <> 'class'")
     name, source = F.col("qualified_name"), F.col("path")
     contained = F.array(_edge(source, name, F.lit("contain_symbol")))
     method = F.when(F.col("owner_class").isNotNull(), F.array(_edge(F.col("owner_class"), name, F.lit("define_method"))))
@@ -82,9 +82,9 @@ def _functions(files: DataFrame, subprojects: DataFrame) -> DataFrame:
     return own.withColumn("edges", F.concat(contained, F.coalesce(method, F.slice(contained, 1, 0)), called))
 
 
-def function_summaries(files: DataFrame, subprojects: DataFrame) -> DataFrame:
+def function_summaries(files: DataFrame, subprojects: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One document for each function and method, with the edges that contain, define and call."""
-    own = _functions(files, subprojects)
+    own = _functions(facts if facts is not None else facts_of(files, subprojects))
     content = lines_text(
         F.concat(F.lit("仓库 "), F.col("repo_id"), F.lit(" 中的函数/方法实现摘要。")),
         ("来源文件", F.col("path")), ("符号名称", F.col("name")), ("限定名", F.col("qualified_name")), ("语言范围", F.col("language_scope")), ("代码位置", line_range(F.col("line_start"), F.col("line_end"))),
@@ -99,10 +99,10 @@ def function_summaries(files: DataFrame, subprojects: DataFrame) -> DataFrame:
     return _document(own, "function_summary", F.col("qualified_name"), F.concat("repo_id", F.lit("::"), "qualified_name", F.lit(" 函数摘要")), content, metadata)
 
 
-def class_summaries(files: DataFrame, subprojects: DataFrame) -> DataFrame:
+def class_summaries(files: DataFrame, subprojects: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One document for each class, with the edges that contain, define its methods and inherit."""
     methods = G.class_methods(G.definitions(files)).select("repo_id", "path", F.col("class_name").alias("qualified_name"), "line_start", "methods", "method_refs")
-    own = _facts(files, subprojects).where("kind = 'class'").join(methods, KEYS, "left")
+    own = (facts if facts is not None else facts_of(files, subprojects)).where("kind = 'class'").join(methods, KEYS, "left")
     name = F.col("qualified_name")
     edges = F.concat(F.array(_edge(F.col("path"), name, F.lit("contain_symbol"))), F.transform("method_refs", lambda m: _edge(name, m, F.lit("define_method"))), F.transform("bases", lambda b: _edge(name, b, F.lit("inherit"))))
     content = lines_text(
@@ -124,9 +124,9 @@ def _with_chunk(rows: DataFrame, files: DataFrame, first: Column, last: Column)
     return held.withColumn("chunk", T.numbered(F.col("content"), first, last, D.CHUNK_LINES, D.CHUNK_CHARS)).where("chunk <> ''")
 
 
-def body_chunks(files: DataFrame, subprojects: DataFrame) -> DataFrame:
+def body_chunks(files: DataFrame, subprojects: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """The source of each function and class: from the line before it to two lines behind it, at most CHUNK_LINES."""
-    own = _with_chunk(_facts(files, subprojects), files, F.col("line_start") - 1, F.col("line_end") + 2)
+    own = _with_chunk(facts if facts is not None else facts_of(files, subprojects), files, F.col("line_start") - 1, F.col("line_end") + 2)
     is_class = F.col("kind") == "class"
     begin = F.greatest(F.col("line_start") - 1, F.lit(1))
     shown = F.size(F.split("chunk", "\n"))

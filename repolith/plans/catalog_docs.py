@@ -10,6 +10,7 @@ from repolith.plans import catalog_code as code
 from repolith.plans import catalog_signals
 from repolith.plans import catalog_text as texts
 from repolith.plans.catalog_graph import _RELATIONS, LINES
+from repolith.session import cut
 from repolith.sources import tables
 
 
@@ -134,13 +135,13 @@ def capped_collect(spark, d):
 
 
 def union_docs(spark, d):
-    """Number and length of the documents of every builder."""
+    """Number and length of the documents of every builder; each is counted on its own, so that no plan holds all of them."""
     files, places = _sources(spark, d)
-    narrow = lambda df: df.select("doc_id", "doc_type", "content")
+    narrow = lambda df: cut(df.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("chars")))
     own = [q(spark, d) for q in (doc_repo_summary, doc_repo_fact, doc_readme_summary, doc_config_summary, doc_config_chunk, doc_entrypoint_summary, doc_subproject_summary, doc_key_file_summary)]
-    own += [codedocs.function_summaries(files, places), codedocs.class_summaries(files, places), codedocs.body_chunks(files, places), codedocs.route_summaries(files, places), codedocs.route_chunks(files, places)]
-    every = documents.union(*map(narrow, own))
-    return every.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("chars"))
+    facts = cut(codedocs.facts_of(files, places))
+    own += [codedocs.function_summaries(files, places, facts), codedocs.class_summaries(files, places, facts), codedocs.body_chunks(files, places, facts), codedocs.route_summaries(files, places), codedocs.route_chunks(files, places)]
+    return documents.union(*map(narrow, own))
 
 
 _FACTS = f"""{LINES},
@@ -209,7 +210,12 @@ QUERIES = {
         + " ".join(f"|| '{n}: ' || {_OR('fc.' + n)} || {_NL}" for n in ("languages", "frameworks", "runtimes", "build_tools", "package_managers", "test_tools", "ci_cd_tools", "deploy_tools"))
         + f" || 'entrypoints: ' || coalesce(entrypoints, '无') || {_NL} || 'subprojects: ' || coalesce(subs, '无') || {_NL} || 'topics: ' || {_UNIQUE('topics')} || {_NL} || 'stars: ' || coalesce(stargazers_count::VARCHAR, '0') || {_NL} || 'license: ' || {_OR('license_name')} AS content FROM repos_once r LEFT JOIN fc ON fc.repo_id = full_name LEFT JOIN en ON en.repo_id = full_name LEFT JOIN sd ON sd.repo_id = full_name",
     ),
-    "doc_repo_summary": (doc_repo_summary, None),
+    "doc_repo_summary": (
+        doc_repo_summary,
+        f"{_PROFILE},\n{LINES[LINES.index('raw AS') :]}{_RELATIONS[: _RELATIONS.index(',' + chr(10) + 'ps AS')]}, sc AS (SELECT repo_id, count(*) AS n FROM defs GROUP BY 1), rc AS (SELECT repo_id, count(*) AS n FROM rl GROUP BY 1) "
+        f"SELECT full_name || '::repo_summary' AS doc_id, 'repo_summary' AS doc_type, full_name || ' 仓库摘要' AS title, '仓库 ' || full_name || ' 的项目概览。' || {_NL} || '主语言：' || {_OR('primary_language', '未识别')} || {_NL} || '技术栈：' || {_OR('stack')} || {_NL} || '框架：' || {_OR('fc.frameworks')} || {_NL} || '运行时：' || {_OR('fc.runtimes')} || {_NL} || '构建工具：' || {_OR('fc.build_tools')} || {_NL} "
+        f"|| '包管理器：' || {_OR('fc.package_managers')} || {_NL} || '入口文件：' || coalesce(entrypoints, '无') || {_NL} || '子项目：' || coalesce(subs, '无') || {_NL} || '关键符号数量：' || coalesce(sc.n, 0) || {_NL} || '模块依赖关系数量：' || coalesce(rc.n, 0) AS content FROM repos_once r LEFT JOIN fc ON fc.repo_id = full_name LEFT JOIN en ON en.repo_id = full_name LEFT JOIN sd ON sd.repo_id = full_name LEFT JOIN sc ON sc.repo_id = full_name LEFT JOIN rc ON rc.repo_id = full_name",
+    ),
     "doc_readme_summary": (doc_readme_summary, f"{_R} SELECT full_name || '::readme_summary' AS doc_id, 'readme_summary' AS doc_type, full_name || ' README 摘要' AS title, '仓库 ' || full_name || ' 的 README 摘要候选内容。' || {_NL} || '以下内容来自 README 原文截断，可用于后续检索与 LLM 精炼。' || {_NL} || {_NL} || (regexp_replace(readme, '^\\s+|\\s+$', '', 'g'))[1:2000] AS content FROM repos_once WHERE regexp_matches(readme, '\\S')"),
     "doc_config_summary": (
         doc_config_summary,
@@ -234,7 +240,14 @@ QUERIES = {
         "ej AS (SELECT repo_id, root_path, string_agg(path, ', ' ORDER BY path) AS entries FROM (SELECT * FROM e1 QUALIFY row_number() OVER (PARTITION BY repo_id, root_path ORDER BY path) <= 50) GROUP BY ALL) "
         f"SELECT repo_id || '::subproject_summary::' || root_path AS doc_id, 'subproject_summary' AS doc_type, repo_id || '::' || root_path || ' 子项目摘要' AS title, '仓库 ' || repo_id || ' 的子项目摘要。' || {_NL} || '子项目根目录：' || root_path || {_NL} || '语言范围：' || language_scope || {_NL} || '子项目类型：' || project_kind || {_NL} || '子项目标签：' || {_OR('markers')} || {_NL} || '配置文件：' || replace(config_paths, ',', ', ') || {_NL} || '入口文件：' || coalesce(entries, '无') AS content FROM mk LEFT JOIN ej USING (repo_id, root_path)",
     ),
-    "doc_entrypoint_summary": (doc_entrypoint_summary, None),
+    "doc_entrypoint_summary": (
+        doc_entrypoint_summary,
+        f"{_SUBS}, k(key, entry_kind, scope) AS (VALUES {catalog_signals._ENTRIES}), sv(word, name) AS (VALUES {catalog_signals._SERVICES}), e AS (SELECT f.repo_id, f.path, k.scope, coalesce(f.content, '') AS content, CASE WHEN regexp_matches(lower(content), 'argparse|typer|click|commander|yargs') THEN 'cli' WHEN regexp_matches(lower(content), 'fastapi|flask|django|uvicorn|express|nestjs|http\\.handlefunc') THEN 'web_api' "
+        f"WHEN regexp_matches(lower(content), 'reactdom\\.createroot|createroot\\(|createapp\\(|render\\(|vite/client') THEN 'frontend' WHEN regexp_matches(lower(content), 'celery|worker|consumer|bullmq|rq worker') THEN 'worker' WHEN regexp_matches(lower(content), 'langgraph|stategraph|workflow') THEN 'workflow' ELSE entry_kind END AS kind FROM key_files_once f JOIN k ON key = {catalog_signals._NAME} WHERE content <> ''), "
+        "pr AS (SELECT e.repo_id, e.path, arg_max(s.root_path, CASE WHEN s.root_path = '.' THEN 0 ELSE length(s.root_path) END) AS root FROM e JOIN sub s ON s.repo_id = e.repo_id AND (s.root_path = '.' OR starts_with(e.path, s.root_path || '/')) GROUP BY 1, 2), "
+        "o(name, n) AS (SELECT name, min(n) FROM (SELECT name, row_number() OVER () AS n FROM sv) GROUP BY 1), se AS (SELECT repo_id, path, string_agg(name, ', ' ORDER BY n) AS services FROM (SELECT DISTINCT e.repo_id, e.path, sv.name FROM e JOIN sv ON contains(lower(e.content), sv.word)) JOIN o USING (name) GROUP BY 1, 2) "
+        f"SELECT e.repo_id || '::entrypoint_summary::' || e.path AS doc_id, 'entrypoint_summary' AS doc_type, e.repo_id || '::' || e.path || ' 入口摘要' AS title, '仓库 ' || e.repo_id || ' 的入口摘要。' || {_NL} || '来源文件：' || e.path || {_NL} || '入口类型：' || kind || {_NL} || '语言范围：' || scope || {_NL} || '所属子项目：' || coalesce(root, '无') || {_NL} || '外部服务依赖：' || coalesce(services, '无') AS content FROM e LEFT JOIN pr USING (repo_id, path) LEFT JOIN se USING (repo_id, path)",
+    ),
     "embedding_text": (
         embedding_text,
         f"{_D} SELECT doc_id, concat_ws({_NL}, '标题: ' || coalesce(title, ''), '类型: ' || coalesce(doc_type, ''), '仓库: ' || coalesce(repo_id, ''), CASE WHEN source_path <> '' THEN '路径: ' || source_path END, "

@@ -30,8 +30,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored key files, one row for each path of a repository."""
-    return latest(table(spark, sf_dir, "key_files"), ["repo_id", "path"], F.col("size_bytes").desc_nulls_last(), F.col("content"), F.col("truncated"))
+    """Stored key files, one row for each path of a repository. Repeated rows have the same content, which is no part of the order, so that queries over paths don't read it."""
+    return latest(table(spark, sf_dir, "key_files"), ["repo_id", "path"], F.col("size_bytes").desc_nulls_last(), F.col("truncated"))
 
 
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def config_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_FORMS = {
     "documents_once": ("knowledge_docs", "doc_id", "indexed_at DESC NULLS LAST, title NULLS FIRST, source_path NULLS FIRST"),
     "files_once": ("files", "repo_id, path", "scanned_at DESC NULLS LAST, size_bytes NULLS FIRST, extension NULLS FIRST, is_key_file NULLS FIRST"),
-    "key_files_once": ("key_files", "repo_id, path", "size_bytes DESC NULLS LAST, content NULLS FIRST, truncated NULLS FIRST"),
+    "key_files_once": ("key_files", "repo_id, path", "size_bytes DESC NULLS LAST, truncated NULLS FIRST"),
     "repos_once": ("repos", "full_name", "fetched_at DESC NULLS LAST, stargazers_count DESC NULLS LAST, html_url NULLS FIRST"),
     "configs_once": ("config_summaries", "repo_id, source_path", "summary NULLS FIRST, config_kind NULLS FIRST, language_scope NULLS FIRST"),
 }
