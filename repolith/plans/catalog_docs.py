@@ -138,7 +138,8 @@ def union_docs(spark, d):
     """Number and length of the documents of every builder; each is counted on its own, so that no plan holds all of them."""
     files, places = _sources(spark, d)
     narrow = lambda df: cut(df.groupBy("doc_type").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("chars")))
-    own = [q(spark, d) for q in (doc_repo_summary, doc_repo_fact, doc_readme_summary, doc_config_summary, doc_config_chunk, doc_entrypoint_summary, doc_subproject_summary, doc_key_file_summary)]
+    told = cut(_profiles(spark, d))
+    own = [documents.repo_summaries(told), documents.repo_facts(told)] + [q(spark, d) for q in (doc_readme_summary, doc_config_summary, doc_config_chunk, doc_entrypoint_summary, doc_subproject_summary, doc_key_file_summary)]
     facts = cut(codedocs.facts_of(files, places))
     own += [codedocs.function_summaries(files, places, facts), codedocs.class_summaries(files, places, facts), codedocs.body_chunks(files, places, facts), codedocs.route_summaries(files, places), codedocs.route_chunks(files, places)]
     return documents.union(*map(narrow, own))
