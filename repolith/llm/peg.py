@@ -247,31 +247,36 @@ class _Writer:
     def written(self, rule: str) -> Callable[[str], tuple[int, int]]:
         needed = self.grammar._closure(rule) | {rule}
         named = [n for n in self.grammar.rules if n in needed and (self.traced or n in self.grammar.recursive or n == rule)]
-        self._put(0, "def parse(s):")
-        if self.traced:
-            self._put(1, "far = [0]")
+        # the text and the tables are the module's own, so that a parse leaves no cycles of functions behind
+        self.names |= {"s": "", "far": [0]}
         for name in named:
-            self._put(1, f"M_{name} = {{}}")
-            self._put(1, f"G_{name} = M_{name}.get")
-            self._put(1, f"def r_{name}(i):")
-            self._put(2, f"out = G_{name}(i)")
-            self._put(2, "if out is not None: return out")
+            self._put(0, f"M_{name} = {{}}")
+            self._put(0, f"G_{name} = M_{name}.get")
+            self._put(0, f"def r_{name}(i):")
+            self._put(1, f"out = G_{name}(i)")
+            self._put(1, "if out is not None: return out")
             shared = not self.traced and name in self.grammar.lines
             if shared:
                 table = self._value(("table", name), lambda n=name: self.grammar.tables[n])
-                self._put(2, f"end = s.find({self.grammar.lines[name]!r}, i) + 1")
-                self._put(2, "line = s[i:end]")
-                self._put(2, f"held = {table}.get(line)")
-                self._put(2, "if held is not None:")
-                self._put(3, f"out = M_{name}[i] = end if held else -1")
-                self._put(3, "return out")
-            self.write(self.grammar.rules[name], "i", "out", 2)
+                self._put(1, f"end = s.find({self.grammar.lines[name]!r}, i) + 1")
+                self._put(1, "line = s[i:end]")
+                self._put(1, f"held = {table}.get(line)")
+                self._put(1, "if held is not None:")
+                self._put(2, f"out = M_{name}[i] = end if held else -1")
+                self._put(2, "return out")
+            self.write(self.grammar.rules[name], "i", "out", 1)
             if shared:
-                self._put(2, f"if len({table}) >= {KEPT_LINES}: {table}.clear()")
-                self._put(2, f"if end: {table}[line] = out == end")
-            self._put(2, f"M_{name}[i] = out")
-            self._put(2, "return out")
-        self._put(1, f"return r_{rule}(0), {'far[0]' if self.traced else '0'}")
+                self._put(1, f"if len({table}) >= {KEPT_LINES}: {table}.clear()")
+                self._put(1, f"if end: {table}[line] = out == end")
+            self._put(1, f"M_{name}[i] = out")
+            self._put(1, "return out")
+        self._put(0, "def parse(text):")
+        self._put(1, "global s")
+        self._put(1, "s, far[0] = text, 0")
+        self._put(1, "try:")
+        self._put(2, f"return r_{rule}(0), far[0]")
+        self._put(1, "finally:")
+        self._put(2, "; ".join(f"M_{name}.clear()" for name in named))
         exec(compile("\n".join(self.lines), f"<grammar {rule}>", "exec"), self.names)  # noqa: S102 (text made above from the grammar alone)
         return self.names["parse"]
 
