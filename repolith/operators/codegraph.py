@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import text as T
 from repolith.operators import codeindex as C
+from repolith.session import cut
 
 #: Called symbols that are kept of each definition, as the caps of the index ask.
 MAX_CALLS = 12
@@ -79,9 +80,9 @@ def _language() -> Column:
     return reduce(lambda chain, x: chain.when(ending.isin(C.SUFFIXES[x]), x), C.SUFFIXES, F)
 
 
-def owned_lines(files: DataFrame) -> DataFrame:
-    """Every line of Python and script files with its definition, the statement at the margin that it belongs to, and the definition around it."""
-    own = C.numbered_lines(files.where(_language().isin(list(_RULES)))).withColumn("language", _language())
+def owned_lines(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """Every line of Python and script files (or of all given languages) with its definition, the statement at the margin that it belongs to, and the definition around it."""
+    own = C.numbered_lines(files.where(_language().isin(languages or list(_RULES)))).withColumn("language", _language())
     lines = own.withColumn("rule", reduce(lambda chain, x: chain.when(F.col("language") == x, _rule(x)), _RULES, F))
     top = F.col("line").rlike(TOP)
     held = lines.withColumn("top", top).withColumn(
@@ -94,6 +95,16 @@ def owned_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def _above(rest: Column) -> Column:
+    """The classes that a class is derived from, of what stands behind its name."""
+    return F.slice(T.ordered_distinct(F.filter(F.split(_without_types(rest), ","), lambda p: ~p.contains("="))), 1, MAX_BASES)
+
+
+def _without_types(rest: Column) -> Column:
+    # type arguments hold commas of their own
+    return F.regexp_replace(F.regexp_replace(rest, r"\[[^\[\]]*\]", ""), r"\[[^\[\]]*\]", "")
+
+
 def definitions(files: DataFrame) -> DataFrame:
     """(repo_id, path, language, kind, name, owner_class, qualified_name, line_start, line_end, parameters, bases, is_async,
     signature), one row for each class, function and method."""
@@ -102,11 +113,7 @@ def definitions(files: DataFrame) -> DataFrame:
     ends = F.first(F.when(F.col("top"), F.col("line_number")), ignorenulls=True).over(_behind())
     following = F.first(F.when(F.col("top") | named, F.col("line_number")), ignorenulls=True).over(_behind())
     until = F.coalesce(F.when(F.col("rule.kind") == "class", ends).otherwise(following) - 1, F.col("last_line"))
-    # type arguments hold commas of their own
-    bare = F.regexp_replace(F.regexp_replace("rule.rest", r"\[[^\[\]]*\]", ""), r"\[[^\[\]]*\]", "")
-    pieces = F.split(bare, ",")
-    parts = T.ordered_distinct(F.transform(pieces, lambda p: F.regexp_replace(T.strip(p), r"\s*[:=].*$", "")))
-    above = F.slice(T.ordered_distinct(F.filter(pieces, lambda p: ~p.contains("="))), 1, MAX_BASES)
+    parts = T.ordered_distinct(F.transform(F.split(_without_types(F.col("rule.rest")), ","), lambda p: F.regexp_replace(T.strip(p), r"\s*[:=].*$", "")))
     is_class = F.col("rule.kind") == "class"
     empty = F.array().cast("array<string>")
     return (
@@ -114,7 +121,7 @@ def definitions(files: DataFrame) -> DataFrame:
         .where(named)
         .select(
             "repo_id", "path", "language", F.col("rule.kind").alias("kind"), F.col("rule.name").alias("name"), F.when(F.col("rule.kind") == "method", F.col("owner.name")).alias("owner_class"), "qualified_name",
-            F.col("line_number").alias("line_start"), "line_end", F.when(is_class, empty).otherwise(parts).alias("parameters"), F.when(is_class, above).otherwise(empty).alias("bases"), F.col("rule.is_async").alias("is_async"),
+            F.col("line_number").alias("line_start"), "line_end", F.when(is_class, empty).otherwise(parts).alias("parameters"), F.when(is_class, _above(F.col("rule.rest"))).otherwise(empty).alias("bases"), F.col("rule.is_async").alias("is_async"),
             T.strip(F.regexp_replace("line", r"\s*[:{]\s*$", "")).alias("signature"),
         )
     )
@@ -127,8 +134,12 @@ def normalized_call(name: Column, language: Column) -> Column:
 
 def calls(files: DataFrame) -> DataFrame:
     """(repo_id, path, qualified_name, line_start, called, call_no, line_number): the first MAX_CALLS different names that each function and method calls, in order."""
-    inside = owned_lines(files).where("inside.name is not null and qualified_name is null")
-    found = inside.select("repo_id", "path", "language", F.col("inside.name").alias("qualified_name"), F.col("inside.line_start").alias("line_start"), "line_number", F.posexplode(F.regexp_extract_all("line", F.lit(CALL), F.lit(1))).alias("k", "called"))
+    return _ranked_calls(owned_lines(files).where("inside.name is not null and qualified_name is null").withColumn("calls", F.regexp_extract_all("line", F.lit(CALL), F.lit(1))))
+
+
+def _ranked_calls(inside: DataFrame) -> DataFrame:
+    """The same of lines inside of definitions with the names that they call."""
+    found = inside.select("repo_id", "path", "language", F.col("inside.name").alias("qualified_name"), F.col("inside.line_start").alias("line_start"), "line_number", F.posexplode("calls").alias("k", "called"))
     bare = found.withColumn("called", normalized_call(F.col("called"), F.col("language"))).where(~F.col("called").isin(NO_CALLS))
     once = bare.groupBy("repo_id", "path", "qualified_name", "line_start", "called").agg(F.min(F.struct("line_number", "k")).alias("at"))
     order = Window.partitionBy("repo_id", "path", "qualified_name", "line_start").orderBy("at", "called")
@@ -157,17 +168,20 @@ def decorators(files: DataFrame) -> DataFrame:
     return _first_lines(found.select("repo_id", "path", F.col("of.qualified_name").alias("qualified_name"), F.col("of.line_start").alias("line_start"), "line_number", "value"), "value", MAX_DECORATORS, "decorators")
 
 
-def _python_routes(files: DataFrame) -> DataFrame:
-    lines = owned_lines(C.of_language(files, "py"))
+def _next_handler() -> Column:
+    named = F.struct(F.col("rule.name").alias("name"), F.coalesce("qualified_name", "rule.name").alias("qualified"))
+    return F.first(F.when(F.col("rule.kind").isin("function", "method"), named), ignorenulls=True).over(_behind())
+
+
+def _python_routes(lines: DataFrame) -> DataFrame:
+    """Routes of decorating lines with the function behind them as handler."""
     verb = F.lower(F.regexp_extract("line", PYTHON_ROUTE, 2))
     listed = T.ordered_distinct(F.transform(F.regexp_extract_all(F.regexp_extract("line", r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"[\"']([A-Za-z]+)[\"']"), F.lit(1)), F.upper))
     methods = F.when(verb == "websocket", F.array(F.lit("WEBSOCKET"))).when(~verb.isin("route", "api_route"), F.array(F.upper(verb))).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))
     on_router = F.lower(F.regexp_extract("line", PYTHON_ROUTE, 1)).contains("router")
     framework = F.when(verb.isin("api_route", "websocket") | on_router, "fastapi").when(verb == "route", "flask")
-    handler = F.first(F.when(F.col("rule.kind").isin("function", "method"), F.struct(F.col("rule.name").alias("name"), F.coalesce("qualified_name", "rule.name").alias("qualified"))), ignorenulls=True).over(_behind())
     return (
-        lines.withColumn("handler", handler)
-        .where(verb != "")
+        lines.where(verb != "")
         .select("repo_id", "path", F.lit("py").alias("language"), F.regexp_extract("line", PYTHON_ROUTE, 3).alias("route_path"), methods.alias("http_methods"), framework.alias("framework"), F.col("handler.name").alias("handler_name"), F.col("handler.qualified").alias("handler_qualified_name"), "line_number")
         .where("handler_name is not null")
     )
@@ -195,7 +209,12 @@ def _script_routes(files: DataFrame) -> DataFrame:
 def routes(files: DataFrame) -> DataFrame:
     """(repo_id, path, language, route_path, http_methods, framework, handler_name, handler_qualified_name, line_number) of decorators in Python and registrations
     on an app or a router in scripts, over several lines too. Equal registrations in a file count at their first place."""
-    return _python_routes(files).unionByName(_script_routes(files)).dropDuplicates(["repo_id", "path", "route_path", "http_methods", "handler_qualified_name"])
+    lines = owned_lines(C.of_language(files, "py")).withColumn("handler", _next_handler())
+    return _distinct_routes(_python_routes(lines), _script_routes(files))
+
+
+def _distinct_routes(*found: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["repo_id", "path", "route_path", "http_methods", "handler_qualified_name"])
 
 
 def route_handlers(routes: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -219,15 +238,24 @@ def class_methods(definitions: DataFrame) -> DataFrame:
     return joined.select("repo_id", "path", "class_name", "line_start", "bases", names("name").alias("methods"), names("qualified_name").alias("method_refs"))
 
 
-def _ruled_lines(files: DataFrame, rules: dict[str, list[tuple[str, str]]], kind: str, name: str) -> DataFrame:
-    """One pass over the lines of all languages of the rules."""
-    lines = C.numbered_lines(files.where(_language().isin(list(rules)))).withColumn("language", _language())
+def _ruled(rules: dict[str, list[tuple[str, str]]]) -> Column:
+    """struct(kind, name) of the first rule of the line's language that fits; null where none does."""
     chain: Column = F
     for language, patterns in rules.items():
         for what, pattern in patterns:
             found = F.regexp_extract("line", pattern, 1)
             chain = chain.when((F.col("language") == language) & (found != ""), F.struct(F.lit(what).alias("kind"), T.strip(found).alias("name")))
-    return lines.withColumn("rule", chain).where("rule is not null").select("repo_id", "path", F.col("rule.kind").alias(kind), F.col("rule.name").alias(name), "line_number")
+    return chain
+
+
+def _ruled_lines(files: DataFrame, rules: dict[str, list[tuple[str, str]]], kind: str, name: str) -> DataFrame:
+    """One pass over the lines of all languages of the rules."""
+    lines = C.numbered_lines(files.where(_language().isin(list(rules)))).withColumn("language", _language())
+    return lines.withColumn("rule", _ruled(rules)).where("rule is not null").select("repo_id", "path", F.col("rule.kind").alias(kind), F.col("rule.name").alias(name), "line_number")
+
+
+#: What the languages without definitions and the rules of scripts add.
+PLAIN_RULES = {"js": [x for x in C.SYMBOL_RULES["js"] if x[0] == "interface"], "go": C.SYMBOL_RULES["go"], "rs": C.SYMBOL_RULES["rs"]}
 
 
 def relations(files: DataFrame) -> DataFrame:
@@ -237,8 +265,7 @@ def relations(files: DataFrame) -> DataFrame:
 
 def plain_symbols(files: DataFrame) -> DataFrame:
     """(repo_id, path, symbol_type, name, line_number) of what the languages without definitions and the script rules add: functions of Go and Rust, interfaces."""
-    rules = {"js": [x for x in C.SYMBOL_RULES["js"] if x[0] == "interface"], "go": C.SYMBOL_RULES["go"], "rs": C.SYMBOL_RULES["rs"]}
-    return _ruled_lines(files, rules, "symbol_type", "name")
+    return _ruled_lines(files, PLAIN_RULES, "symbol_type", "name")
 
 
 def _route_ref(methods: Column, path: Column, separator: str) -> Column:
@@ -264,18 +291,31 @@ def edges(files: DataFrame) -> DataFrame:
     handlers and the calls of these."""
     col, lit = F.col, F.lit
     edge = lambda source, target, kind: F.struct(source.alias("source_ref"), target.alias("target_ref"), kind.alias("relation_type"))
-    rows = lambda df, line, *made: df.select("repo_id", "path", line.alias("line_number"), F.explode(F.array_compact(F.array(*made))).alias("e"))
-    own, called, routed = definitions(files), calls(files), routes(files)
-    method = F.when(col("owner_class").isNotNull(), edge(col("owner_class"), col("qualified_name"), lit("define_method")))
+    # one pass over the lines leaves a narrow row of each that says something
+    lines = owned_lines(files, list(C.SUFFIXES)).withColumn("handler", _next_handler()).withColumn("relation", _ruled(C.RELATION_RULES)).withColumn("symbol", _ruled(PLAIN_RULES))
+    called_here = F.when(col("inside.name").isNotNull() & col("qualified_name").isNull() & col("language").isin(list(_RULES)), F.regexp_extract_all("line", lit(CALL), lit(1)))
+    decorates = F.when((col("language") == "py") & col("line").rlike(PYTHON_ROUTE), col("line"))
+    told = lines.withColumn("calls", F.coalesce(called_here, F.array().cast("array<string>"))).withColumn("line", decorates)
+    held = cut(told.where("qualified_name is not null or relation is not null or symbol is not null or size(calls) > 0 or line is not null").select("repo_id", "path", "language", "line_number", "line", "rule", "owner", "qualified_name", "inside", "handler", "relation", "symbol", "calls"))
+
+    name, defined = col("qualified_name"), col("qualified_name").isNotNull()
+    single = [
+        F.when(col("relation").isNotNull(), edge(col("path"), col("relation.name"), col("relation.kind"))),
+        F.when(col("symbol.kind") != "function", edge(col("path"), col("symbol.name"), lit("contain_symbol"))),
+        F.when(defined, edge(col("path"), name, lit("contain_symbol"))),
+        F.when(defined & (col("rule.kind") == "method"), edge(col("owner.name"), name, lit("define_method"))),
+    ]
+    bases = F.when(defined & (col("rule.kind") == "class"), _above(col("rule.rest"))).otherwise(F.array().cast("array<string>"))
+    of_lines = F.concat(F.array_compact(F.array(*single)), F.transform(bases, lambda b: edge(name, b, lit("inherit"))))
+    called = _ranked_calls(held.where("size(calls) > 0"))
+    routed = cut(_distinct_routes(_python_routes(held.where("line is not null")), _script_routes(files)))
     route_ref = _route_ref(col("http_methods"), col("route_path"), ",")
     by_route = routed.join(called.select("repo_id", "path", col("qualified_name").alias("handler_qualified_name"), "called"), ["repo_id", "path", "handler_qualified_name"])
+    call = lambda source: edge(source, col("called"), C.call_relation(col("called"))).alias("e")
     branches = [
-        rows(relations(files), col("line_number"), edge(col("path"), col("target"), col("relation_type"))),
-        rows(plain_symbols(files).where("symbol_type <> 'function'"), col("line_number"), edge(col("path"), col("name"), lit("contain_symbol"))),
-        rows(own, col("line_start"), edge(col("path"), col("qualified_name"), lit("contain_symbol")), method),
-        rows(own.withColumn("base", F.explode("bases")), col("line_start"), edge(col("qualified_name"), col("base"), lit("inherit"))),
-        rows(called, col("line_start"), edge(col("qualified_name"), col("called"), C.call_relation(col("called")))),
-        rows(routed, col("line_number"), edge(col("path"), route_ref, lit("contain_route")), edge(route_ref, col("handler_qualified_name"), lit("handle_route"))),
-        rows(by_route, col("line_number"), edge(col("handler_qualified_name"), col("called"), C.call_relation(col("called")))),
+        held.select("repo_id", "path", "line_number", F.explode(of_lines).alias("e")),
+        called.select("repo_id", "path", col("line_start").alias("line_number"), call(name)),
+        routed.select("repo_id", "path", "line_number", F.explode(F.array(edge(col("path"), route_ref, lit("contain_route")), edge(route_ref, col("handler_qualified_name"), lit("handle_route")))).alias("e")),
+        by_route.select("repo_id", "path", "line_number", call(col("handler_qualified_name"))),
     ]
     return reduce(DataFrame.unionByName, branches).select("repo_id", "e.*", "path", "line_number").distinct()
