@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repolith.functions import text as T
-from repolith.operators import answers, assets, codeindex, documents, graph, profile, vectors
+from repolith.operators import answers, assets, codeindex, graph, profile, signals, vectors
 from repolith.operators import search as S
 from repolith.plans import catalog_text as texts
 from repolith.sources import tables
@@ -94,7 +94,8 @@ def primary_language(spark, d):
 
 def join_signal_rules(spark, d):
     targets = graph.all_relations(tables.key_files(spark, d)).select("repo_id", "target").distinct()
-    names = tables.config_summaries(spark, d).select("repo_id", F.explode("service_dependencies").alias("target")).unionByName(targets)
+    named = tables.key_files(spark, d).select("repo_id", F.explode(signals.services(F.col("content"))).alias("target"))
+    names = tables.config_summaries(spark, d).select("repo_id", F.explode("service_dependencies").alias("target")).unionByName(targets).unionByName(named)
     ruled = names.withColumn("rule", profile.rule_of(F.col("target")))
     return ruled.groupBy(F.coalesce(F.col("rule.name"), F.lit("none")).alias("signal")).agg(F.count(F.lit(1)).alias("n_targets"))
 
@@ -267,7 +268,7 @@ QUERIES = {
     "primary_language": (primary_language, f"{_SIGNALS} SELECT repo_id, name AS primary_language FROM best QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY lv > 1 DESC, lv DESC, lower(name)) = 1"),
     "join_signal_rules": (
         join_signal_rules,
-        f"{with_('key_files_once', 'configs_once')}, {_LINES}, r AS ({_ALL_RELATIONS}), u AS (SELECT DISTINCT repo_id, target FROM r UNION ALL SELECT repo_id, unnest(service_dependencies) FROM configs_once), "
+        f"{with_('key_files_once', 'configs_once')}, {_LINES}, r AS ({_ALL_RELATIONS}), u AS (SELECT DISTINCT repo_id, target FROM r UNION ALL SELECT repo_id, unnest(service_dependencies) FROM configs_once UNION ALL SELECT repo_id, name FROM (SELECT DISTINCT k.repo_id, k.path, s.name FROM key_files_once k JOIN (VALUES ('postgres','PostgreSQL'),('psycopg','PostgreSQL'),('mysql','MySQL'),('mariadb','MariaDB'),('sqlite','SQLite'),('redis','Redis'),('mongo','MongoDB'),('rabbitmq','RabbitMQ'),('amqp','RabbitMQ'),('kafka','Kafka'),('bullmq','Redis/BullMQ'),('celery','Celery'),('s3','S3'),('minio','MinIO'),('elasticsearch','Elasticsearch'),('meilisearch','Meilisearch')) s(word, name) ON contains(lower(k.content), s.word))), "
         f"b AS (SELECT trim(regexp_replace(trim(lower(coalesce(target, ''))), '(?s)[\\[<>=~! ].*$', '')) AS t FROM u) SELECT signal, count(*) AS n_targets FROM (SELECT CASE {_RULES} AS signal FROM b) GROUP BY signal",
     ),
     "infer_subprojects": (infer_subprojects, f"{_SUB} SELECT repo_id, root_path, language_scope, config_count FROM sub"),
