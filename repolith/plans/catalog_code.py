@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repolith.functions import text as T
 from repolith.operators import answers, assets, codeindex, graph, profile, signals, vectors
 from repolith.operators import search as S
 from repolith.plans import catalog_text as texts

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from repolith.operators import codedocs, codegraph, documents, profile, signals
 from repolith.plans import catalog_code as code
 from repolith.plans import catalog_signals
-from repolith.plans import catalog_text as texts
 from repolith.plans.catalog_graph import _RELATIONS, LINES
 from repolith.session import cut
 from repolith.sources import tables
