@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions import text as T
@@ -33,13 +33,22 @@ def rezipped(documents: DataFrame, first: str, second: str) -> DataFrame:
     return documents.select("doc_id", F.posexplode(zipped).alias("k", "e")).select("doc_id", "k", F.col("e.left").alias("left"), F.col("e.right").alias("right"))
 
 
-def defined_keys(documents: DataFrame) -> DataFrame:
-    """(repo_id, doc_id, key): the keys under which a document is found: of its own symbol, the last part of its id, and of those on its line of symbols."""
-    parts = F.split("doc_id", "::")
+def keys_defined(doc_id: Column, content: Column) -> Column:
+    """The keys under which a document is found: of its own symbol, the last part of its id, and of those on its line of symbols."""
+    parts = F.split(doc_id, "::")
     own = F.when(F.size(parts) >= 4, F.array(F.element_at(parts, -1))).otherwise(F.array().cast("array<string>"))
-    listed = F.split(T.prefixed_value(F.col("content"), "symbols:"), r",\s*")
-    keys = F.array_distinct(F.flatten(F.transform(F.concat(own, listed), T.expand_keys)))
-    return documents.select("repo_id", "doc_id", F.explode(keys).alias("key"))
+    listed = F.split(T.prefixed_value(content, "symbols:"), r",\s*")
+    return F.array_distinct(F.flatten(F.transform(F.concat(own, listed), T.expand_keys)))
+
+
+def keys_called(metadata: Column) -> Column:
+    """The keys under which the calls of a document are looked up."""
+    return F.array_distinct(F.flatten(F.transform(T.metadata_values(metadata, "called_symbols"), T.expand_keys)))
+
+
+def defined_keys(documents: DataFrame) -> DataFrame:
+    """(repo_id, doc_id, key): the keys under which a document is found."""
+    return documents.select("repo_id", "doc_id", F.explode(keys_defined(F.col("doc_id"), F.col("content"))).alias("key"))
 
 
 def call_targets(documents: DataFrame) -> DataFrame:

@@ -187,6 +187,36 @@ def chain_score(labels: Column) -> Column:
     return F.greatest(F.size(labels) - 1, F.lit(0)) * 10 + roles + F.when(F.contains(F.get(labels, F.lit(0)), F.lit("/")), 2).otherwise(0)
 
 
+def best_chains(calls: DataFrame, defined: DataFrame, limit: int) -> DataFrame:
+    """(root, chain, score, rank): the `limit` best chains of at most two calls from each document, by score and text. calls, defined: repo_id, doc_id, key; a document calls
+    those that are found under its keys, but not itself. A chain ends at two calls or where nothing is called; none comes back to its root.
+
+    Neither the calls between documents nor the chains, which grow as the square and the cube of a repository, are listed. The part behind the root is ranked for each
+    key, as it scores and sorts alike for all roots that call the key. Of the parts better than one of a root's best, fewer than `limit` are the root's own; the others begin at
+    the root or end at it. So it is enough to keep limit + 1 ends of each document, limit + 1 documents before each end, and 3 * limit + 2 parts of each key.
+    """
+    label = lambda doc: F.element_at(F.split(doc, "::"), -1)
+
+    def first(rows: DataFrame, n: int, keys: list[str], *order: Column) -> DataFrame:
+        """Rows with the n first values of the order; Spark cuts each partition down before the shuffle."""
+        return rows.withColumn("n", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= n).drop("n")
+
+    at = ["repo_id", "key"]
+    known = defined.select(*at, F.col("doc_id").alias("end"), C.role_priority(label(F.col("doc_id"))).alias("role"))
+    ends = calls.join(first(known, limit + 2, at, F.desc("role"), F.col("end")), at).where("doc_id <> end")
+    ends = first(ends, limit + 1, ["doc_id"], F.desc("role"), F.col("end")).select("doc_id", "end").distinct()
+    labels = F.filter(F.array(F.lit(""), label(F.col("doc_id")), label(F.col("end"))), lambda x: x.isNotNull())
+    parts = defined.join(ends, "doc_id", "left").withColumn("part", F.concat(F.lit(" -> "), "doc_id", F.coalesce(F.concat(F.lit(" -> "), "end"), F.lit("")))).withColumn("labels", labels)
+    order = [F.desc("score"), F.col("part")]
+    parts = first(parts.withColumn("score", chain_score(F.col("labels"))), limit + 1, [*at, "end"], *order)
+    parts = first(parts, 3 * limit + 2, at, *order).withColumnRenamed("doc_id", "next")
+    own = calls.withColumnRenamed("doc_id", "root").join(parts, at).where("root <> next and (end is null or root <> end)")
+    # The same part comes once for each key under which it is called.
+    once = first(own, limit, ["root"], *order).select("root", "part", "labels").distinct()
+    chains = once.select("root", F.concat("root", "part").alias("chain"), chain_score(F.concat(F.array(label(F.col("root"))), F.slice("labels", F.lit(2), F.size("labels")))).alias("score"))
+    return chains.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "chain"))).where(F.col("rank") <= limit)
+
+
 def representative_steps(steps: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """The steps that stand for a trace, with their position: the first, the last of each relation type from the end on, then the others from the end on; all of them in
     order where they are no more than limit. steps: keys, step (from 0 on), relation_type."""

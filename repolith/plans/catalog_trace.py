@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repolith.functions import text as T
-from repolith.operators import answers, codegraph, graph, reports, trace, vectors
+from repolith.operators import answers, codegraph, graph, trace, vectors
 from repolith.operators import search as S
 from repolith.plans import catalog_code as code
 from repolith.plans import catalog_text as texts
 from repolith.plans.catalog_graph import _EDGES, LINES
+from repolith.session import cut
 from repolith.sources import tables
 
 with_ = tables.sql_with
@@ -81,11 +82,10 @@ def parse_chain(spark, d):
 
 def chain_rank(spark, d):
     """The chains of at most two calls from each document, the best of each first."""
-    leads = graph.call_targets(tables.documents(spark, d)).select(F.col("source_doc").alias("source"), F.col("target_doc").alias("target"))
-    found = reports.chains(leads, leads.select(F.col("source").alias("node")).distinct(), 2)
-    labels = F.transform(F.split("chain", " -> "), lambda x: F.element_at(F.split(x, "::"), -1))
-    order = Window.partitionBy("root").orderBy(F.desc("score"), "chain")
-    return found.withColumn("score", trace.chain_score(labels)).withColumn("rank", F.row_number().over(order)).where("rank <= 4").select("root", "chain", "score", "rank")
+    keys = lambda column: tables.documents(spark, d, keys=column).select("repo_id", "doc_id", F.explode("keys").alias("key")).where("repo_id is not null")
+    calls = cut(keys(graph.keys_called(F.col("metadata"))))
+    defined = cut(keys(graph.keys_defined(F.col("doc_id"), F.col("content"))).join(calls.select("repo_id", "key").distinct(), ["repo_id", "key"], "left_semi"))
+    return trace.best_chains(calls, defined, 4)
 
 
 def chunk_lines(spark, d):
