@@ -1,8 +1,8 @@
-"""The best chains of calls against all chains, on tables in which many documents call each other."""
+"""The best chains of calls against all chains, on tables in which many documents call each other, and code of key files where no join is broadcast."""
 
 import random
 
-from repolith.plans import catalog_trace
+from repolith.plans import catalog_reports, catalog_trace
 
 DOCS = "doc_id string, repo_id string, doc_type string, title string, content string, source_path string, metadata map<string,array<string>>, indexed_at timestamp"
 
@@ -62,3 +62,26 @@ def test_documents_that_all_call_each_other_are_not_paired(spark, tmp_path):
     got, want, df = ranked(spark, tmp_path, names)
     assert got == want and len(got) == 60 * 4
     assert most_rows(df) <= 60 * 30  # 60 * 59 * 58 chains
+
+
+def test_structure_of_files_without_broadcasts(spark, tmp_path):
+    contents = {
+        "a.py": "import os\nfrom a.b import c\nclass A:\n    def f(self):\n        pass\r\ndef g():\r    pass\nimport os",
+        "a.ts": "import x from 'y'\nexport class B {}\nconst f = async (a) => 1\nconst z = require('z')\ninterface I {}",
+        "a.go": 'import "fmt"\nfunc (a *A) Run() {}\nclass A:',
+        "a.rs": "use std::io;\npub(crate) async fn run() {}\nfn\nclass A",
+        "a.txt": "import os\nclass A:",
+        "none.py": None,
+        "empty.js": "",
+    }
+    rows = [("r", path, 5, content, None) for path, content in contents.items()]
+    old = [("r", "a.py", 3, "class Z:", None), ("r", None, 1, "class Z:", None), (None, "a.py", 1, "class Z:", None)]
+    spark.createDataFrame([*rows, *rows, *old], "repo_id string, path string, size_bytes bigint, content string, truncated boolean").write.parquet(f"{tmp_path}/key_files.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalog_reports.join_file_structure(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {"a.py": (3, 1, 3), "a.ts": (3, 1, 2), "a.go": (1, 0, 1), "a.rs": (1, 0, 1), "a.txt": (0, 0, 0), "none.py": (0, 0, 0), "empty.js": (0, 0, 0)}
+    assert sorted(map(tuple, got)) == sorted(("r", path, *counts) for path, counts in want.items())
